@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, sentencepiece_codec
+from . import quality_rules, sentencepiece_codec, toxicity
+from .common import bucket
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +32,13 @@ def codec_digest(coded: DataFrame) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    value = F.col("toxicity.score")
+    return scored.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), value.alias("score"), (value >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -38,5 +46,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op6_toxicity": op6_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
