@@ -1,0 +1,45 @@
+"""Connected components of large edge tables, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import table
+
+
+def _stamp(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Each node hands its larger neighbours to the smallest node it knows."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Each node hands its smaller neighbours, and itself, to the smallest of them. Rows have a > b."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) for each end of the edges (a, b): component is the smallest id reachable.
+
+    Self loops and nulls are dropped, directions and repetitions don't matter. Every round is written to the shared
+    folder; the number of rounds is logarithmic in the length of the longest path.
+    """
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    edges = table(edges.where(F.col("a") != F.col("b")).select(high.alias("a"), low.alias("b")).distinct())
+    was = _stamp(edges)
+    while was[0]:
+        edges = table(_small_star(_large_star(edges)))
+        now = _stamp(edges)
+        if now == was:
+            break
+        was = now
+    roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
