@@ -65,4 +65,29 @@ q_judged AS (
 
 OP10 = f"WITH {QUALITY_CTES}\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM q_judged"
 
-ORACLE_SQL: dict[str, str] = {"op10_quality_rules": OP10}
+#: The shape of op8: of each text and item the window with the most shared shingles, found by plain counting.
+LEAK_CTES = r"""
+l_docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {docs}),
+l_items AS (SELECT item_id, w, len(w) AS n, least(len(w), 5) AS width FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark) WHERE len(w) > 0),
+l_widths AS (SELECT DISTINCT width FROM l_items),
+l_grams AS (SELECT rid, n, width, p, array_to_string(w[p:p + width - 1], ' ') AS g FROM (SELECT rid, w, len(w) AS n, width, unnest(range(1, len(w) - width + 2)) AS p FROM l_docs, l_widths WHERE len(w) >= width)),
+l_bags AS (SELECT item_id, n, width, g, count(*) AS k FROM (SELECT item_id, n, width, array_to_string(w[p:p + width - 1], ' ') AS g FROM (SELECT *, unnest(range(1, n - width + 2)) AS p FROM l_items)) GROUP BY ALL),
+l_hits AS (SELECT d.rid, d.n, d.p, d.g, b.item_id, b.n AS size, b.width, b.k FROM l_grams d JOIN l_bags b ON d.width = b.width AND d.g = b.g),
+l_windows AS (SELECT DISTINCT rid, item_id, n, size, width, least(p, greatest(n - size + 1, 1)) AS s FROM l_hits),
+l_shared AS (
+  SELECT rid, item_id, n, size, width, s, sum(least(c, k)) AS m
+  FROM (SELECT w.rid, w.item_id, w.n, w.size, w.width, w.s, h.g, h.k, count(*) AS c FROM l_windows w JOIN l_hits h ON w.rid = h.rid AND w.item_id = h.item_id AND h.p BETWEEN w.s AND w.s + w.size - w.width GROUP BY ALL)
+  GROUP BY ALL
+),
+l_leaks AS (
+  SELECT rid, item_id, max(m / (total - m)) AS similarity
+  FROM (SELECT *, least(size, n) + size - 2 * width + 2 AS total FROM l_shared)
+  WHERE 100 * m >= 80 * (total - m) GROUP BY rid, item_id
+)"""
+
+OP8 = "WITH " + LEAK_CTES.replace("{docs}", "documents") + """
+SELECT doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items,
+  coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS item_ids, max(similarity) AS similarity
+FROM l_docs LEFT JOIN l_leaks USING (rid) GROUP BY rid, doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": OP8, "op10_quality_rules": OP10}
