@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, quality_rules, sentencepiece_codec, toxicity
+from . import decontaminate, lm_score, near_dedup, quality_rules, sentencepiece_codec, toxicity
 from .common import bucket
 
 
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), value.alias("score"), (value >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontaminate.mark(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", "leak.contaminated", F.size("leak.item_ids").cast("long").alias("n_items"), F.array_join(F.col("leak.item_ids").cast("array<string>"), ",").alias("item_ids"), "leak.similarity")
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -60,12 +60,12 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema if f.name not in {x.name for x in fields}] + list(fields))
 
 
-def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about BATCH_CHARS characters."""
+def _pieces(batch: pa.RecordBatch, column: int, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about so many characters."""
     start, n = 0, 0
     for i, x in enumerate(batch.column(column)):
         n += len(x.as_py() or "")
-        if n >= BATCH_CHARS:
+        if n >= chars:
             yield batch.slice(start, i + 1 - start)
             start, n = i + 1, 0
     if start < batch.num_rows:
