@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_score, near_dedup, quality_rules, sentencepiece_codec, toxicity
+from . import decontaminate, html_extract, lm_score, near_dedup, quality_rules, sentencepiece_codec, toxicity
 from .common import bucket
 
 
@@ -53,6 +53,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return marked.select("doc_id", "leak.contaminated", F.size("leak.item_ids").cast("long").alias("n_items"), F.array_join(F.col("leak.item_ids").cast("array<string>"), ",").alias("item_ids"), "leak.similarity")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return judged.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -64,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
