@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, lm_score, near_dedup, quality_rules, sentencepiece_codec, toxicity
+from . import decontaminate, html_extract, license_scan, lm_score, near_dedup, preference, quality_rules, sentencepiece_codec, toxicity, url_filter
 from .common import bucket
 
 
@@ -22,6 +22,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return found.select("doc_id", F.size("licence.identifiers").cast("long").alias("n_known"), join("licence.identifiers").alias("identifiers"), join("licence.rules").alias("rules"), join("licence.licences").alias("licences"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepiece_codec.encode_decode(_read(spark, sf_dir, "documents").select("doc_id", "text"), piece_model())
     return codec_digest(coded)
@@ -32,6 +38,31 @@ def codec_digest(coded: DataFrame) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
+#: The rules that decide a URL before the trees do.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+#: Terms in a host that label a URL as to be blocked when the trees are trained; hosts without one are labelled allowed.
+BLOCK_TERMS = "casino bets betting poker pills pharma viagra loans spam scam porn xxx warez crack torrent ads adserver track tracker click malware phish".split()
+
+
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """(url, block): each URL labelled by whether its host holds one of BLOCK_TERMS as a whole part."""
+    host = url_filter.host(F.col("url"))
+    return pages.where(host != "").select("url", host.rlike(rf"(^|[.-])({'|'.join(BLOCK_TERMS)})([.-]|$)").cast("int").alias("block"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, URL_RULES, url_filter.fit(labelled_urls(pages)))
+    return judged.select("page_id", "link.host", "link.path", "link.rule", "link.verdict", "link.probability")
+
+
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    found = preference.format_pairs(preference.alternate_pairs(conversations), conversations)
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",").alias(c)
+    return found.select("pair", "chosen_id", "rejected_id", F.col("shared").cast("long").alias("shared"), "prompt", "chosen", "rejected", mask("chosen_mask"), mask("rejected_mask"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
     return found.withColumnRenamed("id", "doc_id")
@@ -64,7 +95,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_url_filters": op3_url_filters,
+    "op4_preference_formatting": op4_preference_formatting,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scoring": op7_lm_scoring,

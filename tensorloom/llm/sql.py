@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .license_scan import ANCHOR, RULES, SENTENCES
+
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 #: The shape of op10: features, quartiles of log-linear bins by group, cutoffs, verdict. Column names end in the digest.
@@ -90,4 +92,56 @@ SELECT doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items,
   coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS item_ids, max(similarity) AS similarity
 FROM l_docs LEFT JOIN l_leaks USING (rid) GROUP BY rid, doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op8_benchmark_decontamination": OP8, "op10_quality_rules": OP10}
+def _license_sql() -> str:
+    """op1: sentences as rows, identifiers by a join, then one replacement after the other for the rules."""
+    values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    steps, last = [], "s0"
+    for k, (_, seq) in enumerate(RULES):
+        pattern = "".join(f"|{i}|" for i in seq)
+        steps.append(f"s{k + 1} AS (SELECT rid, doc_id, ids, replace(s, '{pattern}', '|-|') AS s, CASE WHEN contains(s, '{pattern}') THEN list_append(hit, {k}) ELSE hit END AS hit FROM {last})")
+        last = f"s{k + 1}"
+    names = ", ".join(f"'{name}'" for name, _ in RULES)
+    return rf"""
+WITH known(sentence, ident) AS (VALUES {values}),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) AS cut FROM documents),
+parts AS (SELECT rid, unnest(range(1, len(cut) + 1)) AS i, unnest(cut) AS raw FROM docs),
+ids AS (
+  SELECT p.rid, p.i, CASE WHEN regexp_matches(p.raw, '{ANCHOR}') THEN coalesce(k.ident, '-') ELSE '-' END AS ident
+  FROM (SELECT * FROM parts WHERE regexp_matches(raw, '[A-Za-z0-9]')) p
+  LEFT JOIN known k ON trim(regexp_replace(lower(p.raw), '[^a-z0-9]+', ' ', 'g')) = k.sentence
+),
+s0 AS (
+  SELECT d.rid, d.doc_id, coalesce(list(ident ORDER BY i) FILTER (ident <> '-'), []) AS ids,
+    coalesce('|' || string_agg(ident, '||' ORDER BY i) || '|', '||') AS s, CAST([] AS INTEGER[]) AS hit
+  FROM docs d LEFT JOIN ids USING (rid) GROUP BY d.rid, d.doc_id
+),
+{", ".join(steps)}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_known, array_to_string(ids, ',') AS identifiers, array_to_string(hit, ',') AS rules,
+  coalesce((SELECT string_agg(name, ',' ORDER BY first) FROM (SELECT ([{names}])[k + 1] AS name, min(k) AS first FROM (SELECT unnest(hit) AS k) GROUP BY name)), '') AS licences
+FROM {last}"""
+
+
+OP1 = _license_sql()
+
+#: The shape of op4: turns numbered in order, the first that differs, and both rests rendered with running lengths.
+OP4 = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+pairs AS (SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair FROM t),
+lens AS (SELECT pair, (SELECT count(*) FROM t WHERE conv_id = 2 * pair) AS na, (SELECT count(*) FROM t WHERE conv_id = 2 * pair + 1) AS nb FROM pairs),
+same AS (SELECT p.pair, a.i FROM pairs p JOIN t a ON a.conv_id = 2 * p.pair JOIN t b ON b.conv_id = 2 * p.pair + 1 AND b.i = a.i WHERE a.role = b.role AND a.text = b.text),
+shared AS (SELECT l.pair, coalesce((SELECT max(i) FROM (SELECT i, row_number() OVER (ORDER BY i) AS k FROM same s WHERE s.pair = l.pair) WHERE i = k), 0) AS shared FROM lens l),
+parts AS (
+  SELECT s.pair, s.shared, t.conv_id - 2 * s.pair AS side, t.i, t.role,
+    '<|' || replace(t.role, '<|', '< |') || '|>' || chr(10) AS head, replace(t.text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM shared s JOIN t ON t.conv_id IN (2 * s.pair, 2 * s.pair + 1)
+),
+ends AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair, side ORDER BY i) AS upto FROM parts WHERE i > shared)
+SELECT s.pair, 2 * s.pair AS chosen_id, 2 * s.pair + 1 AS rejected_id, CAST(s.shared AS BIGINT) AS shared,
+  coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM parts p WHERE p.pair = s.pair AND side = 0 AND i <= p.shared), '') AS prompt,
+  coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM ends p WHERE p.pair = s.pair AND side = 0), '') AS chosen,
+  coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM ends p WHERE p.pair = s.pair AND side = 1), '') AS rejected,
+  coalesce((SELECT string_agg(CAST(upto - length(body) AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY i) FROM ends p WHERE p.pair = s.pair AND side = 0 AND role = 'assistant'), '') AS chosen_mask,
+  coalesce((SELECT string_agg(CAST(upto - length(body) AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY i) FROM ends p WHERE p.pair = s.pair AND side = 1 AND role = 'assistant'), '') AS rejected_mask
+FROM shared s"""
+
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": OP1, "op4_preference_formatting": OP4, "op8_benchmark_decontamination": OP8, "op10_quality_rules": OP10}
