@@ -2,8 +2,8 @@
 
 Texts with equal shingle sets first fall into one class, which takes part once. Each class has TREES sorted orders of
 DEPTH MinHash values. In every order the neighbours with the longest common prefix, at least MIN_DEPTH values, are
-candidates: where many classes share a short prefix the sort itself goes deeper, where few do it stays shallow. A
-region (a shared prefix of MIN_DEPTH values) of more classes than neighbours are looked at also compares all of its
+candidates: where many classes share a short prefix the sort itself goes deeper, where few do it stays shallow. Two
+texts that share 85 percent of their shingles share a prefix in some order but for one pair in 100,000. A region (a shared prefix of MIN_DEPTH values) of more classes than neighbours are looked at also compares all of its
 members with its centre, at every depth. Candidates are confirmed on the full sets. Regions that are still split into
 several components then get an exact answer: a prefix-filtered set join, rarest shingles first, of classes from
 different components. No region is cut off.
@@ -19,16 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import table
+from .common import bounded, table
 from .graph import components
 from .sentencepiece_codec import _pieces
 from .shingles import WORDS, mix, shingle_sets
 
-TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 12, 6, 3, 8
+TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 6, 4, 8
+#: MinHash values whose low bytes travel with the orders, to drop unlikely candidates early.
+BITS = 64
 #: Link at this percentage of shared shingles, unless the caller says otherwise.
 PERCENT = 80
 #: Candidates whose signatures agree this many standard deviations less than the threshold asks for are not confirmed.
 SIGMAS = 6
+#: Ids that may be broadcast to pick their texts; for more the texts are shuffled.
+BROADCAST_IDS = 1_000_000
+#: Characters of text that are hashed at once, unless one text is longer.
+PIECE_CHARS = 2_000_000
 #: Rows of the forest in one sorted partition.
 ROWS_PER_PARTITION = 100_000
 _A = mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -51,7 +57,7 @@ def signatures(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _pieces(whole, 1):
+            for b in _pieces(whole, 1, PIECE_CHARS):
                 sets = shingle_sets(b.column(1).to_pylist())
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig, fp = [b""] * len(sets), [b""] * len(sets)
@@ -69,7 +75,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in _pieces(whole, 1):
+            for b in _pieces(whole, 1, PIECE_CHARS):
                 sets = [s.view(np.int64) for s in shingle_sets(b.column(1).to_pylist())]
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], names=["id", "s"])
@@ -87,7 +93,7 @@ def forest(classes: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 2000):
                 c = b.slice(at, 2000)
                 sig = [x.as_py() for x in c.column(2)]
-                bits = [x[3::4] for x in sig]
+                bits = [x[3 : 4 * BITS : 4] for x in sig]
                 n = len(sig)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(np.arange(TREES, dtype=np.int32), n)), pa.array([x[t * width : (t + 1) * width] for t in range(TREES) for x in sig], pa.binary()), pa.concat_arrays([c.column(0)] * TREES), pa.concat_arrays([c.column(1)] * TREES), pa.array(bits * TREES, pa.binary())],
@@ -99,41 +105,51 @@ def forest(classes: DataFrame) -> DataFrame:
 
 def _alike(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
     """Whether sizes allow a link and the low bytes of the MinHash values agree often enough."""
-    m = TREES * DEPTH
     p = percent / 100 + (1 - percent / 100) / 256
-    need = m * p - SIGMAS * np.sqrt(m * p * (1 - p))
+    need = BITS * p - SIGMAS * np.sqrt(BITS * p * (1 - p))
     return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & ((bits_a == bits_b).sum(axis=1) >= need)
 
 
 def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
-    """From sorted partitions: candidates (a, b), and in `edge` the regions that a partition begins or ends in."""
-    schema = "a long, b long, edge binary"
-    m, prefix = TREES * DEPTH, 4 * MIN_DEPTH
+    """From sorted partitions: candidates (a, b) with d = 1 for those next to each other in some order, and the regions
+    with more classes than neighbours are looked at, or that a partition begins or ends in, with d = 0."""
+    schema = "d int, a long, b long, region binary"
+    prefix = 4 * MIN_DEPTH
+
+    def rows(d: int, pairs: np.ndarray) -> pa.RecordBatch:
+        n = len(pairs)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(n, pa.binary())], names=["d", "a", "b", "region"])
+
+    def places(regions: set[bytes]) -> pa.RecordBatch:
+        n = len(regions)
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(sorted(regions), pa.binary())], names=["d", "a", "b", "region"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            trees = b.column(0).to_numpy()
-            raw = np.frombuffer(b"".join(bytes([t]) + k.as_py()[:prefix] for t, k in zip(trees.tolist(), b.column(1), strict=True)), f"V{prefix + 1}")
-            bits = np.frombuffer(b"".join(x.as_py() for x in b.column(4)), np.uint8).reshape(-1, m)
+            raw = np.frombuffer(b"".join(bytes([t]) + k.as_py()[:prefix] for t, k in zip(b.column(0).to_pylist(), b.column(1), strict=True)), f"V{prefix + 1}")
+            bits = np.frombuffer(b"".join(x.as_py() for x in b.column(4)), np.uint8).reshape(-1, BITS)
             now = (raw, b.column(2).to_numpy(), b.column(3).to_numpy(), bits)
-            edges = [raw[0].tobytes()] if held is None else []
+            large = {raw[0].tobytes()} if held is None else set()
             last = raw[-1].tobytes()
             old = 0 if held is None else len(held[0])
             r, ids, n, bits = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
-            pairs = []
+            near, far = [], []
             for d in range(1, NEIGHBOURS + 1):
                 i = np.arange(max(old, d), len(r))
                 i = i[r[i] == r[i - d]]
+                if d == NEIGHBOURS:
+                    large.update(x.tobytes() for x in r[i])
                 i = i[_alike(bits[i], bits[i - d], n[i], n[i - d], percent)]
-                pairs.append(np.c_[np.minimum(ids[i], ids[i - d]), np.maximum(ids[i], ids[i - d])])
-            found = np.unique(np.vstack(pairs), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[found[:, 0], [0] * len(edges)], pa.int64()), pa.array(np.r_[found[:, 1], [0] * len(edges)], pa.int64()), pa.array([None] * len(found) + edges, pa.binary())], names=["a", "b", "edge"])
+                (near if d == 1 else far).append(np.c_[np.minimum(ids[i], ids[i - d]), np.maximum(ids[i], ids[i - d])])
+            yield rows(1, np.unique(np.vstack(near), axis=0))
+            yield rows(2, np.unique(np.vstack(far), axis=0))
+            yield places(large)
             held = tuple(x[-NEIGHBOURS:] for x in (r, ids, n, bits))
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([last], pa.binary())], names=["a", "b", "edge"])
+            yield places({last})
 
     return ordered.mapInArrow(run, schema)
 
@@ -166,7 +182,7 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets overlap enough."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = table(_sets(texts.join(ends, "id", "left_semi")))
+    sets = table(_sets(texts.join(bounded(table(ends), BROADCAST_IDS), "id", "left_semi")))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), shared.alias("shared"))
@@ -176,19 +192,27 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def _rest(members: DataFrame, label: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The exact rest: candidates of different components that a region of several components holds.
 
-    Any two linked sets share one of the n - ceil(n * percent / 100) + 1 first shingles of each, in any order common
-    to all; the rarest come first. A shingle whose holders are all in one component needs no pair.
+    In any order of the shingles that is common to all sets, the first one that two linked sets share lies within the
+    first n - ceil(2 * percent * n / (100 + percent)) + 1 of the smaller set and the first n - ceil(percent * n / 100)
+    + 1 of the larger, and what follows it on either side must still allow the overlap. The rarest shingles come first;
+    one whose holders are all in one component needs no pair.
     """
     m = members.select("id", _region(MIN_DEPTH).alias("r")).join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
     split = m.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi"))
     ids = table(m.join(split, "r", "left_semi").select("id", "c").distinct())
-    sets = table(_sets(texts.join(ids, "id", "left_semi")).join(ids, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x")))
+    sets = table(_sets(texts.join(bounded(ids, BROADCAST_IDS).select("id"), "id", "left_semi")).join(ids, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x")))
     often = sets.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     ranked = sets.join(often, "x").withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("df", "x")))
-    first = ranked.where((F.col("k") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("lo") != F.col("hi"))).select("x", "id", "c", "n")
-    l, r = first.alias("l"), first.alias("r")
-    pairs = l.join(r, (F.col("l.x") == F.col("r.x")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.c") != F.col("r.c")) & _agree("l.n", "r.n", percent))
-    return pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    n = F.col("n")
+    probe = ranked.where((F.col("k") <= n - F.ceil(n * percent / 100) + 1) & (F.col("lo") != F.col("hi"))).select("x", "id", "c", "n", "k")
+    probe = table(probe)
+    index = probe.where(F.col("k") <= n - F.ceil(n * 2 * percent / (100 + percent)) + 1)
+    s, l = index.alias("s"), probe.alias("l")
+    smaller = (F.col("s.n") < F.col("l.n")) | ((F.col("s.n") == F.col("l.n")) & (F.col("s.id") < F.col("l.id")))
+    follow = F.least(F.col("s.n") - F.col("s.k"), F.col("l.n") - F.col("l.k")) + 1
+    enough = (100 + percent) * follow >= percent * (F.col("s.n") + F.col("l.n"))
+    pairs = s.join(l, (F.col("s.x") == F.col("l.x")) & smaller & (F.col("s.c") != F.col("l.c")) & _agree("s.n", "l.n", percent) & enough)
+    return pairs.select(F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -203,18 +227,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     named = sigs.where(F.col("id").isNotNull() & (F.col("n") > 0))
     classes = table(named.groupBy("fp", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
     partitions = max(1, min(int(classes.count()) * TREES // ROWS_PER_PARTITION + 1, 20_000))
-    rows = table(forest(classes))
+    rows = forest(classes)
     ordered = rows.repartitionByRange(partitions, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
     near = table(_neighbours(ordered, percent))
-    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text)).dropDuplicates(["id"]) if sigs.groupBy("id").count().where("count > 1").limit(1).count() else docs.select(F.col(ident).cast("long").alias("id"), F.col(text))
-    regions = rows.groupBy(_region(MIN_DEPTH).alias("r")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    cut = near.where(F.col("edge").isNotNull()).select(F.col("edge").alias("r")).distinct().withColumn("at_edge", F.lit(True))
-    large = regions.join(cut, "r", "left").where((F.col("size") > NEIGHBOURS + 1) | F.col("at_edge")).select("r")
+    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text))
+    if named.groupBy("id").count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(["id"])
+    large = near.where("d = 0").select(F.col("region").alias("r")).distinct()
     members = table(rows.withColumn("r", _region(MIN_DEPTH)).join(large, "r", "left_semi").select("tree", "key", "id", "n"))
-    pairs = near.where(F.col("edge").isNull()).select("a", "b").union(_stars(members, percent)).distinct()
-    links = table(_confirm(table(pairs), texts, percent))
+    # First the nearest and the stars; the other neighbours and the rest only where components still differ.
+    pairs = near.where("d = 1").select("a", "b").union(_stars(members, percent)).distinct()
+    links = _confirm(table(pairs), texts, percent)
     label = table(components(links))
-    more = table(_confirm(table(_rest(members, label, texts, percent)), texts, percent))
+    of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    other = near.where("d = 2").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    other = other.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = table(_confirm(table(other.union(_rest(members, label, texts, percent)).distinct()), texts, percent))
     if more.limit(1).count():
         label = table(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
     of_class = classes.join(label, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("c"))
