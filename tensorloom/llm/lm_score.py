@@ -103,7 +103,7 @@ def _kt(n0: Column, n1: Column) -> Column:
 
 
 def trees(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(d, ctx, node, p): probability of a one at each seen node (1 to 255) of each seen context of d bytes."""
+    """(d, ctx, node, p): probability of a one at each seen node (1 to 255) of each seen context of d bytes, unless the context of d - 1 bytes gives the same."""
     bits = [F.struct(F.lit(1 << i).bitwiseOR(F.shiftright("b", 8 - i)).cast("int").alias("node"), F.shiftright("b", 7 - i).bitwiseAND(F.lit(1)).alias("bit")) for i in range(8)]
     leaf = grams.select(F.shiftright("g", 8).alias("ctx"), F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("b"), "n").select("ctx", "n", F.explode(F.array(*bits)).alias("x"))
     leaf = leaf.groupBy("ctx", F.col("x.node").alias("node")).agg(F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
@@ -115,16 +115,18 @@ def trees(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         levels[d] = table(up.withColumn("pw", mix).select("ctx", "node", "n0", "n1", "pw", (0.5 * F.exp(F.col("kt") - F.col("pw"))).alias("stop")))
     own = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
     # What is left for deeper nodes, and the probability gathered above; a node's own p is as if it were the deepest.
-    now = levels[0].select("ctx", "node", "stop", own.alias("kt"), F.lit(1.0).alias("left"), F.lit(0.0).alias("sum"))
+    # A node with all the counts of the one above it has the same p and is left out.
+    seen = (F.col("n0") + F.col("n1")).alias("seen")
+    now = levels[0].select("ctx", "node", "stop", own.alias("kt"), F.lit(1.0).alias("left"), F.lit(0.0).alias("sum"), seen, F.lit(True).alias("new"))
     found = None
     for d in range(depth + 1):
         now = table(now)
-        here = now.select(F.lit(d).alias("d"), "ctx", "node", (F.col("sum") + F.col("left") * F.col("kt")).alias("p"))
+        here = now.where("new").select(F.lit(d).alias("d"), "ctx", "node", (F.col("sum") + F.col("left") * F.col("kt")).alias("p"))
         found = here if found is None else found.union(here)
         if d < depth:
-            above = now.select(F.col("ctx").alias("_c"), F.col("node").alias("_n"), (F.col("left") * (1 - F.col("stop"))).alias("left"), (F.col("sum") + F.col("left") * F.col("stop") * F.col("kt")).alias("sum"))
-            below = levels[d + 1].select("ctx", "node", "stop", own.alias("kt"), F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("_c"), F.col("node").alias("_n"))
-            now = below.join(above, ["_c", "_n"]).select("ctx", "node", "stop", "kt", "left", "sum")
+            above = now.select(F.col("ctx").alias("_c"), F.col("node").alias("_n"), F.col("seen").alias("_seen"), (F.col("left") * (1 - F.col("stop"))).alias("left"), (F.col("sum") + F.col("left") * F.col("stop") * F.col("kt")).alias("sum"))
+            below = levels[d + 1].select("ctx", "node", "stop", own.alias("kt"), seen, F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("_c"), F.col("node").alias("_n"))
+            now = below.join(above, ["_c", "_n"]).select("ctx", "node", "stop", "kt", "left", "sum", "seen", (F.col("seen") != F.col("_seen")).alias("new"))
     return found
 
 
@@ -183,13 +185,14 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
     docs = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), (bucket(F.col(ident), modulus) == held).alias("held_out"))
     found = table(counts(docs.where(~F.col("held_out")), "text", depth))
     vocabulary = found.where(F.col("w").isNotNull()).select("w", F.col("n").alias("c"))
-    total = vocabulary.agg(F.sum("c"), F.count("c")).first()
+    total = vocabulary.agg(F.sum("c"), F.count("c"), F.max(F.when(F.col("w") == F.lit(END), F.col("c")))).first()
     tokens, distinct = int(total[0] or 0), int(total[1])
+    ends = {END: float(np.log10(total[2] + 1.0))} if total[2] else {}
     head = vocabulary.orderBy(F.desc("c"), "w").limit(head_words).toArrow()
     model = table(trees(found.where(F.col("g").isNotNull()).select("g", "n"), depth))
     shards = max(1, -(-model.count() // shard_rows))
     spark = docs.sparkSession
-    logs = spark.sparkContext.broadcast(dict(zip(head["w"].to_pylist(), np.log10(head["c"].to_numpy() + 1.0).tolist(), strict=True)))
+    logs = spark.sparkContext.broadcast(dict(zip(head["w"].to_pylist(), np.log10(head["c"].to_numpy() + 1.0).tolist(), strict=True)) | ends)
 
     def one(k: int) -> DataFrame:
         rows = model.where((F.col("d") < _SHARD_BYTES) | (F.pmod(F.col("ctx").bitwiseAND(F.lit((1 << 8 * _SHARD_BYTES) - 1)), F.lit(shards)) == k)) if shards > 1 else model
@@ -211,17 +214,22 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
                     else:
                         each = coder.score(g)
                     sums = np.add.reduceat(each, starts)
-                    hits = [[known[w] for w in bag if w in known] for bag in bags]
-                    end = known.get(END)
-                    tail = [[w for w in bag if w not in known] for bag in bags] if k == 0 else [[] for _ in bags]
                     n = len(bags)
+                    if k:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), pa.array(sums, pa.float64())], names=["row", "score"])
+                        row += n
+                        continue
+                    end = known.get(END)
+                    logs_ = [list(map(known.get, bag)) for bag in bags]
+                    tail = [[w for w, x in zip(bag, at, strict=True) if x is None] if None in at else [] for bag, at in zip(bags, logs_, strict=True)]
+                    hits = [[x for x in at if x is not None] if t else at for at, t in zip(logs_, tail, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.arange(row, row + n)), b.column(0), b.column(2), pa.array([len(x) + 1 for x in bags], pa.int64()), pa.array([len(x) + (end is not None) for x in hits], pa.int64()), pa.array([sum(x) + (end or 0.0) for x in hits], pa.float64()), pa.array(sums, pa.float64()), pa.array(tail, pa.list_(pa.binary()))],
                         names=["row", "id", "held_out", "n_tokens", "head_known", "head_log", "score", "tail"],
                     )
                     row += n
 
-        return docs.select("id", "text", "held_out").mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, tail array<binary>")
+        return docs.select("id", "text", "held_out").mapInArrow(run, "row long, score double" if k else "row long, id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, tail array<binary>")
 
     first = table(one(0))
     for k in range(1, shards):
