@@ -42,16 +42,16 @@ def complex_log(re: Column, im: Column) -> Column:
 def contract_network(tensors: DataFrame, slots: DataFrame, every: int = 4) -> DataFrame:
     """(g, re): the full contraction of a network of a few dozen tensors, vertex by vertex in their order.
 
-    The state keeps one row for each index of the links still open, so the cost is exponential in the width of the
+    Two vertices may share several links; the n-th slot of one towards the other meets the n-th of the other. The state keeps one row for each index of the links still open, so the cost is exponential in the width of the
     cut: the network's shape, read from slots, is small by nature. Each absorbed vertex sums out what it closes.
     """
     shape: dict[int, list[int]] = {}
     for r in slots.orderBy("v", "slot").collect():
         shape.setdefault(r["v"], []).append(r["nbr"])
-    open_: list[tuple[int, int]] = []
+    open_: list[tuple[int, int, int]] = []
     state = tensors.select("g").distinct().withColumn("re", F.lit(1.0)).withColumn("key", F.array().cast("array<int>"))
     for n, (v, nbrs) in enumerate(sorted(shape.items())):
-        links = [(min(v, x), max(v, x)) for x in nbrs]
+        links = [(min(v, x), max(v, x), nbrs[:k].count(x)) for k, x in enumerate(nbrs)]
         closing = [k for k, link in enumerate(links) if link in open_]
         rest = [k for k in range(len(links)) if k not in closing]
         kept = [k for k, link in enumerate(open_) if link not in links]

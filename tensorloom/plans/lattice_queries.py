@@ -678,3 +678,22 @@ SELECT round(ln(sum(exp(0.4 * (""" + " + ".join(
 ) + ")))), 7) AS logz FROM s")
 def open_sheet(spark, sf_dir):
     return exact.sheet(*tensors.ising_open(spark, 3, 3, 0.4)).select(F.round(F.log("re"), 7).alias("logz"))
+
+
+@query("operator_dynamics", "SELECT round((1 - 0.04 / 3) * cos(0.1), 8) AS overlap")
+def operator_dynamics(spark, sf_dir):
+    """An X beside an identity on one pair: depolarised, then turned by ZZ, in which it keeps a cosine."""
+    t, s = tensors.operator_dynamics(spark, 4, 2, [0, 1, 0, 0], [0, 1, 0, 0], p=0.01)
+    return contract.contract_network(t, s).select(F.round("re", 8).alias("overlap"))
+
+
+@query("boundary_state", """WITH s AS (SELECT list_transform(range(0, 12), lambda x: 1 - 2 * ((k >> x) & 1)) AS h FROM range(0, 4096) t(k))
+SELECT round(ln(sum(exp(0.4 * (""" + " + ".join(
+    f"h[{a}] * h[{b}]"
+    for i in range(3)
+    for j in range(3)
+    for a, b in [(x, y) for x in ([3 * (i - 1) + j + 1] if i else []) + ([3 * i + j + 1] if i < 2 else []) for y in ([6 + 2 * i + j - 1 + 1] if j else []) + ([6 + 2 * i + j + 1] if j < 2 else [])]
+) + ")))), 7) AS logz FROM s")
+def boundary_state(spark, sf_dir):
+    t, _ = tensors.ising_open(spark, 3, 3, 0.4)
+    return exact.boundary(t, 3, 3).select(F.round("logz", 7).alias("logz"))

@@ -152,3 +152,54 @@ def random_peps(spark: SparkSession, rows: int, cols: int, eta: float, seed: int
     tensors = closed.select(F.lit(float(eta)).alias("g"), "v", "idx", (F.col("re") * F.pow(F.lit(2.0), -(4 - F.col("n")) / 2)).alias("re"))
     slots = at.select("v", F.posexplode(F.transform(open_, lambda k: F.get("nbrs", k).cast("int"))).alias("slot", "nbr"))
     return tensors, slots
+
+
+def _pauli_rotation(step: float) -> list[list[float]]:
+    """How exp(-i step ZZ) turns pairs of Paulis I, X, Y, Z: entry [out][in], pairs numbered 4 * first + second."""
+    import numpy as np
+
+    paulis = [np.eye(2), np.array([[0, 1], [1, 0]]), np.array([[0, -1j], [1j, 0]]), np.diag([1, -1])]
+    pairs = [np.kron(a, b) for a in paulis for b in paulis]
+    u = np.diag(np.exp(-1j * step * np.diag(pairs[15])))
+    return [[float((np.trace(a @ u @ b @ u.conj().T) / 4).real) for b in pairs] for a in pairs]
+
+
+def operator_dynamics(spark: SparkSession, sites: int, steps: int, initial: list[int], final: list[int], p: float = 0.0, step: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(tensors, slots) of the overlap of two Pauli strings (0 to 3 for I, X, Y, Z on each site) after a brick-wall circuit.
+
+    Layers t = 1, 2, ... by t mod 4: 1 and 3 depolarise each site with probability p, 2 turns pairs from the second site
+    on, 0 pairs from the first. The number of sites is even. Legs have dimension 4; vertices are numbered in time order.
+    """
+    if sites % 2:
+        raise ValueError("the number of sites must be even")
+    turn = _pauli_rotation(step)
+    entries: list[tuple[int, list[int], float]] = []
+    legs: dict[int, list[int | None]] = {}
+    tip: list[tuple[int, int]] = []
+
+    def vertex(values: list[tuple[list[int], float]], inputs: list[int], outputs: int) -> int:
+        v = len(legs) + 1
+        legs[v] = [tip[x][0] for x in inputs] + [None] * outputs
+        for k, x in enumerate(inputs):
+            owner, slot = tip[x]
+            legs[owner][slot] = v
+            tip[x] = (v, len(inputs) + k)
+        entries.extend((v, idx, re) for idx, re in values if re)
+        return v
+
+    for x in range(sites):
+        tip.append((vertex([([initial[x] + 1], 1.0)], [], 1), 0))
+    pair = [([i + 1, j + 1, k + 1, m + 1], turn[4 * k + m][4 * i + j]) for i in range(4) for j in range(4) for k in range(4) for m in range(4)]
+    noise = [([k + 1, k + 1], 1.0 if k == 0 else 1 - 4 * p / 3) for k in range(4)]
+    for t in range(1, steps + 1):
+        if t % 2:
+            for x in range(sites):
+                vertex(noise, [x], 1)
+        else:
+            for x in range(0 if t % 4 == 0 else 1, sites - 1, 2):
+                vertex(pair, [x, x + 1], 2)
+    for x in range(sites):
+        vertex([([final[x] + 1], 1.0)], [x], 0)
+    slots = [(v, k, n) for v, ns in legs.items() for k, n in enumerate(ns)]
+    tensors = spark.createDataFrame(entries, "v int, idx array<int>, re double").select(F.lit(0.0).alias("g"), "v", "idx", "re")
+    return tensors, spark.createDataFrame(slots, "v int, slot int, nbr int")
