@@ -2,40 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import let, shared_dir, small, table  # noqa: F401  used by the operators
+
 #: White space of the text contracts: blank and the controls TAB to CR, nothing else.
 WS = r"[\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tensorloom-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def table(df: DataFrame) -> DataFrame:
-    """Write df into the shared folder and read it back: lineage ends, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tensorloom-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
+def once(value: Column) -> Column:
+    """value, never copied into what stands above it: filters and projections that use it see a column, not its expression.
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once, also where body uses it inside other lambdas."""
-    return F.transform(F.array(value), body)[0]
+    Optimizers move deterministic expressions into filters and lambdas, where a costly one is evaluated again for each
+    use or element; the condition here is always true and not deterministic.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -53,6 +35,5 @@ def bucket(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else df as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: df marked for broadcast if it has at most so many rows, else df as it is.
+bounded = small

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WS, bounded, let, table, words
+from .common import bounded, let, once, table, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -57,7 +57,7 @@ def _share(part: Column, whole: Column) -> Column:
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with a struct column `_q`: the base counts and the adaptive features of each text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    step1 = docs.withColumn("_w", words(F.col(text)))
+    step1 = docs.withColumn("_w", once(words(F.col(text))))
     w = F.col("_w")
     lines = lambda: F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     n, chars = F.size(w).cast("long"), F.length(F.array_join(w, "")).cast("long")
@@ -71,7 +71,7 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_words": c("_n"), "word_chars": c("_chars"), "n_symbols": c("_sym"), "n_dup_lines": c("_dup.n"), "n_repeat_words": c("_rep"), "base_failed": failed,
         "word_length": _share(c("_chars"), c("_n")), "symbol_share": _share(c("_sym"), c("_chars")), "upper_share": _share(c("_up"), c("_chars")), "dup_line_share": _share(c("_dup.n"), c("_dup.of")),
     }
-    return step2.select(*[F.col(x) for x in docs.columns], F.struct(*[v.alias(k) for k, v in fields.items()]).alias("_q"))
+    return step2.select(*[F.col(x) for x in docs.columns], once(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("_q"))
 
 
 def _bin(v: Column) -> Column:
