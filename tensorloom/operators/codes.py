@@ -151,6 +151,11 @@ def loops_of_sets(loops: DataFrame) -> DataFrame:
     return loops.select(F.array_sort("bits").alias("bits"), F.array_sort("checks").alias("checks"), "length").distinct()
 
 
+def through_both(loops: DataFrame, a: int, b: int) -> DataFrame:
+    """The loops that hold both bits, one for each set of bits and checks."""
+    return loops_of_sets(loops.where(F.array_contains("bits", a) & F.array_contains("bits", b)))
+
+
 def parity_tensor(spark: SparkSession, legs: int, parity: int) -> DataFrame:
     """(idx, re): 1 where the bits of the legs (index 1 for 0, 2 for 1) have the parity; other entries are left out."""
     bits = F.transform(F.sequence(F.lit(0), F.lit(legs - 1)), lambda k: F.call_function("shiftright", F.col("id"), k).bitwiseAND(F.lit(1)).cast("int"))

@@ -572,6 +572,12 @@ def tanner_loops(spark, sf_dir):
     return codes.tanner_loops(code_sources.toric(spark, 3), 6).select(join("bits"), join("checks"), "length")
 
 
+@query("loops_through_two_bits", "WITH " + TORIC.format(L=3) + ", t AS (SELECT a.bit AS b1, a.chk AS c1, b.bit AS b2, c.chk AS c2, d.bit AS b3, e.chk AS c3 FROM pcm a JOIN pcm b ON a.chk = b.chk AND b.bit > a.bit JOIN pcm c ON c.bit = b.bit AND c.chk <> a.chk JOIN pcm d ON d.chk = c.chk AND d.bit > a.bit AND d.bit <> b.bit JOIN pcm e ON e.bit = d.bit AND e.chk NOT IN (a.chk, c.chk) AND e.chk > a.chk JOIN pcm f ON f.chk = e.chk AND f.bit = a.bit) SELECT array_to_string(list_sort([b1, b2, b3]), ',') AS bits FROM t WHERE list_contains([b1, b2, b3], 1) AND list_contains([b1, b2, b3], 4)")
+def loops_through_two_bits(spark, sf_dir):
+    found = codes.through_both(codes.tanner_loops(code_sources.toric(spark, 3), 6), 1, 4)
+    return found.select(F.array_join(F.col("bits").cast("array<string>"), ",").alias("bits"))
+
+
 @query("toric_loops", "WITH RECURSIVE " + TORIC.format(L=4) + """, links AS (SELECT a.chk AS x, b.chk AS y, a.bit FROM pcm a JOIN pcm b ON a.bit = b.bit AND a.chk <> b.chk),
 w AS (SELECT x AS home, [x] AS p, y AS tip, [bit] AS bits FROM links UNION ALL SELECT home, list_append(p, tip), l.y, list_append(bits, l.bit) FROM w JOIN links l ON l.x = tip WHERE len(bits) < 4 AND tip <> home AND tip > home AND NOT list_contains(p, tip) AND NOT list_contains(bits, l.bit))
 SELECT CAST(2 * len(bits) AS INTEGER) AS length, CAST(count(DISTINCT list_sort(bits)) AS BIGINT) AS n FROM w WHERE tip = home AND len(bits) > 1 GROUP BY len(bits)""")
