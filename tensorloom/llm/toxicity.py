@@ -202,7 +202,9 @@ def train(rows: Iterable[tuple[str, int]], rounds: int = 4, seed: int = 7) -> Mo
     """Fit on (text, toxic) rows. Without both labels the score is the smoothed share of toxic rows."""
     rows = [((t or ""), int(y)) for t, y in rows]
     y = np.array([k for _, k in rows], np.float64)
-    bags = [tokens(t) for t, _ in rows]
+    # Equal words share one string: the sample's words are a few times as many as the distinct ones.
+    shared: dict[str, str] = {}
+    bags = [[shared.setdefault(w, w) for w in tokens(t)] for t, _ in rows]
     toxic, clean = [b for b, k in zip(bags, y, strict=True) if k], [b for b, k in zip(bags, y, strict=True) if not k]
     clean_words = {w for b in clean for w in b}
     share = (y.sum() + 1) / (len(y) + 2)
