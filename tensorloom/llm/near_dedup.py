@@ -3,8 +3,8 @@
 Texts with equal shingle sets first fall into one class, which takes part once. Each class has TREES sorted orders of
 DEPTH MinHash values. In every order the neighbours with the longest common prefix, at least MIN_DEPTH values, are
 candidates: where many classes share a short prefix the sort itself goes deeper, where few do it stays shallow. Two
-texts that share 85 percent of their shingles share a prefix in some order but for one pair in 100,000. A region (a shared prefix of MIN_DEPTH values) of more classes than neighbours are looked at also compares all of its
-members with its centre, at every depth. Candidates are confirmed on the full sets. Regions that are still split into
+texts that share 85 percent of their shingles share a prefix in some order but for one pair in 100,000. A region (a shared prefix of MIN_DEPTH values) of up to NEIGHBOURS + 1 classes is compared whole, a larger one with the
+CLOSE next neighbours, and all of its members with its centre, at every depth. Candidates are confirmed on the full sets. Regions that are still split into
 several components then get an exact answer: a prefix-filtered set join, rarest shingles first, of classes from
 different components. No region is cut off.
 """
@@ -19,18 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.graph import components
 from .common import bounded, table
-from .graph import components
 from .sentencepiece_codec import _pieces
 from .shingles import WORDS, mix, shingle_sets
 
-TREES, DEPTH, MIN_DEPTH, NEIGHBOURS = 16, 6, 4, 8
+TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, CLOSE = 16, 6, 4, 24, 8
 #: MinHash values whose low bytes travel with the orders, to drop unlikely candidates early.
 BITS = 64
 #: Link at this percentage of shared shingles, unless the caller says otherwise.
 PERCENT = 80
 #: Candidates whose signatures agree this many standard deviations less than the threshold asks for are not confirmed.
 SIGMAS = 6
+#: Candidates of each class that are confirmed before components are looked at.
+PARTNERS = 2
+#: Pairs of ids that may be broadcast to meet their first set.
+BROADCAST_PAIRS = 2_000_000
 #: Ids that may be broadcast to pick their texts; for more the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Characters of text that are hashed at once, unless one text is longer.
@@ -103,26 +107,27 @@ def forest(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "sig").mapInArrow(run, schema)
 
 
-def _alike(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes allow a link and the low bytes of the MinHash values agree often enough."""
+def _alike(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes allow a link and the low bytes of the MinHash values agree often enough, and how often they agree."""
     p = percent / 100 + (1 - percent / 100) / 256
     need = BITS * p - SIGMAS * np.sqrt(BITS * p * (1 - p))
-    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & ((bits_a == bits_b).sum(axis=1) >= need)
+    agree = (bits_a == bits_b).sum(axis=1)
+    return (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & (agree >= need), agree
 
 
 def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
     """From sorted partitions: candidates (a, b) with d = 1 for those next to each other in some order, and the regions
     with more classes than neighbours are looked at, or that a partition begins or ends in, with d = 0."""
-    schema = "d int, a long, b long, region binary"
+    schema = "d int, a long, b long, agree int, region binary"
     prefix = 4 * MIN_DEPTH
 
     def rows(d: int, pairs: np.ndarray) -> pa.RecordBatch:
         n = len(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(n, pa.binary())], names=["d", "a", "b", "region"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(pairs[:, 2], pa.int32()), pa.nulls(n, pa.binary())], names=["d", "a", "b", "agree", "region"])
 
     def places(regions: set[bytes]) -> pa.RecordBatch:
         n = len(regions)
-        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(sorted(regions), pa.binary())], names=["d", "a", "b", "region"])
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(sorted(regions), pa.binary())], names=["d", "a", "b", "agree", "region"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, None
@@ -136,14 +141,21 @@ def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
             last = raw[-1].tobytes()
             old = 0 if held is None else len(held[0])
             r, ids, n, bits = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            first = np.r_[True, r[1:] != r[:-1]]
+            nth = np.cumsum(first) - 1
+            size = np.bincount(nth)[nth]
             near, far = [], []
             for d in range(1, NEIGHBOURS + 1):
                 i = np.arange(max(old, d), len(r))
                 i = i[r[i] == r[i - d]]
                 if d == NEIGHBOURS:
                     large.update(x.tobytes() for x in r[i])
-                i = i[_alike(bits[i], bits[i - d], n[i], n[i - d], percent)]
-                (near if d == 1 else far).append(np.c_[np.minimum(ids[i], ids[i - d]), np.maximum(ids[i], ids[i - d])])
+                if d > CLOSE:
+                    # Only regions small enough to be compared whole; the held rows make none look smaller than that.
+                    i = i[size[i] <= NEIGHBOURS + 1]
+                ok, agree = _alike(bits[i], bits[i - d], n[i], n[i - d], percent)
+                i = i[ok]
+                (near if d == 1 else far).append(np.c_[np.minimum(ids[i], ids[i - d]), np.maximum(ids[i], ids[i - d]), agree[ok]])
             yield rows(1, np.unique(np.vstack(near), axis=0))
             yield rows(2, np.unique(np.vstack(far), axis=0))
             yield places(large)
@@ -154,6 +166,14 @@ def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
+def _likeliest(near: DataFrame) -> DataFrame:
+    """Of the candidates (a, b, agree) those that are among the PARTNERS of either end whose signatures agree most."""
+    one = near.groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    ends = one.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
+    rank = F.row_number().over(W.partitionBy("end").orderBy(F.desc("agree"), "a", "b"))
+    return ends.withColumn("rank", rank).where(F.col("rank") <= PARTNERS).select("a", "b").distinct()
+
+
 def _region(depth: int):
     return F.concat(F.unhex(F.lpad(F.hex(F.col("tree")), 2, "0")), F.substring("key", 1, 4 * depth))
 
@@ -183,7 +203,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets overlap enough."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     sets = table(_sets(texts.join(bounded(table(ends), BROADCAST_IDS), "id", "left_semi")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = bounded(pairs, BROADCAST_PAIRS).join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     linked = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), shared.alias("shared"))
     return linked.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
@@ -200,11 +220,15 @@ def _rest(members: DataFrame, label: DataFrame, texts: DataFrame, percent: int)
     m = members.select("id", _region(MIN_DEPTH).alias("r")).join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
     split = m.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi"))
     ids = table(m.join(split, "r", "left_semi").select("id", "c").distinct())
-    sets = table(_sets(texts.join(bounded(ids, BROADCAST_IDS).select("id"), "id", "left_semi")).join(ids, "id").select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x")))
-    often = sets.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    ranked = sets.join(often, "x").withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("df", "x")))
+    sets = table(_sets(texts.join(bounded(ids, BROADCAST_IDS).select("id"), "id", "left_semi")).join(bounded(ids, BROADCAST_IDS), "id"))
+    rows = sets.select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("df > 1")
+    # Shingles of one set only come first and need no row: a set's others are counted from behind.
+    of_set = W.partitionBy("id")
+    ranked = rows.join(often, "x").select("id", "c", "n", "x", "df", (F.col("lo") != F.col("hi")).alias("split"))
+    ranked = ranked.withColumn("k", F.col("n") - F.count(F.lit(1)).over(of_set) + F.row_number().over(of_set.orderBy("df", "x")))
     n = F.col("n")
-    probe = ranked.where((F.col("k") <= n - F.ceil(n * percent / 100) + 1) & (F.col("lo") != F.col("hi"))).select("x", "id", "c", "n", "k")
+    probe = ranked.where((F.col("k") <= n - F.ceil(n * percent / 100) + 1) & F.col("split")).select("x", "id", "c", "n", "k")
     probe = table(probe)
     index = probe.where(F.col("k") <= n - F.ceil(n * 2 * percent / (100 + percent)) + 1)
     s, l = index.alias("s"), probe.alias("l")
@@ -235,12 +259,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
         texts = texts.dropDuplicates(["id"])
     large = near.where("d = 0").select(F.col("region").alias("r")).distinct()
     members = table(rows.withColumn("r", _region(MIN_DEPTH)).join(large, "r", "left_semi").select("tree", "key", "id", "n"))
-    # First the nearest and the stars; the other neighbours and the rest only where components still differ.
-    pairs = near.where("d = 1").select("a", "b").union(_stars(members, percent)).distinct()
-    links = _confirm(table(pairs), texts, percent)
+    # First the likeliest partners of each class; all else only where components still differ. Sets travel with pairs.
+    links = table(_confirm(table(_likeliest(near.where("d = 1"))), texts, percent))
     label = table(components(links))
     of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-    other = near.where("d = 2").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    other = near.where("d > 0").select("a", "b").union(_stars(members, percent)).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     other = other.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = table(_confirm(table(other.union(_rest(members, label, texts, percent)).distinct()), texts, percent))
     if more.limit(1).count():
