@@ -27,9 +27,9 @@ DEPTH = 5
 #: Rows of a shard of the model that is broadcast (12 bytes each), and its words that are counted in a task's own table.
 SHARD_ROWS, HEAD_WORDS = 8_000_000, 200_000
 #: Distinct words or byte sequences that a counting task holds before it emits them.
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: Characters of text that are turned into numbers at once, unless one text is longer.
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 1_000_000
 END = b"\n"
 _SHARD_BYTES = 3
 
@@ -136,7 +136,7 @@ class Coder:
     def __init__(self, keys: np.ndarray, p: np.ndarray, depth: int):
         self.keys, self.p, self.depth = keys, p, depth
         self.bits = 18
-        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
 
     @staticmethod
     def key(d: int, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -161,20 +161,33 @@ class Coder:
     def score(self, g: np.ndarray) -> np.ndarray:
         """log10 probabilities of numbers; a direct-mapped table keeps what was computed last for each slot."""
         slot = ((g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.values[slot]
+        out = self.values[slot].astype(np.float64)
         miss = np.nonzero(self.slots[slot] != g)[0]
         if len(miss):
             new, at = np.unique(g[miss], return_inverse=True)
             value = self.fresh(new)
             out[miss] = value[at]
-            if self.bits < 22 and len(new) > 1 << (self.bits - 2):
-                self.bits = 22
-                self.slots, self.values = np.full(1 << 22, -1, np.int64), np.zeros(1 << 22)
+            if self.bits < 21 and len(new) > 1 << (self.bits - 2):
+                self.bits = 21
+                self.slots, self.values = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, np.float32)
             where = ((new.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
             self.slots[where], self.values[where] = new, value
         return out
 
 
+def _head_count(vocabulary: DataFrame, words: int) -> int:
+    """A count that at most so many words reach, from a histogram of counts in at most 64 * 32 bins."""
+    shift = F.greatest(F.length(F.bin("c")) - 6, F.lit(0))
+    low = F.call_function("shiftleft", F.call_function("shiftright", F.col("c"), shift), shift)
+    least, total = 1 << 62, 0
+    for r in sorted(vocabulary.groupBy(low.alias("low")).count().collect(), reverse=True):
+        total += r["count"]
+        if total > words:
+            break
+        least = r["low"]
+    return least
+
+
 def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: int = 7, held: int = 2, depth: int = DEPTH, shard_rows: int = SHARD_ROWS, head_words: int = HEAD_WORDS) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
@@ -188,7 +201,7 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
     total = vocabulary.agg(F.sum("c"), F.count("c"), F.max(F.when(F.col("w") == F.lit(END), F.col("c")))).first()
     tokens, distinct = int(total[0] or 0), int(total[1])
     ends = {END: float(np.log10(total[2] + 1.0))} if total[2] else {}
-    head = vocabulary.orderBy(F.desc("c"), "w").limit(head_words).toArrow()
+    head = vocabulary.where(F.col("c") >= _head_count(vocabulary, head_words)).toArrow()
     model = table(trees(found.where(F.col("g").isNotNull()).select("g", "n"), depth))
     shards = max(1, -(-model.count() // shard_rows))
     spark = docs.sparkSession
@@ -197,9 +210,15 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
     def one(k: int) -> DataFrame:
         rows = model.where((F.col("d") < _SHARD_BYTES) | (F.pmod(F.col("ctx").bitwiseAND(F.lit((1 << 8 * _SHARD_BYTES) - 1)), F.lit(shards)) == k)) if shards > 1 else model
         a = rows.select(F.shiftleft("ctx", 11).bitwiseOR(F.shiftleft("d", 8).cast("long")).bitwiseOR(F.col("node").cast("long")).alias("k"), F.col("p").cast("float").alias("p")).toArrow()
+        # Each copy goes before the next one is made: a shard is about 100 MB.
         keys, p = a["k"].to_numpy(), a["p"].to_numpy()
+        del a
         order = np.argsort(keys)
-        shipped = spark.sparkContext.broadcast((keys[order], p[order].astype(np.float32)))
+        keys = keys[order]
+        p = p[order]
+        del order
+        shipped = spark.sparkContext.broadcast((keys, p))
+        del keys, p
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder, row = Coder(*shipped.value, depth), TaskContext.get().partitionId() << 40
