@@ -279,7 +279,8 @@ def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", perc
     """The rows of docs of which their group keeps the smallest id, with the same columns; of repeated ids one row stays."""
     ids = near_duplicates(docs, text, ident, percent).where("kept").select(F.col("id").alias("_kept"))
     ids = table(ids)
-    kept = docs.join(ids.where(F.col("_kept").isNotNull()).distinct(), F.col(ident).cast("long") == F.col("_kept"), "left_semi")
+    # Few enough ids go to the texts; else the texts go to them.
+    kept = docs.join(bounded(table(ids.where(F.col("_kept").isNotNull()).distinct()), BROADCAST_IDS), F.col(ident).cast("long") == F.col("_kept"), "left_semi")
     if ids.where(F.col("_kept").isNotNull()).groupBy("_kept").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([ident])
     return kept.union(docs.where(F.col(ident).isNull()))
