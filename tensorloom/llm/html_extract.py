@@ -1,17 +1,11 @@
-"""Main text of web pages by equivalence classes of structural tokens across the pages of a host.
-
-A structural token is a container element by its path of tags and class words. Its occurrence vector says how often
-each page of the host has it; tokens with equal vectors form a class. A class is valid if enough of the host's pages
-have it equally often, and if its members nest: the path above each member is a member of a valid class. The valid
-classes, nested by their paths, are the host's template, and the text between template tokens fills slots. The main
-slot is an article element or else the deepest token that holds most of the running text of the host's pages;
-boilerplate slots inside it are taken out. Vectors are never built: a commutative digest of (page, count) stands for
-each, so that hosts of any size aggregate in parts before the shuffle.
+"""Main text of web pages: the smallest element that holds all running text outside boilerplate.
+
+Boilerplate goes by element names, roles and class words. What is left, wherever it stands, is the page's text: the main
+slot is the deepest element above all of its running text, so that sibling containers and several articles are kept.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -22,14 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, table
 from .sentencepiece_codec import _pieces
 
-#: Share of a host's pages that a valid class needs, and share of the host's running text that a main slot needs.
-SUPPORT, MAIN_SHARE = 0.6, 0.7
-#: Hosts whose templates may be broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
-
 # HTML element names by what they do.
 RAW = frozenset("script style noscript template iframe svg math canvas object textarea select title xmp noembed noframes".split())
 CONTAINERS = frozenset("html head body div section article main nav aside header footer form ul ol dl table figure details dialog fieldset menu".split())
@@ -131,104 +119,49 @@ def blocks(page: str) -> tuple[list[tuple[Element, str, int]], list[Element]]:
     return out, seen
 
 
-def _mass(page: str) -> dict[str, list[int]]:
-    """role -> [count, running text below it (characters outside boilerplate and links), article rank]."""
-    parts, seen = blocks(page)
-    roles: dict[str, list[int]] = {}
-    for e in seen:
-        r = roles.setdefault(e.role, [0, 0, e.rank])
-        r[0] += 1
-        if e.boiler:
-            r[2] = -1
-    for e, text, linked in parts:
-        if not e.boiler:
-            up, names = e, set()
-            while up is not None:
-                names.add(up.role)
-                up = up.above
-            for name in names:
-                roles[name][1] += max(0, len(text) - linked)
-    return roles
-
-
-def main_text(page: str | None, main: str | None = None) -> str:
-    """The blocks below the elements of that role, without boilerplate, joined by blank lines; without such an element the page decides alone."""
-    parts, seen = blocks(page or "")
-    if main is None or all(e.role != main for e in seen):
-        main = _choose([(role, n[1], n[2]) for role, n in _mass(page or "").items()])
-    top = [e for e in seen if e.role == main]
-    # An article inside boilerplate (a teaser in a sidebar) does not count; boilerplate is judged from the main element down.
-    inside = {id(e) for e in top}
-    kept = []
-    for e, text, _ in parts:
-        up, below = e, False
-        while up is not None:
-            if id(up) in inside:
-                below = True
-                break
-            up = up.above
-        if below and not e.boiler:
-            kept.append(text)
-    return "\n\n".join(kept)
-
-
-def _choose(roles: list[tuple[str, int, int]]) -> str:
-    """Of (role, text, rank) the main role: an article or main element with enough text, else the deepest with most of it."""
-    whole = max((t for r, t, _ in roles if r == ""), default=0)
-    fit = [(rank, role.count("/"), t, role) for role, t, rank in roles if rank >= 0 and t >= (0.3 if rank else MAIN_SHARE) * whole and t > 0]
-    return max(fit, key=lambda x: (x[0], x[1] if not x[0] else -x[1], x[2], x[3]))[3] if fit else ""
-
-
-def occurrences(pages: DataFrame, host: str, ident: str, page: str) -> DataFrame:
-    """(host, role, digest, pages, total, text, rank) of each structural token of each host."""
+def main_text(page: str | None) -> str:
+    """The main slot's blocks without boilerplate, joined by blank lines: the smallest element that holds all running text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in _pieces(whole, 2):
-                rows = [(h, role, int.from_bytes(hashlib.blake2b(f"{i}\0{n}".encode(), digest_size=8).digest(), "big", signed=True), n, t, r) for h, i, p in zip(*(c.to_pylist() for c in b.columns), strict=True) for role, (n, t, r) in _mass(p or "").items()]
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "role", "h", "n", "t", "r"])
-
-    each = pages.select(F.col(host).alias("host"), F.col(ident).cast("string").alias("id"), F.col(page).alias("page")).mapInArrow(run, "host string, role string, h long, n long, t long, r long")
-    return each.groupBy("host", "role").agg(F.bit_xor("h").alias("digest"), F.count(F.lit(1)).alias("pages"), F.sum("n").alias("total"), F.sum("t").alias("text"), F.min("r").alias("rank"))
-
-
-def templates(found: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(host, main): the main slot's role, among the tokens of valid nested classes."""
-    size = found.where("role = ''").select("host", F.col("pages").alias("of"), F.col("text").alias("whole"))
-    classes = found.join(size, "host").where((F.col("pages") >= support * F.col("of")) & (F.col("total") % F.col("pages") == 0))
-    grouped = classes.groupBy("host", "digest", "pages", "total", "of", "whole").agg(F.collect_list(F.struct("role", "text", "rank")).alias("members"))
-    tokens = table(grouped.select("host", "of", "whole", F.explode("members").alias("m")).select("host", "whole", "m.*"))
-    above = F.regexp_replace("role", "/[^/]*$", "")
-    nested = tokens.withColumn("above", above).join(tokens.select(F.col("host").alias("_h"), F.col("role").alias("_r")), (F.col("host") == F.col("_h")) & (F.col("above") == F.col("_r")), "left_semi")
-    depth = F.length("role") - F.length(F.regexp_replace("role", "/", ""))
-    need = F.when(F.col("rank") > 0, 0.3).otherwise(MAIN_SHARE) * F.col("whole")
-    fit = nested.where((F.col("rank") >= 0) & (F.col("text") > 0) & (F.col("text") >= need))
-    best = fit.groupBy("host").agg(F.max(F.struct("rank", F.when(F.col("rank") == 0, depth).otherwise(-depth).alias("d"), "text", "role")).alias("b"))
-    return best.select("host", F.col("b.role").alias("main"))
-
-
-def extract(pages: DataFrame, page: str = "html", url: str = "url", ident: str = "page_id") -> DataFrame:
-    """pages with `text`: the main text, "" if there is none. Null urls share the host ""; null or empty pages have no text.
-
-    Repeated rows are extracted alike; columns already named text, _host or _main are replaced; an empty table stays empty.
+    Only what is boilerplate, and blocks of nothing but links outside that element, are left out.
+    """
+    kept = [part for part in blocks(page or "")[0] if not part[0].boiler]
+    shared: list[Element] | None = None
+    for e, text, linked in kept:
+        if len(text) > linked:
+            path = _path(e)
+            if shared is None:
+                shared = path
+            else:
+                n = next((k for k, (x, y) in enumerate(zip(shared, path, strict=False)) if x is not y), min(len(shared), len(path)))
+                del shared[n:]
+    main = shared[-1] if shared else None
+    return "\n\n".join(text for e, text, _ in kept if main is None or any(x is main for x in _path(e)))
+
+
+def _path(e: Element | None) -> list[Element]:
+    """The elements from the page down to e."""
+    up = []
+    while e is not None:
+        up.append(e)
+        e = e.above
+    return up[::-1]
+
+
+def extract(pages: DataFrame, page: str = "html") -> DataFrame:
+    """pages with `text`: the main text, "" if there is none. Null or empty pages have no text.
+
+    Repeated rows are extracted alike; a column already named text is replaced; an empty table stays empty.
     """
-    pages = pages.drop("_host", "_main")
-    host = F.coalesce(F.regexp_extract(F.lower(url), r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))
-    known = pages.withColumn("_host", host)
-    found = table(templates(table(occurrences(known, "_host", ident, page))).select(F.col("host").alias("_h"), F.col("main").alias("_main")))
-    joined = known.join(bounded(found, BROADCAST_HOSTS), F.col("_host") == F.col("_h"), "left").drop("_h", "_host")
     keep = [c for c in pages.columns if c != "text"]
     schema = T.StructType([f for f in pages.schema if f.name != "text"] + [T.StructField("text", T.StringType(), False)])
     source = page if page != "text" else "_page"
-    joined = joined.withColumn("_page", F.col(page)) if page == "text" else joined
+    pages = pages.withColumn("_page", F.col(page)) if page == "text" else pages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = whole.schema.get_field_index(source)
             for b in _pieces(whole, at):
-                mains = b.column(b.schema.get_field_index("_main")).to_pylist()
-                texts = [main_text(p, m) for p, m in zip(b.column(at).to_pylist(), mains, strict=True)]
+                texts = [main_text(p) for p in b.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return joined.mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)

@@ -41,3 +41,12 @@ def test_whole_table(spark, sf_dir):
         article = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
         plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert r["text"] == "\n\n".join(b for b in plain if b) and r["n_chars"] == len(r["text"])
+
+
+def test_siblings_and_several_articles():
+    lead, body = "The lead tells it in short. " * 3, "The body tells it at length. " * 9
+    for a, b in (('<div class="lead">', '<div class="text">'), ('<article class="first">', '<article class="second">'), ("<div>", '<article class="teaser">')):
+        end = "</" + b[1:].split()[0].rstrip(">") + ">"
+        page = f'<body><nav>Menu</nav><div class="content">{a}<p>{lead}</p></{a[1:].split()[0].rstrip(">")}>{b}<p>{body}</p>{end}</div><div><a href="/">Home</a></div></body>'
+        assert main_text(page) == lead.strip() + "\n\n" + body.strip()
+        assert main_text(page.replace(lead, "#").replace(body, lead).replace("#", body)) == body.strip() + "\n\n" + lead.strip()
