@@ -1,14 +1,23 @@
-"""Main text of web pages: the smallest element that holds all running text outside boilerplate.
+"""Main text of web pages by equivalence classes of structural tokens across the pages of a host.
 
-Boilerplate goes by element names, roles and class words. What is left, wherever it stands, is the page's text: the main
-slot is the deepest element above all of its running text, so that sibling containers and several articles are kept.
+A structural token is a container element by its path of tags and class words, or a block's text in such a container. Its
+occurrence vector says how often each distinct page of the host has it; tokens with equal vectors form a class. A class
+is valid if enough pages have it, and if its members nest: a block's text belongs to the class of a container on its own
+path. Text of valid classes is the host's template, such as notices that every page repeats, or the label of a box that
+stands wherever the box does; text that repeats on its own is not. Vectors are never built: sums of a hash of (page,
+count) stand for each, so that hosts of any size aggregate in parts before the shuffle.
+
+What is left fills the slots. Boilerplate among it goes by element names, roles and class words, and the main slot is
+the deepest element above all of the page's running text, so that sibling containers and several articles are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -16,8 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded, table
 from .sentencepiece_codec import _pieces
 
+#: Share of a host's distinct pages, and how many of them at least, that a valid class needs.
+SUPPORT, MIN_PAGES = 0.6, 10
+#: Hosts whose templates may be broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
+
 # HTML element names by what they do.
 RAW = frozenset("script style noscript template iframe svg math canvas object textarea select title xmp noembed noframes".split())
 CONTAINERS = frozenset("html head body div section article main nav aside header footer form ul ol dl table figure details dialog fieldset menu".split())
@@ -119,12 +134,14 @@ def blocks(page: str) -> tuple[list[tuple[Element, str, int]], list[Element]]:
     return out, seen
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, template: Collection[int] = ()) -> str:
     """The main slot's blocks without boilerplate, joined by blank lines: the smallest element that holds all running text.
 
-    Only what is boilerplate, and blocks of nothing but links outside that element, are left out.
+    Only what is boilerplate or the template's text, and blocks of nothing but links outside that element, are left out.
+    A page of nothing but template text keeps it: there, nothing tells the template from the content.
     """
     kept = [part for part in blocks(page or "")[0] if not part[0].boiler]
+    kept = [part for part in kept if _token(part[0].role, part[1]) not in template] or kept if template else kept
     shared: list[Element] | None = None
     for e, text, linked in kept:
         if len(text) > linked:
@@ -138,6 +155,11 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(text for e, text, _ in kept if main is None or any(x is main for x in _path(e)))
 
 
+def _token(role: str, text: str) -> int:
+    """The number of a block's text in a container."""
+    return int.from_bytes(hashlib.blake2b(f"{role}\0{text}".encode(errors="replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def _path(e: Element | None) -> list[Element]:
     """The elements from the page down to e."""
     up = []
@@ -147,21 +169,60 @@ def _path(e: Element | None) -> list[Element]:
     return up[::-1]
 
 
-def extract(pages: DataFrame, page: str = "html") -> DataFrame:
-    """pages with `text`: the main text, "" if there is none. Null or empty pages have no text.
+def occurrences(pages: DataFrame, host: str, page: str) -> DataFrame:
+    """(host, role, token, a, b, pages) of each container (token null) and block text of each host; (a, b) stands for its vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _pieces(whole, 2):
+                rows = []
+                for h, k, p in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    parts, seen = blocks(p or "")
+                    found = Counter((e.role, None) for e in seen if not e.boiler)
+                    found.update((e.role, _token(e.role, text)) for e, text, _ in parts if not e.boiler)
+                    rows += [(h, role, token, k, n) for (role, token), n in found.items()]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["host", "role", "token", "k", "n"])
+
+    each = pages.select(F.col(host).alias("host"), F.xxhash64(page).alias("k"), F.col(page).alias("page")).mapInArrow(run, "host string, role string, token long, k long, n long")
+    # Equal pages of a host count once.
+    each = each.groupBy("host", "role", "token", "k").agg(F.max("n").alias("n"))
+    half = lambda seed: F.sum(F.xxhash64("k", "n", F.lit(seed)).bitwiseAND(F.lit((1 << 31) - 1)))
+    return each.groupBy("host", "role", "token").agg(half(1).alias("a"), half(2).alias("b"), F.count(F.lit(1)).alias("pages"))
+
+
+def templates(found: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, template): the tokens of block texts in valid classes.
+
+    A class's containers nest by themselves: what is above a container has all of its pages, hence their support.
+    """
+    size = found.where("role = '' AND token IS NULL").select("host", F.col("pages").alias("of"))
+    many = table(found.where(F.col("pages") >= min_pages).join(size, "host").where(F.col("pages") >= support * F.col("of")))
+    frames = many.where("token IS NULL").select("host", "a", "b", "pages", F.col("role").alias("frame"))
+    texts = many.where("token IS NOT NULL").join(frames, ["host", "a", "b", "pages"])
+    return texts.where((F.col("role") == F.col("frame")) | F.startswith("role", F.concat("frame", F.lit("/")))).groupBy("host").agg(F.array_sort(F.collect_set("token")).alias("template"))
+
+
+def extract(pages: DataFrame, page: str = "html", url: str = "url") -> DataFrame:
+    """pages with `text`: the main text, "" if there is none. Null urls share the host ""; null or empty pages have no text.
 
-    Repeated rows are extracted alike; a column already named text is replaced; an empty table stays empty.
+    Repeated rows are extracted alike; columns already named text, _host, _h or _template are replaced; an empty table stays empty.
     """
+    pages = pages.drop("_host", "_h", "_template")
+    known = pages.withColumn("_host", F.coalesce(F.regexp_extract(F.lower(url), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+    found = table(templates(table(occurrences(known, "_host", page))).select(F.col("host").alias("_h"), F.col("template").alias("_template")))
+    joined = known.join(bounded(found, BROADCAST_HOSTS), F.col("_host") == F.col("_h"), "left").drop("_h", "_host")
     keep = [c for c in pages.columns if c != "text"]
     schema = T.StructType([f for f in pages.schema if f.name != "text"] + [T.StructField("text", T.StringType(), False)])
     source = page if page != "text" else "_page"
-    pages = pages.withColumn("_page", F.col(page)) if page == "text" else pages
+    joined = joined.withColumn("_page", F.col(page)) if page == "text" else joined
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             at = whole.schema.get_field_index(source)
             for b in _pieces(whole, at):
-                texts = [main_text(p) for p in b.column(at).to_pylist()]
+                known = b.column(b.schema.get_field_index("_template")).to_pylist()
+                texts = [main_text(p, frozenset(k or ())) for p, k in zip(b.column(at).to_pylist(), known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return pages.mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

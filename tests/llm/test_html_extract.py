@@ -50,3 +50,19 @@ def test_siblings_and_several_articles():
         page = f'<body><nav>Menu</nav><div class="content">{a}<p>{lead}</p></{a[1:].split()[0].rstrip(">")}>{b}<p>{body}</p>{end}</div><div><a href="/">Home</a></div></body>'
         assert main_text(page) == lead.strip() + "\n\n" + body.strip()
         assert main_text(page.replace(lead, "#").replace(body, lead).replace("#", body)) == body.strip() + "\n\n" + lead.strip()
+
+
+def test_classes_decide_the_template(spark):
+    # The notice and the boxes' label stand wherever their containers do; the scene break stands on as many pages as the notice, but by itself.
+    def page(i):
+        notice = f'<div class="x1"><p>Sent to you by the editors</p><p>No. {i}</p></div>' if i % 3 else ""
+        boxes = '<section class="q7"><p>Read on</p></section>' * (1 + i % 4)
+        parts = [f"<p>Story {i} begins here.</p>", *["<p>* * *</p>"] * (i % 5 and 1 + i % 2), f"<p>Story {i} ends here.</p>"]
+        return f'<body><div class="z9">{notice}<div class="k3">{"".join(parts)}</div>{boxes}</div></body>'
+
+    rows = [(i, f"http://n.example/{i}", page(i)) for i in range(30)] + [(100 + i, "http://same.example/", "<p>one text</p>") for i in range(40)] + [(200 + i, f"http://few.example/{i}", f"<p>kept</p><p>{i}</p>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        number = [f"No. {i}"] if i % 3 else []
+        assert got[i].split("\n\n") == [*number, f"Story {i} begins here.", *["* * *"] * (i % 5 and 1 + i % 2), f"Story {i} ends here."]
+    assert all(got[100 + i] == "one text" for i in range(40)) and all(got[200 + i] == f"kept\n\n{i}" for i in range(6))
