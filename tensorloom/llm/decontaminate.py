@@ -4,7 +4,9 @@ A window of as many words as an item is similar to it if its WIDTH-word shingles
 share enough: 100 * sum of minima >= percent * sum of maxima. Only windows that begin at a shingle of the item, or end
 the text, are fingerprinted, and of these only those that hold enough shingles of the item: sliding a window up to the
 next such shingle loses none, so the best window is among them. A 64-bit SimHash of each goes through a multi-index of
-RADIUS + 1 blocks, one of which must be equal within RADIUS bits, and the candidates are verified on the full bags.
+RADIUS + 1 blocks, one of which must be equal within RADIUS bits, and the candidates are verified on the full bags. The
+SimHash is over (shingle, which occurrence of it): such elements are distinct and two bags share as many as the sum of
+minima, so the angle follows from the similarity however often a shingle repeats.
 Everything is DataFrame expressions.
 """
 
@@ -42,6 +44,13 @@ def _blocks(fp: Column) -> Column:
     return F.array(*parts)
 
 
+def _numbered(h: Column) -> Column:
+    """For each element of the array a hash of it and of how many equal ones stand before it, in no particular order."""
+    one = lambda x, k: F.xxhash64(x, k)
+    repeats = let(F.array_sort(h), lambda s: F.transform(s, lambda x, i: one(x, (i + 1 - F.array_position(s, x)).cast("int"))))
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.transform(h, lambda x: one(x, F.lit(0)))).otherwise(repeats)
+
+
 def _bag(h: Column) -> Column:
     """Each distinct hash with its count."""
     return F.transform(F.array_distinct(h), lambda x: F.struct(x.alias("x"), F.size(F.filter(h, lambda y: y == x)).alias("k")))
@@ -88,8 +97,8 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", ident: str =
     w2 = windows.withColumnsRenamed({"_id": "_i", "_hash": "_h"})
     near = texts.join(w2, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))).select("_id", "_hash", "words", "start", "width", F.slice("w", F.col("start") + 1, F.col("k") + F.col("width") - 1).alias("w"))
     near = near.select("_id", "_hash", "words", "start", _shingles(F.col("w"), F.col("width")).alias("h"))
-    printed = table(near.select("*", _simhash(F.col("h")).alias("fp")))
-    target = items.select("item", "words", F.col("h").alias("ih"), _simhash(F.col("h")).alias("ifp"))
+    printed = table(near.select("*", let(_numbered(F.col("h")), _simhash).alias("fp")))
+    target = items.select("item", "words", F.col("h").alias("ih"), let(_numbered(F.col("h")), _simhash).alias("ifp"))
     left = printed.select("_id", "_hash", "words", "start", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     right = target.select("item", "words", "ifp", F.explode(_blocks(F.col("ifp"))).alias("b")).select("*", "b.block", "b.value").drop("b")
     close = left.join(right, ["words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS)

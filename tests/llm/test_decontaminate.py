@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from tensorloom.llm import decontaminate
 
 
@@ -61,3 +63,19 @@ def test_mark_keeps_every_row(spark):
     assert sorted((str(r["doc_id"]), r["leak"]["contaminated"], r["leak"]["item_ids"]) for r in out.collect()) == [("1", True, [7, 8]), ("1", True, [7, 8]), ("2", False, []), ("3", False, []), ("None", True, [7, 8])]
     assert decontaminate.mark(docs, items.limit(0)).where("leak.contaminated").count() == 0
     assert decontaminate.mark(docs.limit(0), items).collect() == []
+
+
+def test_repeats_behind_a_long_passage(spark):
+    # A passage cut near its end and followed by a run of one word: the window's repeated shingle must not outweigh the rest.
+    rng = random.Random(8)
+    items = [(k, " ".join(f"v{rng.randrange(10**6)}" for _ in range(404))) for k in range(12)]
+    docs = [(k, " ".join(words(t)[:360]) + " *" * 44) for k, t in items]
+    got = decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["_id"], r["item"]): r["similarity"] for r in got.collect()}
+    assert len(found) == 12 and found == brute(docs, items)
+
+
+def test_numbered_bag(spark):
+    bags = [[3, 3, 5, 3], [5, 3, 3, 3], [3, 3, 5], [], [5]]
+    out = [r[0] for r in spark.createDataFrame([(b,) for b in bags], "h array<bigint>").select(decontaminate._numbered(F.col("h"))).collect()]
+    assert [len(set(x)) for x in out] == [4, 4, 3, 0, 1] and set(out[0]) == set(out[1]) > set(out[2]) > set(out[4])
