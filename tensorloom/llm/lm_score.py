@@ -103,7 +103,7 @@ def _kt(n0: Column, n1: Column) -> Column:
 
 
 def trees(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(d, ctx, node, p): probability of a one at each seen node (1 to 255) of each seen context of d bytes, unless the context of d - 1 bytes gives the same."""
+    """(d, ctx, node, odds): ln of the odds of a one at each seen node (1 to 255) of each seen context of d bytes, unless the context of d - 1 bytes gives the same."""
     bits = [F.struct(F.lit(1 << i).bitwiseOR(F.shiftright("b", 8 - i)).cast("int").alias("node"), F.shiftright("b", 7 - i).bitwiseAND(F.lit(1)).alias("bit")) for i in range(8)]
     leaf = grams.select(F.shiftright("g", 8).alias("ctx"), F.col("g").bitwiseAND(F.lit(255)).cast("int").alias("b"), "n").select("ctx", "n", F.explode(F.array(*bits)).alias("x"))
     leaf = leaf.groupBy("ctx", F.col("x.node").alias("node")).agg(F.sum(F.when(F.col("x.bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("x.bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
@@ -118,10 +118,10 @@ def trees(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     # A node with all the counts of the one above it has the same p and is left out.
     seen = (F.col("n0") + F.col("n1")).alias("seen")
     now = levels[0].select("ctx", "node", "stop", own.alias("kt"), F.lit(1.0).alias("left"), F.lit(0.0).alias("sum"), seen, F.lit(True).alias("new"))
-    found = None
+    found, p = None, F.col("sum") + F.col("left") * F.col("kt")
     for d in range(depth + 1):
         now = table(now)
-        here = now.where("new").select(F.lit(d).alias("d"), "ctx", "node", (F.col("sum") + F.col("left") * F.col("kt")).alias("p"))
+        here = now.where("new").select(F.lit(d).alias("d"), "ctx", "node", p.alias("p")).select("d", "ctx", "node", (F.log("p") - F.log(1 - F.col("p"))).alias("odds"))
         found = here if found is None else found.union(here)
         if d < depth:
             above = now.select(F.col("ctx").alias("_c"), F.col("node").alias("_n"), F.col("seen").alias("_seen"), (F.col("left") * (1 - F.col("stop"))).alias("left"), (F.col("sum") + F.col("left") * F.col("stop") * F.col("kt")).alias("sum"))
@@ -133,8 +133,9 @@ def trees(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 class Coder:
     """log10 probabilities of (context, byte) numbers, from the sorted rows of one shard of the model."""
 
-    def __init__(self, keys: np.ndarray, p: np.ndarray, depth: int):
-        self.keys, self.p, self.depth = keys, p, depth
+    def __init__(self, keys: np.ndarray, odds: np.ndarray, depth: int):
+        # ln of the odds: float32 keeps both sides' relative precision, where p itself would round to 1.
+        self.keys, self.odds, self.depth = keys, odds, depth
         self.bits = 18
         self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
 
@@ -148,14 +149,14 @@ class Coder:
         ctx, byte = g >> 8, g & 255
         for i in range(8):
             node, bit = (1 << i) | (byte >> (8 - i)), (byte >> (7 - i)) & 1
-            p, open_ = np.full(len(g), 0.5), np.arange(len(g))
+            odds, open_ = np.zeros(len(g)), np.arange(len(g))
             for d in range(self.depth, -1, -1):
                 k = self.key(d, ctx[open_] & ((1 << 8 * d) - 1), node[open_])
                 at = np.minimum(np.searchsorted(self.keys, k), max(len(self.keys) - 1, 0))
                 hit = self.keys[at] == k if len(self.keys) else np.zeros(len(k), bool)
-                p[open_[hit]] = self.p[at[hit]]
+                odds[open_[hit]] = self.odds[at[hit]]
                 open_ = open_[~hit]
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+            out -= np.logaddexp(0, np.where(bit == 1, -odds, odds)) / np.log(10)
         return out
 
     def score(self, g: np.ndarray) -> np.ndarray:
@@ -209,16 +210,16 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
 
     def one(k: int) -> DataFrame:
         rows = model.where((F.col("d") < _SHARD_BYTES) | (F.pmod(F.col("ctx").bitwiseAND(F.lit((1 << 8 * _SHARD_BYTES) - 1)), F.lit(shards)) == k)) if shards > 1 else model
-        a = rows.select(F.shiftleft("ctx", 11).bitwiseOR(F.shiftleft("d", 8).cast("long")).bitwiseOR(F.col("node").cast("long")).alias("k"), F.col("p").cast("float").alias("p")).toArrow()
+        a = rows.select(F.shiftleft("ctx", 11).bitwiseOR(F.shiftleft("d", 8).cast("long")).bitwiseOR(F.col("node").cast("long")).alias("k"), F.col("odds").cast("float").alias("odds")).toArrow()
         # Each copy goes before the next one is made: a shard is about 100 MB.
-        keys, p = a["k"].to_numpy(), a["p"].to_numpy()
+        keys, odds = a["k"].to_numpy(), a["odds"].to_numpy()
         del a
         order = np.argsort(keys)
         keys = keys[order]
-        p = p[order]
+        odds = odds[order]
         del order
-        shipped = spark.sparkContext.broadcast((keys, p))
-        del keys, p
+        shipped = spark.sparkContext.broadcast((keys, odds))
+        del keys, odds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             coder, row = Coder(*shipped.value, depth), TaskContext.get().partitionId() << 40

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tensorloom.llm import lm_score, queries
@@ -96,3 +97,14 @@ def test_empty_table_and_held_out(spark, sf_dir):
     rows = queries.op7_lm_scoring(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and r["score"] < 0 for r in rows)
+
+
+def test_rare_side_of_a_frequent_node(spark):
+    # "a" follows "a" in 1e8 places and nothing else does: "`" differs from it in the last bit only.
+    g = (97 << 8) | 97
+    rows = lm_score.trees(spark.createDataFrame([(g, 10**8)], "g long, n long"), 1).orderBy("d", "ctx", "node").toArrow()
+    keys = lm_score.Coder.key(*(rows[c].to_numpy().astype(np.int64) for c in ("d", "ctx", "node")))
+    order = np.argsort(keys)
+    coder = lm_score.Coder(keys[order], rows.column(3).to_numpy()[order].astype(np.float32), 1)
+    seen, other = coder.fresh(np.array([g, g - 1]))
+    assert other == pytest.approx(math.log10(0.5 / (10**8 + 1)), rel=1e-6) and seen == pytest.approx(8 * math.log10(1 - 0.5 / (10**8 + 1)), rel=1e-4)
