@@ -1,7 +1,7 @@
 """Licence scans by sentence rules: known sentences get identifiers, and ordered rules match runs of identifiers.
 
-A text is cut into sentences at line ends and after . ! or ? with a blank; a sentence is normalised to lower-case
-letters and digits with single blanks. Known sentences become identifiers, others a dash, and the rules are tried in
+A text is normalised to lower-case letters and digits with single blanks. Sentences end at blank lines; line ends and
+. ! ? : ; with white space may end one or stand inside, so that wrapped texts are known, too. Known sentences become identifiers, others a dash, and the rules are tried in
 order on the sequence: what a rule matches is taken out before the next one is tried, so longer texts come first.
 Everything is row-wise expressions; the tables of sentences and rules are small constants.
 """
@@ -70,16 +70,33 @@ RULES: list[tuple[str, list[str]]] = [
 ANCHOR = "(?i)licen[cs]e|permission|warrant|reserved|redistribut|compliance"
 
 
-def normalise(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+#: Marks of where a sentence may (line end, punctuation) or must (blank line) end. None is a letter, digit or blank.
+LINE, STOP, BLANK = "/", "|", "_"
+
+
+def marked(text: Column) -> Column:
+    """The normalised text with one mark at each possible end of a sentence, and at both ends."""
+    t = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
+    # What the text itself has of the marks goes first.
+    steps = [("[/|_<>]", " "), (r"\n[ \t]*\n\s*", BLANK), (r"[.!?:;][ \t]*(?=\n|_)|[.!?:;][ \t]+", STOP), ("\n", LINE), ("[^a-z0-9/|_]+", " "), ("[ /|]*_[ /|_]*", BLANK), (r"[ /]*\|[ /|]*", STOP), (" */[ /]*", LINE)]
+    for pattern, to in steps:
+        t = F.regexp_replace(t, pattern, to)
+    return F.concat(F.lit(STOP), F.trim(t), F.lit(STOP))
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences in order, "-" for each other sentence; null counts as empty."""
-    cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"([.!?])[ \t]+", "$1\n"), "\n")
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    sentences = F.filter(cut, lambda s: s.rlike("[A-Za-z0-9]"))
-    return F.transform(sentences, lambda s: F.when(s.rlike(ANCHOR), F.coalesce(F.try_element_at(known, normalise(s)), F.lit("-"))).otherwise(F.lit("-")))
+    """Identifiers of the known sentences in order, "-" for what stands between them; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+
+    def known(t: Column) -> Column:
+        # Longer sentences first: a shorter one may be the end of a longer one's wrapped line.
+        for sentence, ident in sorted(SENTENCES.items(), key=lambda x: -len(x[0])):
+            t = F.regexp_replace(t, f"(?<=[/|_]){sentence.replace(' ', '[ /|]')}(?=[/|_])", f"<{ident}>")
+        return t
+
+    parts = F.filter(F.split(known(marked(text)), "[/|_]"), lambda s: s != "")
+    found = F.transform(parts, lambda s: F.when(F.startswith(s, F.lit("<")), F.substring(s, 2, F.length(s) - 2)).otherwise(F.lit("-")))
+    return F.when(text.rlike(ANCHOR), found).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, text: str = "text", rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:

@@ -76,3 +76,57 @@ def test_preference_pairs(spark):
     assert got[2]["shared"] == 0 and got[2]["prompt"] == "" and got[2]["chosen"].startswith("<|user|>\ny") and got[2]["rejected"] == ""
     assert got[3]["rejected"] == "<|user|>\nlate<|end|>\n" and len(got) == 4
     assert preference.format_pairs(preference.alternate_pairs(c.limit(0)), c.limit(0)).collect() == []
+
+
+WRAPPED_MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+WRAPPED_BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *
+ * - Redistributions of source code must retain the above copyright notice, this
+ *   list of conditions and the following disclaimer.
+ * - Redistributions in binary form must reproduce the above copyright notice,
+ *   this list of conditions and the following disclaimer in the documentation
+ *   and/or other materials provided with the distribution.
+"""
+WRAPPED_GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.\r
+#\r
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the rest.
+"""
+WRAPPED_APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this
+file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_wrapped_licences(spark):
+    rows = [(1, WRAPPED_MIT), (2, WRAPPED_BSD), (3, WRAPPED_GPL), (4, WRAPPED_APACHE), (5, "All rights\n\nreserved. All\nrights reserved words"), (6, "a/b|c_d <all> rights\nreserved")]
+    got = {r["doc_id"]: r["licence"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got[1]["identifiers"] == ["mit-title", "mit-grant", "mit-condition", "mit-warranty"] and got[1]["licences"] == ["MIT"]
+    assert got[2]["identifiers"] == ["bsd-grant", "bsd-source", "bsd-binary"] and got[2]["rules"] == [5]
+    assert got[3]["identifiers"] == ["gpl3-grant", "gpl-warranty"] and got[3]["rules"] == [4]
+    assert got[4]["identifiers"] == ["apache-notice", "apache-compliance", "apache-copy"] and got[4]["rules"] == [2]
+    assert got[5]["identifiers"] == got[6]["identifiers"] == []
