@@ -3,10 +3,12 @@
 Texts with equal shingle sets first fall into one class, which takes part once. Each class has TREES sorted orders of
 DEPTH MinHash values. In every order the neighbours with the longest common prefix, at least MIN_DEPTH values, are
 candidates: where many classes share a short prefix the sort itself goes deeper, where few do it stays shallow. Two
-texts that share 85 percent of their shingles share a prefix in some order but for one pair in 100,000. A region (a shared prefix of MIN_DEPTH values) of up to NEIGHBOURS + 1 classes is compared whole, a larger one with the
-CLOSE next neighbours, and all of its members with its centre, at every depth. Candidates are confirmed on the full sets. Regions that are still split into
-several components then get an exact answer: a prefix-filtered set join, rarest shingles first, of classes from
-different components. No region is cut off.
+texts that share 85 percent of their shingles share a prefix in some order but for one pair in 100,000. Candidates are
+confirmed on the full sets, in rounds, and only between classes that are still in different components: first the
+likeliest neighbours, then all members of a large region with its centre, at every depth, then the likeliest again, then
+all pairs of the regions of up to NEIGHBOURS + 1 classes. Large regions that are still split into several components
+get an exact answer: a prefix-filtered set join, rarest shingles first, of classes from different components. It comes
+last, when a large group of near copies has grown together. No region is cut off.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ BITS = 64
 PERCENT = 80
 #: Candidates whose signatures agree this many standard deviations less than the threshold asks for are not confirmed.
 SIGMAS = 6
-#: Candidates of each class that are confirmed before components are looked at.
+#: Candidates of each class that are confirmed in a round, before components are looked at again.
 PARTNERS = 2
 #: Pairs of ids that may be broadcast to meet their first set.
 BROADCAST_PAIRS = 2_000_000
+#: Large regions whose sizes and centres may be broadcast.
+BROADCAST_REGIONS = 500_000
 #: Ids that may be broadcast to pick their texts; for more the texts are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Characters of text that are hashed at once, unless one text is longer.
@@ -116,18 +120,21 @@ def _alike(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndar
 
 
 def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
-    """From sorted partitions: candidates (a, b) with d = 1 for those next to each other in some order, and the regions
-    with more classes than neighbours are looked at, or that a partition begins or ends in, with d = 0."""
-    schema = "d int, a long, b long, agree int, region binary"
+    """From sorted partitions: candidates (a, b) with d = 1 for those next to each other in some order and whole for those of
+    a region that is compared whole, and with d = 0 the regions with more classes than neighbours are looked at, or that a
+    partition begins or ends in."""
+    schema = "d int, a long, b long, agree int, whole boolean, region binary"
     prefix = 4 * MIN_DEPTH
 
+    names = ["d", "a", "b", "agree", "whole", "region"]
+
     def rows(d: int, pairs: np.ndarray) -> pa.RecordBatch:
         n = len(pairs)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(pairs[:, 2], pa.int32()), pa.nulls(n, pa.binary())], names=["d", "a", "b", "agree", "region"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(pairs[:, 2], pa.int32()), pa.array(pairs[:, 3] > 0), pa.nulls(n, pa.binary())], names=names)
 
     def places(regions: set[bytes]) -> pa.RecordBatch:
         n = len(regions)
-        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(sorted(regions), pa.binary())], names=["d", "a", "b", "agree", "region"])
+        return pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), pa.array(sorted(regions), pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, None
@@ -155,7 +162,7 @@ def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
                     i = i[size[i] <= NEIGHBOURS + 1]
                 ok, agree = _alike(bits[i], bits[i - d], n[i], n[i - d], percent)
                 i = i[ok]
-                (near if d == 1 else far).append(np.c_[np.minimum(ids[i], ids[i - d]), np.maximum(ids[i], ids[i - d]), agree[ok]])
+                (near if d == 1 else far).append(np.c_[np.minimum(ids[i], ids[i - d]), np.maximum(ids[i], ids[i - d]), agree[ok], size[i] <= NEIGHBOURS + 1])
             yield rows(1, np.unique(np.vstack(near), axis=0))
             yield rows(2, np.unique(np.vstack(far), axis=0))
             yield places(large)
@@ -166,14 +173,20 @@ def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def _likeliest(near: DataFrame) -> DataFrame:
-    """Of the candidates (a, b, agree) those that are among the PARTNERS of either end whose signatures agree most."""
-    one = near.groupBy("a", "b").agg(F.max("agree").alias("agree"))
-    ends = one.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of the candidates (a, b, agree), each once, those that are among the PARTNERS of either end whose signatures agree most."""
+    ends = pairs.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     rank = F.row_number().over(W.partitionBy("end").orderBy(F.desc("agree"), "a", "b"))
     return ends.withColumn("rank", rank).where(F.col("rank") <= PARTNERS).select("a", "b").distinct()
 
 
+def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose ends are in different components."""
+    of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+
 def _region(depth: int):
     return F.concat(F.unhex(F.lpad(F.hex(F.col("tree")), 2, "0")), F.substring("key", 1, 4 * depth))
 
@@ -190,12 +203,12 @@ def _stars(members: DataFrame, percent: int) -> DataFrame:
     copies keeps its MinHash values where each copy has lost some.
     """
     levels = members.select("id", "n", F.explode(F.array(*[_region(d) for d in range(MIN_DEPTH, DEPTH + 1)])).alias("r"))
-    size = levels.groupBy("r").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > NEIGHBOURS)
-    inside = table(levels.join(size, "r"))
+    size = table(levels.groupBy("r").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > NEIGHBOURS))
+    inside = table(levels.join(bounded(size, BROADCAST_REGIONS), "r"))
     company = inside.groupBy("id").agg(F.sum("size").alias("company"))
     centre = inside.join(company, "id").groupBy("r").agg(F.max(F.struct("company", -F.col("id"), "n")).alias("c"))
-    centre = centre.select("r", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("nc"))
-    pairs = inside.join(centre, "r").where((F.col("id") != F.col("centre")) & _agree("n", "nc", percent))
+    centre = table(centre.select("r", (-F.col("c.col2")).alias("centre"), F.col("c.n").alias("nc")))
+    pairs = inside.join(bounded(centre, BROADCAST_REGIONS), "r").where((F.col("id") != F.col("centre")) & _agree("n", "nc", percent))
     return pairs.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
 
 
@@ -218,8 +231,8 @@ def _rest(members: DataFrame, label: DataFrame, texts: DataFrame, percent: int)
     one whose holders are all in one component needs no pair.
     """
     m = members.select("id", _region(MIN_DEPTH).alias("r")).join(label, "id", "left").withColumn("c", F.coalesce("component", "id"))
-    split = m.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi"))
-    ids = table(m.join(split, "r", "left_semi").select("id", "c").distinct())
+    split = table(m.groupBy("r").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where(F.col("lo") != F.col("hi")).select("r"))
+    ids = table(m.join(bounded(split, BROADCAST_REGIONS), "r", "left_semi").select("id", "c").distinct())
     sets = table(_sets(texts.join(bounded(ids, BROADCAST_IDS).select("id"), "id", "left_semi")).join(bounded(ids, BROADCAST_IDS), "id"))
     rows = sets.select("id", "c", F.size("s").alias("n"), F.explode("s").alias("x"))
     often = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("df > 1")
@@ -245,7 +258,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     A row's set holds the distinct WORDS-word shingles of its text, A-Z lower-cased; a shorter text is one shingle, a
     text without words or a null one none and stays alone. Rows with 100 * shared >= percent * all shingles are linked,
     component_id is the smallest id reachable, kept marks it. A row without an id stays alone, with a null component,
-    and is kept. Repeated rows share their component; an empty table gives an empty result.
+    and is kept. Repeated rows share their component, and of rows of one id that differ in text one stands for all when
+    sets are confirmed; texts of any length are read whole; an empty table gives an empty result. Other columns are not
+    read.
     """
     sigs = table(signatures(docs, text, ident))
     named = sigs.where(F.col("id").isNotNull() & (F.col("n") > 0))
@@ -259,15 +274,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
         texts = texts.dropDuplicates(["id"])
     large = near.where("d = 0").select(F.col("region").alias("r")).distinct()
     members = table(rows.withColumn("r", _region(MIN_DEPTH)).join(large, "r", "left_semi").select("tree", "key", "id", "n"))
-    # First the likeliest partners of each class; all else only where components still differ. Sets travel with pairs.
-    links = table(_confirm(table(_likeliest(near.where("d = 1"))), texts, percent))
-    label = table(components(links))
-    of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-    other = near.where("d > 0").select("a", "b").union(_stars(members, percent)).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-    other = other.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = table(_confirm(table(other.union(_rest(members, label, texts, percent)).distinct()), texts, percent))
-    if more.limit(1).count():
-        label = table(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)))
+    # Likeliest partners first, then stars, then neighbours, each time only where components still differ. Pairs of large
+    # regions need no more than that: what is still apart there is left to the exact rest, which comes last, when a large
+    # group has grown together.
+    pairs = table(near.where("d > 0").groupBy("a", "b").agg(F.min("d").alias("d"), F.max("agree").alias("agree"), F.max("whole").alias("whole")))
+    first = table(_likeliest(pairs.where("d = 1")))
+    label = table(components(_confirm(first, texts, percent)))
+
+    def merged(candidates: DataFrame) -> DataFrame:
+        more = table(_confirm(table(candidates), texts, percent))
+        return table(components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))) if more.limit(1).count() else label
+
+    label = merged(_apart(_stars(members, percent), label))
+    near_ = table(_likeliest(_apart(pairs.join(first, ["a", "b"], "left_anti"), label)))
+    label = merged(near_)
+    label = merged(_apart(pairs.where("whole").join(first.union(near_), ["a", "b"], "left_anti"), label).select("a", "b"))
+    label = merged(_rest(members, label, texts, percent))
     of_class = classes.join(label, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("c"))
     out = sigs.select("id", "n", "fp").join(of_class, ["fp", "n"], "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)

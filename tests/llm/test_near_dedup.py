@@ -65,6 +65,23 @@ def test_large_group_around_a_lost_or_kept_original(spark):
     assert got(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85)) == brute(rows, 85)
 
 
+def test_confirmed_pairs_of_a_large_group(spark, monkeypatch):
+    """Copies of copies, most pairs of them about as similar as asked: far fewer pairs are confirmed than there are."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    seen = []
+    confirm = near_dedup._confirm
+    monkeypatch.setattr(near_dedup, "_confirm", lambda pairs, *rest: seen.append(pairs.count()) or confirm(pairs, *rest))
+    assert got(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85)) == brute(rows, 85)
+    assert 0 < sum(seen) < 20 * len({t for _, t in rows})
+
+
 def test_nulls_empty_short_and_repeated(spark):
     rows = [(1, None, 0), (2, "", 0), (3, " \n ", 0), (4, "A b", 0), (5, "a B", 0), (6, "a b c", 0), (5, "a B", 0), (None, "a b", 0), (7, "long " * 4000, 0)]
     out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n long"), percent=85).collect()
