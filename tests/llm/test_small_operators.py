@@ -9,8 +9,8 @@ from tensorloom.llm import license_scan, preference, queries, url_filter
 
 
 def test_every_known_sentence_has_an_anchor():
-    assert all(re.search(license_scan.ANCHOR, s) for s in license_scan.SENTENCES)
-    assert {i for _, seq in license_scan.RULES for i in seq} <= set(license_scan.SENTENCES.values())
+    assert all(re.search(license_scan.ANCHOR, s) for s in license_scan.KNOWN)
+    assert {i for _, seq in license_scan.RULES for i in seq} <= set(license_scan.KNOWN.values())
 
 
 def test_licence_sequences(spark):
@@ -126,7 +126,17 @@ def test_wrapped_licences(spark):
     rows = [(1, WRAPPED_MIT), (2, WRAPPED_BSD), (3, WRAPPED_GPL), (4, WRAPPED_APACHE), (5, "All rights\n\nreserved. All\nrights reserved words"), (6, "a/b|c_d <all> rights\nreserved")]
     got = {r["doc_id"]: r["licence"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got[1]["identifiers"] == ["mit-title", "mit-grant", "mit-condition", "mit-warranty"] and got[1]["licences"] == ["MIT"]
-    assert got[2]["identifiers"] == ["bsd-grant", "bsd-source", "bsd-binary"] and got[2]["rules"] == [5]
+    assert got[2]["identifiers"] == ["bsd-grant", "bsd-source", "bsd-binary"] and got[2]["licences"] == ["BSD-2-Clause"] and len(got[2]["rules"]) == 1
     assert got[3]["identifiers"] == ["gpl3-grant", "gpl-warranty"] and got[3]["rules"] == [4]
     assert got[4]["identifiers"] == ["apache-notice", "apache-compliance", "apache-copy"] and got[4]["rules"] == [2]
     assert got[5]["identifiers"] == got[6]["identifiers"] == []
+
+
+def test_tags_and_numbered_conditions(spark):
+    numbered = WRAPPED_BSD.replace(" * - ", " * 1. ", 1).replace(" * - ", " * 2. ", 1) + """ * 3. Neither the name of the copyright holder nor the names of its
+ *    contributors may be used to endorse or promote products derived from
+ *    this software without specific prior written permission.
+"""
+    rows = [(1, numbered), (2, "// SPDX-License-Identifier: GPL-2.0-or-later\nint main();"), (3, "# SPDX-License-Identifier: MIT\n# x"), (4, "SPDX-License-Identifier: MIT-0"), (5, "SPDX-License-Identifier: Nothing-1.0"), (6, "x " * 10**5 + "\n<!-- SPDX-License-Identifier: Apache-2.0 -->")]
+    got = {r["doc_id"]: r["licence"]["licences"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: ["BSD-3-Clause"], 2: ["GPL-2.0-or-later"], 3: ["MIT"], 4: ["MIT-0"], 5: [], 6: ["Apache-2.0"]}
