@@ -2,17 +2,19 @@
 
 The kernel compares two words by their common subsequences of three letters within a span of SPAN letters; each
 inserted letter costs a factor DECAY, so "id.iot", "idxiot" and unseen endings of an insult's stem stay close to it.
+Subsequences of letters of any script are hashed to BUCKETS places. Words of one or two letters get marks at both ends;
+of scripts without blanks between words all runs of two to four letters count as words.
 A sentence's margin is that of its worst word (a multiple-instance machine: the label is known for the text, the
 witness word is not), a text's margin that of its worst sentence. Nyström landmarks make the machine linear, and the
-sum over landmarks folds into one weight for each three-letter subsequence, so a word is scored by one sparse product.
+sum over landmarks folds into one weight for each place, so a word is scored by one sparse product.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,58 +28,71 @@ from .sentencepiece_codec import _pieces
 SPAN, DECAY = 5, 0.6
 #: Letters of a word that are compared at once; longer words are cut into overlapping windows of this length.
 REACH = 24
-LETTERS = 128
+BUCKETS = 1 << 21
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
 #: Bounds of the training sample, of the words drawn from it and of the landmarks.
 MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES, LANDMARKS = 1_500, 3_000, 6_000, 192
-#: A word starts as a witness if words that were dealt to the texts by chance would give fewer than this many such words.
-CHANCE = 0.1
+#: A word starts as a witness if words that were dealt to the texts by chance would give fewer than this many such words,
+#: and if its odds to stand in a toxic text are this many times those of all words.
+CHANCE, ODDS = 0.1, 8
 THRESHOLD = 0.7
 #: Entries of a task's table of word margins; a full table is dropped and filled anew.
 TABLE_ENTRIES = 400_000
-_SPACED = re.compile(r"(?<!\S)\w(?:[\s._*-]+\w){3,}(?!\S)")
+#: Letters and separators have nothing in common and are taken for good, so that a text is read once.
+_SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s._*-]++[^\W_](?![^\W_])){3,}+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Blocks of Han, Kana and Hangul.
+_DENSE = re.compile("[\u2e80-\ua4cf\uac00-\ud7ff\uf900-\ufaff\U00020000-\U0003ffff]+")
+_RUN = (2, 3, 4)
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased words, and as one word each run of four or more single letters."""
-    low = text.lower()
-    return low.split() + [re.sub(r"[\W_]+", "", m) for m in _SPACED.findall(low)]
+def _runs(word: str) -> Iterator[str]:
+    """The parts of a word; of dense scripts all runs of _RUN letters, in order of their starts, or one letter alone."""
+    at = 0
+    for m in _DENSE.finditer(word):
+        yield word[at : m.start()]
+        run = m[0]
+        yield from (run[i : i + n] for i in range(max(1, len(run) - 1)) for n in _RUN if i + n <= len(run) or n == 2)
+        at = m.end()
+    yield word[at:]
 
 
-@dataclass
-class Alphabet:
-    """Letters as numbers from 1; those unseen in training share the last one."""
-
-    letters: str
-
-    def matrix(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The words' windows as rows of letter numbers, and the word of each row."""
-        kept = ["".join(filter(str.isalpha, w)) for w in words]
-        parts, owner = [], []
-        for i, w in enumerate(kept):
-            for at in range(0, max(1, len(w) - REACH // 2), REACH // 2) if len(w) > REACH else (0,):
-                parts.append(w[at : at + REACH])
-                owner.append(i)
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
-        table = np.full(0x3000, LETTERS - 1, np.int32)
-        for k, c in enumerate(self.letters):
-            if ord(c) < len(table):
-                table[ord(c)] = k + 1
-        out = np.zeros((len(parts), REACH), np.int32)
-        rows = np.repeat(np.arange(len(parts)), size)
-        cols = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
-        out[rows, cols] = table[np.minimum(codes, len(table) - 1)]
-        return out, np.array(owner, np.int64)
+def tokens(text: str) -> list[str]:
+    """Lower-cased words (of dense scripts: runs of letters), and as one word each run of four or more single letters."""
+    low = text.lower()
+    words = low.split()
+    if not low.isascii() and _DENSE.search(low):
+        words = [x for w in words for x in _runs(w) if x]
+    return words + [re.sub(r"[\W_]+", "", m) for m in _SPACED.findall(low)]
+
+
+def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words' windows as rows of code points of letters, 0 after the last, and the word of each row."""
+    kept = ["".join(filter(str.isalpha, w)) for w in words]
+    parts, owner = [], []
+    for i, w in enumerate(kept):
+        w = f"\x02{w}\x03" if 0 < len(w) < 3 else w
+        for at in range(0, max(1, len(w) - REACH // 2), REACH // 2) if len(w) > REACH else (0,):
+            parts.append(w[at : at + REACH])
+            owner.append(i)
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(parts), REACH), np.uint32)
+    rows = np.repeat(np.arange(len(parts)), size)
+    cols = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
+    out[rows, cols] = codes
+    return out, np.array(owner, np.int64)
 
 
 def subsequences(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the numbers of its gapped three-letter subsequences (0: none), and the weight of each column."""
+    """For each row the places of its gapped three-letter subsequences (0: none), and the weight of each column."""
     ids, weights = [], []
+    first, second, third = m * np.uint32(0x9E3779B1), m * np.uint32(0x85EBCA77), m * np.uint32(0xC2B2AE3D)
     for i, j in _GAPS:
-        a, b, c = m[:, : REACH - j], m[:, i : REACH - j + i], m[:, j:]
-        ids.append(np.where(c > 0, (a * LETTERS + b) * LETTERS + c, 0))
+        x = first[:, : REACH - j] + second[:, i : REACH - j + i] + third[:, j:]
+        x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        place = (x >> np.uint32(11)).astype(np.int32)
+        ids.append(np.where(m[:, j:] > 0, np.maximum(place, 1), 0))
         weights.append(np.full(REACH - j, DECAY ** (j - 2), np.float32))
     return np.hstack(ids), np.concatenate(weights)
 
@@ -129,7 +144,7 @@ def _spread(ids: np.ndarray, weights: np.ndarray, norm: np.ndarray, n: int) -> l
 
 
 def _dense(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    v = np.zeros(LETTERS**3, np.float32)
+    v = np.zeros(BUCKETS, np.float32)
     np.add.at(v, ids, weights)
     v[0] = 0
     return v
@@ -146,7 +161,6 @@ def _against(ids: np.ndarray, weights: np.ndarray, norm: np.ndarray, landmarks:
 class Model:
     """The folded machine: a weight for each subsequence, the bias and the scale from margins to probabilities."""
 
-    alphabet: Alphabet
     keys: np.ndarray
     values: np.ndarray
     bias: float
@@ -156,10 +170,10 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         """Margins of words; a word with nothing in common with the landmarks, or only with clean ones, has the bias."""
         out = np.full(len(words), self.bias)
-        v = np.zeros(LETTERS**3, np.float32)
+        v = np.zeros(BUCKETS, np.float32)
         v[self.keys] = self.values
         for at in range(0, len(words), 20_000):
-            m, owner = self.alphabet.matrix(words[at : at + 20_000])
+            m, owner = letters(words[at : at + 20_000])
             ids, weights = subsequences(m)
             dot = v[ids] @ weights
             hit = np.nonzero(dot > 0)[0]
@@ -171,18 +185,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
-def _witnesses(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Words of no clean text that toxic texts hold in more contexts than chance allows. Contexts, not texts: copies repeat them."""
-    known = {w for ws in clean for w in ws}
-    seen: dict[str, set[tuple[str, str]]] = defaultdict(set)
-    for ws in toxic:
-        padded = ["", *ws, ""]
-        for a, w, b in zip(padded, ws, padded[2:], strict=False):
-            if w not in known:
-                seen[w].add((a, b))
-    share = sum(map(len, toxic)) / max(1, sum(map(len, toxic)) + sum(map(len, clean)))
-    need = max(2.0, np.log((len(seen) + 1) / CHANCE) / -np.log(min(max(share, 1e-6), 0.999)))
-    return {w for w, c in seen.items() if len(c) >= need}
+@dataclass
+class Words:
+    """Distinct words of the sample, their odds to stand in a toxic text as a multiple of all words', and who is a witness."""
+
+    words: list[str]
+    odds: np.ndarray
+    witness: np.ndarray
+    in_clean: np.ndarray
+
+
+def _words(bags: list[list[str]], toxic: np.ndarray) -> Words:
+    """Counts are of contexts, not of texts: copies repeat them.
+
+    A word with k of its n contexts in toxic texts is a witness if its odds are ODDS times those of all words, and if k
+    or more would come by chance, bounded by Chernoff, so rarely that all words together would give CHANCE witnesses.
+    Only words of so many contexts that they could pass are counted among them (Tarone's correction).
+    """
+    number: dict[str, int] = {}
+    flat = [np.fromiter((number.setdefault(w, len(number) + 1) for w in b), np.int64, len(b)) for b in bags]
+    size = len(number) + 1
+    counts = []
+    for side in (True, False):
+        w = np.concatenate([np.zeros(1, np.int64), *chain.from_iterable((f, [0]) for f, t in zip(flat, toxic, strict=True) if t == side)]).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            key = (w[:-2] * np.uint64(0x9E3779B97F4A7C15) + w[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + w[2:]
+        _, first = np.unique(key, return_index=True)
+        counts.append(np.bincount(w[first + 1].astype(np.int64), minlength=size)[1:])
+    k, n = counts[0], counts[0] + counts[1]
+    share = min(max(k.sum() / max(1, n.sum()), 1e-6), 0.999)
+    odds = (k + 0.5) * (1 - share) / ((n - k + 0.5) * share)
+    f = k / np.maximum(n, 1)
+    gain = n * (f * np.log(np.maximum(f, 1e-300) / share) + (1 - f) * np.log(np.maximum(1 - f, 1e-300) / (1 - share)))
+    tested, need = len(n), np.inf
+    for _ in range(20):
+        need = np.log((tested + 1) / CHANCE)
+        tested = int((n * -np.log(share) >= need).sum())
+    return Words(list(number), odds, (f > share) & (k > 1) & (odds >= ODDS) & (gain >= need), counts[1] > 0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -205,50 +244,52 @@ def train(rows: Iterable[tuple[str, int]], rounds: int = 4, seed: int = 7) -> Mo
     # Equal words share one string: the sample's words are a few times as many as the distinct ones.
     shared: dict[str, str] = {}
     bags = [[shared.setdefault(w, w) for w in tokens(t)] for t, _ in rows]
-    toxic, clean = [b for b, k in zip(bags, y, strict=True) if k], [b for b, k in zip(bags, y, strict=True) if not k]
-    clean_words = {w for b in clean for w in b}
+    toxic = [b for b, k in zip(bags, y, strict=True) if k]
     share = (y.sum() + 1) / (len(y) + 2)
-    alphabet = Alphabet("".join(sorted({c for b in bags[:2000] for w in b[:200] for c in w if c.isalpha()}))[: LETTERS - 2])
-    flat = Model(alphabet, np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    stems = _witnesses(toxic, clean)
-    if not stems or not clean_words:
+    flat = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
+    known = _words(bags, y > 0)
+    stems = {w for w, k in zip(known.words, known.witness, strict=True) if k}
+    # A word that a clean text holds only now and then, by a quotation or a wrong label, is not clean for that.
+    ordinary = {w for w, c, o in zip(known.words, known.in_clean, known.odds, strict=True) if c and o < 2}
+    suspect = {w for w, o in zip(known.words, known.odds, strict=True) if o >= ODDS / 2}
+    if not stems or not ordinary:
         return flat
     rng = np.random.default_rng(seed)
-    pool = sorted(clean_words)
+    pool = sorted(ordinary)
     negatives, hard = rng.choice(pool, min(len(pool), MAX_NEGATIVES // 2), replace=False).tolist(), []
     positives, model = set(stems), flat
     for r in range(rounds):
         words = sorted(positives) + hard + sorted(set(negatives) - set(hard))
-        m, owner = alphabet.matrix(words)
+        m, owner = letters(words)
         ids, weights = subsequences(m)
         used = np.nonzero(ids.any(axis=1))[0]
         ids, label = ids[used], np.where(owner[used] < len(positives), 1.0, -1.0)
         norm = norms(ids, weights)
         p, n = np.nonzero(label > 0)[0], np.nonzero(label < 0)[0]
-        marks = [int(p[k]) for k in _spread(ids[p], weights, norm[p], LANDMARKS // 2)] + [int(n[k]) for k in _spread(ids[n[: MAX_NEGATIVES // 8]], weights, norm[n[: MAX_NEGATIVES // 8]], LANDMARKS // 2)]
+        marks = [int(p[k]) for k in _spread(ids[p], weights, norm[p], LANDMARKS // 2)] + [int(n[k]) for k in _spread(ids[n], weights, norm[n], LANDMARKS // 2)]
         k = _against(ids, weights, norm, marks)
         value, vector = np.linalg.eigh(k[marks])
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
         cost = np.where(label > 0, len(label) / (2 * len(p)), len(label) / (2 * len(n)))
         w, bias = _newton_svm(k @ root, label, cost)
         beta = root @ w / norm[marks]
-        folded = np.zeros(LETTERS**3, np.float32)
+        folded = np.zeros(BUCKETS, np.float32)
         for b, j in zip(beta, marks, strict=True):
             np.add.at(folded, ids[j], (b * weights).astype(np.float32))
         folded[0] = 0
         keys = np.nonzero(folded)[0]
-        model = Model(alphabet, keys, folded[keys], bias, 1.0, 0.0)
+        model = Model(keys, folded[keys], bias, 1.0, 0.0)
         vocabulary = sorted({w for b in bags for w in b})
         margin = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
         top = np.array([max(map(margin.__getitem__, b), default=bias) for b in bags])
         slope, offset = _logistic(top, y)
-        model = Model(alphabet, keys, folded[keys], bias, max(slope, 0.0), offset)
+        model = Model(keys, folded[keys], bias, max(slope, 0.0), offset)
         if r + 1 < rounds:
-            # Clean words that look worst join the negatives; each toxic text's worst word, if beyond the margin and in no clean text, is a witness.
-            found = sorted(clean_words, key=lambda w: (-margin[w], w))[: MAX_NEGATIVES // 8]
+            # Clean words that look worst join the negatives; each toxic text's worst word, if beyond the margin and of high odds, is a witness.
+            found = sorted(ordinary, key=lambda w: (-margin[w], w))[: MAX_NEGATIVES // 8]
             hard = found + [w for w in hard if w not in set(found)]
             worst = {max(b, key=lambda w: (margin[w], w)) for b in toxic if b and not stems & set(b)}
-            positives = stems | {w for w in worst if margin[w] > 1 and w not in clean_words}
+            positives = stems | {w for w in worst if margin[w] > 1 and w in suspect}
     return model
 
 
@@ -274,7 +315,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with `toxicity`: struct of score (0 to 1), worst word and the first sentence that holds it.
 
     Null and empty texts get the score of a text without any word in common with the landmarks. Only the text is read:
-    repeated texts score alike. A column already named toxicity is replaced; an empty table stays empty.
+    repeated texts score alike. Long texts are read whole, one batch each; of words that are equally bad the first is
+    named. A column already named toxicity is replaced; an empty table stays empty.
     """
     kind = T.StructType([T.StructField("score", T.DoubleType(), False), T.StructField("word", T.StringType(), False), T.StructField("sentence", T.StringType(), False)])
     schema = T.StructType([f for f in docs.schema if f.name != "toxicity"] + [T.StructField("toxicity", kind, False)])

@@ -1,6 +1,7 @@
 """Kernel, machine and held-out accuracy."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -26,7 +27,7 @@ def plain_kernel(a, b):
 
 def test_kernel_is_the_plain_one():
     words = ["idiot", "idxiot", "banana", "anabana", "worthless", "mississippi"]
-    m, _ = toxicity.Alphabet("abcdefghijklmnopqrstuvwxyz").matrix(words)
+    m, _ = toxicity.letters(words)
     ids, weights = toxicity.subsequences(m)
     k = toxicity._against(ids, weights, toxicity.norms(ids, weights), list(range(len(words))))
     assert np.allclose(k, [[plain_kernel(a, b) for b in words] for a in words], atol=1e-5)
@@ -72,10 +73,75 @@ def test_one_label_only(spark):
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).bias == 0.0
 
 
+def test_wrong_labels():
+    """One clean text in twenty holds an insult, as a quotation or by a wrong label."""
+    rng = random.Random(11)
+    rows = [(t, int(not y) if rng.random() < 0.05 else y) for _, t, y in corpus(500)]
+    model = toxicity.train(rows)
+    p = lambda t: float(model.probability(model.margins(toxicity.tokens(t))).max())
+    seen = [(p(t) >= toxicity.THRESHOLD) == bool(y) for _, t, y in corpus(120, seed=9)]
+    assert sum(seen) / len(seen) > 0.95
+
+
+@pytest.mark.parametrize(("insult", "clean"), [("大笨蛋", "北京大学图书馆"), ("바보", "도서관에서"), ("xq", "no")])
+def test_other_scripts_and_short_words(insult, clean):
+    rng = random.Random(2)
+    letters = "中国人民经济发展社会工作生活学习时间问题" if insult > "\u3000" else "aeioustrlnm"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 6)))
+    rows = []
+    for i in range(240):
+        text = [word() for _ in range(20)] + [clean]
+        if i % 3 == 0:
+            text[rng.randrange(20)] = insult
+        rows.append((" ".join(text), int(i % 3 == 0)))
+    model = toxicity.train(rows)
+    p = lambda t: float(model.probability(model.margins(toxicity.tokens(t))).max())
+    assert p(insult) > toxicity.THRESHOLD > 0.5 > p(clean)
+
+
+@pytest.mark.parametrize("text", ["_" * 10**6, "." * 10**6, " " * 10**6, "a." * 10**5, "a.\n" * 10**5, "a _" * 10**5, "_ " * 10**5 + "!", "- " * 10**5 + "a" * 10**5])
+def test_hostile_texts_are_read_once(text):
+    began = time.monotonic()
+    toxicity.tokens(text)
+    toxicity.worst_sentence(text, "word")
+    assert time.monotonic() - began < 3
+
+
+def plain_score(model, text):
+    """The score by its definition: each word's windows, each window's subsequences one after the other."""
+    weight = dict(zip(model.keys.tolist(), model.values.tolist(), strict=True))
+    best = model.bias
+    for w in set(toxicity.tokens(text)):
+        w = "".join(c for c in w if c.isalpha())
+        w = f"\x02{w}\x03" if 0 < len(w) < 3 else w
+        step = toxicity.REACH // 2
+        for at in range(0, max(1, len(w) - step), step) if len(w) > toxicity.REACH else (0,):
+            part, found = [ord(c) for c in w[at : at + toxicity.REACH]], Counter()
+            for i in range(len(part)):
+                for j in range(i + 1, len(part)):
+                    for k in range(j + 1, min(len(part), i + toxicity.SPAN)):
+                        x = (part[i] * 0x9E3779B1 + part[j] * 0x85EBCA77 + part[k] * 0xC2B2AE3D) % 2**32
+                        x = (x ^ (x >> 15)) * 0x2C1B3C6D % 2**32
+                        found[max(1, x >> 11)] += toxicity.DECAY ** (k - i - 2)
+            dot = sum(v * weight.get(x, 0.0) for x, v in found.items())
+            if dot > 0:
+                best = max(best, model.bias + dot / sum(v * v for v in found.values()) ** 0.5)
+    return float(model.probability(np.array(best)))
+
+
+def test_against_the_plain_score(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = model if len(model.keys) else toxicity.train([(t, y) for _, t, y in corpus(300)])
+    for r in toxicity.score(docs, model).collect():
+        assert r["toxicity"]["score"] == pytest.approx(plain_score(model, r["text"] or ""), abs=1e-5)
+
+
 def test_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = queries.op6_toxicity(spark, sf).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    known = [(labels[r["doc_id"]], r["predicted"]) for r in rows if r["doc_id"] in labels]
-    assert sum(a == b for a, b in known) / len(known) > 0.95 and not any(b and not a for a, b in known)
+    known = [(labels[r["doc_id"]], r["predicted"]) for r in rows if r["doc_id"] in labels and r["held_out"]]
+    found = sum(a and b for a, b in known)
+    assert found >= 0.95 * sum(a for a, _ in known) > 0 and found >= 0.99 * sum(b for _, b in known)
