@@ -35,5 +35,16 @@ def bucket(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def carried(docs: DataFrame, keep: list[str] | None = None, **values: Column) -> DataFrame:
+    """(row, values...): the columns of docs, or those to keep, as one struct, so that no name of theirs meets an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row"), *[v.alias(k) for k, v in values.items()])
+
+
+def released(rows: DataFrame, **values: Column) -> DataFrame:
+    """The columns that were carried, without those that a value replaces, and the values."""
+    names = [c for c in rows.schema["row"].dataType.fieldNames() if c not in values]
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *[v.alias(k) for k, v in values.items()])
+
+
 #: df marked for broadcast if it has at most so many rows, else df as it is.
 bounded = small

@@ -2,6 +2,9 @@
 
 import html
 import re
+import time
+
+import pytest
 
 from tensorloom.llm import queries
 from tensorloom.llm.html_extract import extract, main_text
@@ -66,3 +69,47 @@ def test_classes_decide_the_template(spark):
         number = [f"No. {i}"] if i % 3 else []
         assert got[i].split("\n\n") == [*number, f"Story {i} begins here.", *["* * *"] * (i % 5 and 1 + i % 2), f"Story {i} ends here."]
     assert all(got[100 + i] == "one text" for i in range(40)) and all(got[200 + i] == f"kept\n\n{i}" for i in range(6))
+
+
+STORY = "<h1>Head</h1><p>The story goes on for quite a while here.</p><p>And then it ends.</p>"
+TOLD = "Head\n\nThe story goes on for quite a while here.\n\nAnd then it ends."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout has-sidebar"><article>{STORY}</article></div><div class="sidebar"><p>Also of note here</p></div></body>',
+        f'<body><div class="sidebar-layout"><article>{STORY}</article></div></body>',
+        f'<body><form id="aspnetForm" action="x"><nav>Menu</nav><article>{STORY}</article></form></body>',
+        f'<body><form id="aspnetForm"><div class="content">{STORY}</div><footer>Imprint</footer></form><div id="footer"><p>(c) us</p></div></body>',
+        f'<article><div class="post comments-open">{STORY}</div></article>',
+        f'<article><div class="table-responsive alert-free">{STORY}</div></article>',
+        f'<article>{STORY}</article><section class="comments">' + "<article class='comment'><p>I say no to all of this, at length.</p></article>" * 20 + "</section>",
+        f'<div class="text">{STORY}</div><div id="comments">' + "<p>I say no to all of this, at length.</p>" * 20 + "</div>",
+        f"<article>{STORY}</article><form><p>Send us your mail address, please, and wait.</p></form>",
+    ],
+)
+def test_wrappers_and_what_they_hold(page):
+    assert main_text(page) == TOLD
+
+
+def test_nothing_else_is_dropped():
+    assert main_text("<p>a <math><mi>x</mi>=1</math></p><object data=f><p>in place</p></object>") == "a x=1\n\nin place"
+    for tag in ("svg width=1", "iframe", "object", "canvas", "noscript", "select"):
+        assert main_text(f"<p>a</p><{tag}><p>b</p>") == "a\n\nb"
+    assert main_text("<p>a</p><svg><text>no</text></svg><script>no</script><p>b</p><style>no") == "a\n\nb"
+    assert main_text("<p title='<b>x</b>'>a</p><p title=\"1 > 0\">b</p>") == "a\n\nb"
+
+
+@pytest.mark.parametrize("part", ["<x '", "<x '\">", "<svg>", "<button>", "<", "<!--", "</", "<a b='c\" ", "<div>", "</div>", "&#", "<p class="])
+def test_hostile_pages_are_read_once(part):
+    began = time.monotonic()
+    main_text(part * (3_000 if part == "<div>" else 60_000))
+    assert time.monotonic() - began < 20
+
+
+def test_clashing_columns(spark):
+    names = "row page host h template token role text _host _h _template _page _main".split()
+    out = extract(spark.createDataFrame([(1, "http://a.b/", "<p>x y</p>", *names)], "page_id int, url string, html string, " + ", ".join(f"{c} string" for c in names)))
+    r = out.first()
+    assert [r[c] for c in names if c != "text"] == [c for c in names if c != "text"] and r["text"] == "x y" and out.columns[-1] == "text"
