@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -79,3 +80,32 @@ def test_numbered_bag(spark):
     bags = [[3, 3, 5, 3], [5, 3, 3, 3], [3, 3, 5], [], [5]]
     out = [r[0] for r in spark.createDataFrame([(b,) for b in bags], "h array<bigint>").select(decontaminate._numbered(F.col("h"))).collect()]
     assert [len(set(x)) for x in out] == [4, 4, 3, 0, 1] and set(out[0]) == set(out[1]) > set(out[2]) > set(out[4])
+
+
+def test_near_blocks_are_entered(spark):
+    # Fingerprints that differ in RADIUS bits, dealt over the blocks in any way, meet in some block.
+    rng = random.Random(1)
+    rows = []
+    for _ in range(200):
+        a = rng.getrandbits(63)
+        b = a
+        for k in rng.sample(range(64), decontaminate.RADIUS):
+            b ^= 1 << k
+        rows.append((a, b - (1 << 64) if b >= 1 << 63 else b))
+    df = spark.createDataFrame(rows, "a bigint, b bigint").select(decontaminate._blocks(F.col("a")).alias("x"), decontaminate._entries(F.col("b")).alias("y"))
+    assert df.where(F.arrays_overlap("x", "y")).count() == 200 and df.first()["y"].__len__() == 8 * 37
+
+
+def test_clashing_columns(spark):
+    names = "row id key similarity items _id _h _i _hash item words start bag fp".split()
+    rows = [(1, "a b c d e f g h i j", *names), (2, "z", *names)]
+    out = decontaminate.mark(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in names)), spark.createDataFrame([(7, "a b c d e f g h i j")], "item_id long, text string"))
+    assert out.columns == ["doc_id", "text", *names, "leak"]
+    assert all([r[c] for c in names] == names and r["leak"]["contaminated"] == (r["doc_id"] == 1) for r in out.collect())
+
+
+def test_long_items_take_time_in_proportion(spark):
+    text = " ".join(f"w{k % 9000}" for k in range(20_000))
+    began = time.monotonic()
+    got = decontaminate.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, text)], "item_id long, text string")).collect()
+    assert [(r["item"], r["similarity"]) for r in got] == [(5, 1.0)] and time.monotonic() - began < 60
