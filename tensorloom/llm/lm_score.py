@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +30,8 @@ FLUSH = 300_000
 #: Characters of text that are turned into numbers at once, unless one text is longer.
 PIECE_CHARS = 1_000_000
 END = b"\n"
+#: Logarithms of rare words are summed as whole numbers of this part, hence the same in any order.
+SCALE = float(1 << 32)
 _SHARD_BYTES = 3
 
 
@@ -137,7 +138,7 @@ class Coder:
         # ln of the odds: float32 keeps both sides' relative precision, where p itself would round to 1.
         self.keys, self.odds, self.depth = keys, odds, depth
         self.bits = 18
-        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
 
     @staticmethod
     def key(d: int, ctx: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -162,7 +163,7 @@ class Coder:
     def score(self, g: np.ndarray) -> np.ndarray:
         """log10 probabilities of numbers; a direct-mapped table keeps what was computed last for each slot."""
         slot = ((g.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-        out = self.values[slot].astype(np.float64)
+        out = self.values[slot]
         miss = np.nonzero(self.slots[slot] != g)[0]
         if len(miss):
             new, at = np.unique(g[miss], return_inverse=True)
@@ -170,7 +171,7 @@ class Coder:
             out[miss] = value[at]
             if self.bits < 21 and len(new) > 1 << (self.bits - 2):
                 self.bits = 21
-                self.slots, self.values = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, np.float32)
+                self.slots, self.values = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21)
             where = ((new.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
             self.slots[where], self.values[where] = new, value
         return out
@@ -190,11 +191,13 @@ def _head_count(vocabulary: DataFrame, words: int) -> int:
 
 
 def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: int = 7, held: int = 2, depth: int = DEPTH, shard_rows: int = SHARD_ROWS, head_words: int = HEAD_WORDS) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for each row of docs.
 
-    Texts whose crc32(id as text) mod modulus is `held` are held out of all counts. Null and empty texts are one end
-    mark. Repeated rows count and score each time; a null id counts as empty text for the split; without training
-    texts each bit has probability 1/2 and the base score is 0; an empty table gives an empty result.
+    score is the log10 probability of the text's bytes, bits_per_byte its code length over their number, the end
+    included. Texts whose crc32(id as text) mod modulus is `held` are held out of all counts. Null and empty texts are
+    one end mark; texts of any length are scored whole. Repeated rows count and score each time, and equal texts score
+    alike; a null id counts as empty text for the split; without training texts each bit has probability 1/2 and the
+    base score is 0; an empty table gives an empty result. Other columns are not read.
     """
     docs = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"), (bucket(F.col(ident), modulus) == held).alias("held_out"))
     found = table(counts(docs.where(~F.col("held_out")), "text", depth))
@@ -206,6 +209,9 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
     model = table(trees(found.where(F.col("g").isNotNull()).select("g", "n"), depth))
     shards = max(1, -(-model.count() // shard_rows))
     spark = docs.sparkSession
+    # Rows get their numbers once: where several shards read the texts, from a written table.
+    rows_ = docs.select(F.monotonically_increasing_id().alias("row"), "id", "text", "held_out")
+    rows_ = table(rows_) if shards > 1 else rows_
     logs = spark.sparkContext.broadcast(dict(zip(head["w"].to_pylist(), np.log10(head["c"].to_numpy() + 1.0).tolist(), strict=True)) | ends)
 
     def one(k: int) -> DataFrame:
@@ -222,11 +228,11 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
         del keys, odds
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            coder, row = Coder(*shipped.value, depth), TaskContext.get().partitionId() << 40
+            coder = Coder(*shipped.value, depth)
             known = logs.value
             for whole in batches:
-                for b in _pieces(whole, 1, PIECE_CHARS):
-                    bags, g, lengths, starts = _streams(b.column(1).to_pylist(), depth)
+                for b in _pieces(whole, 2, PIECE_CHARS):
+                    bags, g, lengths, starts = _streams(b.column(2).to_pylist(), depth)
                     if shards > 1:
                         mine = ((g >> 8) & ((1 << 8 * _SHARD_BYTES) - 1)) % shards == k
                         each = np.zeros(len(g))
@@ -234,31 +240,28 @@ def score(docs: DataFrame, text: str = "text", ident: str = "doc_id", modulus: i
                     else:
                         each = coder.score(g)
                     sums = np.add.reduceat(each, starts)
-                    n = len(bags)
                     if k:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), pa.array(sums, pa.float64())], names=["row", "score"])
-                        row += n
+                        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.float64())], names=["row", "score"])
                         continue
                     end = known.get(END)
                     logs_ = [list(map(known.get, bag)) for bag in bags]
                     tail = [[w for w, x in zip(bag, at, strict=True) if x is None] if None in at else [] for bag, at in zip(bags, logs_, strict=True)]
                     hits = [[x for x in at if x is not None] if t else at for at, t in zip(logs_, tail, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(row, row + n)), b.column(0), b.column(2), pa.array([len(x) + 1 for x in bags], pa.int64()), pa.array([len(x) + (end is not None) for x in hits], pa.int64()), pa.array([sum(x) + (end or 0.0) for x in hits], pa.float64()), pa.array(sums, pa.float64()), pa.array(tail, pa.list_(pa.binary()))],
-                        names=["row", "id", "held_out", "n_tokens", "head_known", "head_log", "score", "tail"],
+                        [*(b.column(x) for x in (0, 1, 3)), pa.array(lengths), pa.array([len(x) + 1 for x in bags], pa.int64()), pa.array([len(x) + (end is not None) for x in hits], pa.int64()), pa.array([sum(x) + (end or 0.0) for x in hits], pa.float64()), pa.array(sums, pa.float64()), pa.array(tail, pa.list_(pa.binary()))],
+                        names=["row", "id", "held_out", "bytes", "n_tokens", "head_known", "head_log", "score", "tail"],
                     )
-                    row += n
 
-        return docs.select("id", "text", "held_out").mapInArrow(run, "row long, score double" if k else "row long, id long, held_out boolean, n_tokens long, head_known long, head_log double, score double, tail array<binary>")
+        return rows_.mapInArrow(run, "row long, score double" if k else "row long, id long, held_out boolean, bytes long, n_tokens long, head_known long, head_log double, score double, tail array<binary>")
 
     first = table(one(0))
     for k in range(1, shards):
         more = table(one(k).select("row", F.col("score").alias("_more")))
         first = table(first.join(more, "row").withColumn("score", F.col("score") + F.col("_more")).drop("_more"))
-    rare = first.select("row", F.explode("tail").alias("w")).join(vocabulary, "w").groupBy("row").agg(F.count(F.lit(1)).alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
+    rare = first.select("row", F.explode("tail").alias("w")).join(vocabulary, "w").groupBy("row").agg(F.count(F.lit(1)).alias("tail_known"), (F.sum(F.round(F.log10(F.col("c") + 1) * SCALE).cast("long")) / SCALE).alias("tail_log"))
     out = first.drop("tail").join(rare, "row", "left")
     n = F.col("n_tokens")
     return out.select(
         "id", "held_out", n, (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - n * float(np.log10(tokens + distinct + 1))).alias("base_score"), "score",
+        (F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - n * float(np.log10(tokens + distinct + 1))).alias("base_score"), "score", (-F.col("score") * float(np.log2(10)) / F.col("bytes")).alias("bits_per_byte"),
     )

@@ -47,9 +47,25 @@ def test_cutoffs_follow_their_group(spark):
     assert not kept[1000][0] and "symbol_share" in kept[1000][1] and not kept[1001][0] and "upper_share" in kept[1001][1]
 
 
+def test_half_junk_moves_no_cutoff(spark):
+    clean = lambda i: " ".join(f"word{(i * 7 + k) % 90}" for k in range(30))
+    rows = [(i, clean(i) if i % 5 > 1 else " ".join(f"w%o$r#d&{(i + k) % 90}" for k in range(30)), "en", "hot" if i % 3 else "b") for i in range(600)]
+    kept = {r["doc_id"]: r["quality"]["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")).collect()}
+    assert all(kept[i] == (i % 5 > 1) for i in range(600))
+
+
+def test_group_size_moves_cutoffs_smoothly(spark):
+    # Long words in a source of their own: at no size does one row more turn the source's verdict by much.
+    high = []
+    for n in (1, 5, 19, 20, 21, 60, 199, 200, 201):
+        sketch = spark.createDataFrame([("en", "a", "word_length", 4000, 5000), ("en", "b", "word_length", 9000, n)], "lang string, source string, feature string, bin long, n long")
+        high.append(quality_rules.cutoffs(sketch).where("source = 'b'").first()["high"])
+    assert high == sorted(high) and max(b - a for a, b in zip(high[2:5], high[3:5], strict=False)) < 1500
+
+
 def test_sketches_merge(spark):
     rows = [(i, " ".join(["ab"] * (20 + i % 50)), "en", f"s{i % 2}") for i in range(300)]
-    df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    df = spark.createDataFrame(rows, "doc_id int, t string, lang string, source string")
     whole = quality_rules.sketches(quality_rules.features(df)).groupBy("feature", "bin").sum("n")
     halves = quality_rules.sketches(quality_rules.features(df.where("doc_id < 150"))).union(quality_rules.sketches(quality_rules.features(df.where("doc_id >= 150")))).groupBy("feature", "bin").sum("n")
     assert whole.exceptAll(halves).count() == 0 and whole.count() == halves.count()
@@ -59,6 +75,14 @@ def test_empty_table(spark):
     assert quality_rules.judge(spark.createDataFrame([], "doc_id int, text string, lang string, source string, _q int")).collect() == []
 
 
+def test_clashing_columns(spark):
+    names = "row t w n chars sym up dup rep q cut l s failed feature bin low high _lang _q _w".split()
+    rows = [(1, "some words " * 12, "en", "a", *names)]
+    out = quality_rules.judge(spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names)))
+    r = out.first()
+    assert out.columns == ["doc_id", "text", "lang", "source", *names, "quality"] and [r[c] for c in names] == names and r["quality"]["n_words"] == 24
+
+
 @pytest.mark.parametrize("v", [0, 1, 63, 64, 65, 127, 128, 1000, 123456])
 def test_bins(spark, v):
     from pyspark.sql import functions as F
