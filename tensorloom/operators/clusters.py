@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import table
 
@@ -126,18 +127,34 @@ def ursell(clusters: DataFrame, interaction: DataFrame, compat: bool = False) ->
     inside = m.join(interaction, "loop_a").where(F.array_contains(F.col("members.loop_id"), F.col("loop_b")) & (F.col("loop_a") < F.col("loop_b")))
     pairs = inside.groupBy("cluster_id").agg(F.collect_list(F.struct("loop_a", "loop_b")).alias("pairs"))
 
-    def value(members, pairs) -> float:
-        mult = {m["loop_id"]: m["mult"] for m in members}
-        nodes = [(k, i) for k, n in mult.items() for i in range(n)]
-        touch = {(p["loop_a"], p["loop_b"]) for p in pairs or ()}
-        edges = [(x, y) for (x, a), (y, b) in itertools.combinations(enumerate(nodes), 2) if a[0] == b[0] or (a[0], b[0]) in touch or (b[0], a[0]) in touch]
-        return _spanning_sum(len(nodes), edges) / math.prod(math.factorial(n) for n in mult.values())
-
-    phi = F.udf(value, T.DoubleType(), useArrow=False)
-    many = clusters.join(pairs, "cluster_id", "left")
-    # Almost all clusters have one or two loops: those need no Python.
+    many = clusters.join(pairs, "cluster_id", "left").select("cluster_id", "members", "total_loops", "pairs")
     two = F.when(F.size("members") == 1, -0.5).otherwise(F.when(F.col("pairs").isNotNull(), -1.0).otherwise(0.0))
-    return many.select("cluster_id", F.when(F.col("total_loops") == 1, 1.0).when(F.col("total_loops") == 2, two).otherwise(phi("members", "pairs")).alias("phi"))
+    few = many.where("total_loops <= 2").select("cluster_id", F.when(F.col("total_loops") == 1, 1.0).otherwise(two).alias("phi"))
+    return few.union(many.where("total_loops > 2").select("cluster_id", "members", "pairs").mapInPandas(_phi, "cluster_id long, phi double"))
+
+
+def _phi(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """phi of clusters of three loops or more; clusters of one shape, which are most, are computed once."""
+    known: dict[tuple, float] = {}
+
+    def value(members, pairs) -> float:
+        place = {int(m["loop_id"]): k for k, m in enumerate(members)}
+        mult = tuple(int(m["mult"]) for m in members)
+        touch = frozenset((place[int(p["loop_a"])], place[int(p["loop_b"])]) for p in (() if pairs is None else pairs))
+        touch = frozenset((min(x), max(x)) for x in touch)
+        if (mult, touch) not in known:
+            nodes = [k for k, n in enumerate(mult) for _ in range(n)]
+            edges = [(x, y) for (x, a), (y, b) in itertools.combinations(enumerate(nodes), 2) if a == b or (a, b) in touch]
+            known[mult, touch] = _spanning_sum(len(nodes), edges) / math.prod(map(math.factorial, mult))
+        return known[mult, touch]
+
+    for f in frames:
+        yield pd.DataFrame({"cluster_id": f["cluster_id"], "phi": [value(m, p) for m, p in zip(f["members"], f["pairs"], strict=True)]})
+
+
+def first_clusters(clusters: DataFrame, n: int) -> DataFrame:
+    """The n lightest clusters, by weight and key: for a quick look, where a sum over all isn't wanted."""
+    return clusters.orderBy("weight", key(F.col("members"))).limit(n)
 
 
 def contributions(clusters: DataFrame, phi: DataFrame, z: DataFrame) -> DataFrame:

@@ -168,14 +168,14 @@ def one_hot(x: Column) -> Column:
     return F.when(x == 0, F.array(F.lit(1.0), F.lit(0.0))).when(x == 1, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(0.5), F.lit(0.5)))
 
 
-def decode_bp(pcm: DataFrame, s: DataFrame, bias: float, rounds: int = 50, keep: float = 0.0) -> DataFrame:
-    """(sample_id, bit, p1, x): bit marginals by belief propagation given syndromes (sample_id, chk, s), and the likelier value.
+def messages(pcm: DataFrame, s: DataFrame, bias: float, rounds: int = 50, keep: float = 0.0) -> DataFrame:
+    """(sample_id, chk, bit, s, down, up): log odds of a 0 from checks to bits and back, given syndromes (sample_id, chk, s).
 
     A check's message to a bit only depends on the product of (1 - 2p) over its other bits, so the factor graph's
-    tensors need not be written out: messages are one number, and a round is two grouped products. Ties go to 0.
+    tensors need not be written out: messages are one number, and a round is two grouped products.
     """
     start = float(np.log((1 - bias) / bias))
-    now = table(pcm.join(s, "chk").select("sample_id", "chk", "bit", "s")).select("*", F.lit(start).alias("up"), F.lit(0.0).alias("down"))
+    now = table(pcm.join(s, "chk").select("sample_id", "chk", "bit", "s")).select("*", F.lit(0.0).alias("down"), F.lit(start).alias("up"))
     of_check, of_bit = W.partitionBy("sample_id", "chk"), W.partitionBy("sample_id", "bit")
     for n in range(rounds):
         t = F.tanh(F.col("up") / 2)
@@ -187,10 +187,41 @@ def decode_bp(pcm: DataFrame, s: DataFrame, bias: float, rounds: int = 50, keep:
         now = now.withColumn("up", start + F.sum("down").over(of_bit) - F.col("down"))
         if n % 5 == 4:
             now = table(now)
-    out = now.groupBy("sample_id", "bit").agg((start + F.sum("down")).alias("l"))
+    return now
+
+
+def decode_bp(pcm: DataFrame, s: DataFrame, bias: float, rounds: int = 50, keep: float = 0.0) -> DataFrame:
+    """(sample_id, bit, p1, x): bit marginals by belief propagation, and the likelier value; ties go to 0."""
+    start = float(np.log((1 - bias) / bias))
+    out = messages(pcm, s, bias, rounds, keep).groupBy("sample_id", "bit").agg((start + F.sum("down")).alias("l"))
     return out.select("sample_id", "bit", (1 / (1 + F.exp("l"))).alias("p1"), (F.col("l") < 0).cast("int").alias("x"))
 
 
+def pair_marginals(pcm: DataFrame, s: DataFrame, bias: float, rounds: int = 50, keep: float = 0.0) -> DataFrame:
+    """(sample_id, a, b, p00, p01, p10, p11): joint marginals of each two bits a < b that share two checks or more.
+
+    The short cycles through both are summed exactly, everything else is on its messages.
+    """
+    start = float(np.log((1 - bias) / bias))
+    m = table(messages(pcm, s, bias, rounds, keep))
+    p = pcm.distinct()
+    both = p.select("chk", F.col("bit").alias("a")).join(p.select("chk", F.col("bit").alias("b")), "chk").where("a < b")
+    pairs = both.join(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"), ["a", "b"])
+    total = m.groupBy("sample_id", "bit").agg((start + F.sum("down")).alias("l"))
+    end = lambda c: pairs.join(m.select("sample_id", "chk", F.col("bit").alias(c), "down"), ["chk", c]).groupBy("sample_id", "a", "b").agg(F.sum("down").alias(f"d{c}"))
+    odds = end("a").join(end("b"), ["sample_id", "a", "b"])
+    for c in ("a", "b"):
+        odds = odds.join(total.select("sample_id", F.col("bit").alias(c), F.col("l").alias(f"l{c}")), ["sample_id", c]).withColumn(f"o{c}", F.col(f"l{c}") - F.col(f"d{c}"))
+    t = F.when((F.col("bit") == F.col("a")) | (F.col("bit") == F.col("b")), 1.0).otherwise(F.tanh(F.col("up") / 2))
+    rest = pairs.join(m, "chk").withColumn("t", t).groupBy("sample_id", "a", "b", "chk").agg(F.exp(F.sum(F.log(F.greatest(F.abs("t"), F.lit(1e-300))))).alias("r"), F.sum((F.col("t") < 0).cast("int")).alias("neg"), F.max("s").alias("s"))
+    r = F.col("r") * (1 - 2 * ((F.col("neg") + F.col("s")) % 2))
+    logs = rest.groupBy("sample_id", "a", "b").agg(F.sum(F.log(F.greatest(1 + r, F.lit(1e-300)))).alias("same"), F.sum(F.log(F.greatest(1 - r, F.lit(1e-300)))).alias("differ"))
+    j = odds.join(logs, ["sample_id", "a", "b"])
+    w = {f"p{x}{y}": F.exp(F.col("same" if x == y else "differ") - x * F.col("oa") - y * F.col("ob")) for x in (0, 1) for y in (0, 1)}
+    norm = w["p00"] + w["p01"] + w["p10"] + w["p11"]
+    return j.select("sample_id", "a", "b", *[(v / norm).alias(k) for k, v in w.items()])
+
+
 def argmax_decide(p: DataFrame, keys: list[str], value: str = "p", choice: str = "k") -> DataFrame:
     """(keys..., choice): of each group the choice of the largest value, the smallest of ties; one partial aggregate."""
     best = p.groupBy(*keys).agg(F.max(value).alias("_top"))
@@ -315,8 +346,10 @@ def class_weights(spark: SparkSession, chains: DataFrame, ids: DataFrame, L: int
     return own.join(F.broadcast(sums)).groupBy("sample_id", "class").agg(F.log(F.sum(w)).alias("logw"))
 
 
-def random_bond(spark: SparkSession, chains: DataFrame, L: int, beta: float) -> tuple[DataFrame, DataFrame]:
-    """(tensors, slots) of the random-bond Ising model of each class of one sample, g the class: a delta tensor at each site, a bond tensor on each edge.
+def random_bond(spark: SparkSession, chains: DataFrame, L: int, beta: float, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(tensors, slots) of the random-bond Ising model of each class: a delta tensor at each site, a bond tensor on each edge.
+
+    g is the class of the one sample, or 4 * sample_id + class for the samples of `ids`.
 
     Edge (i, j) of the first group joins site (i, j) and the one below, of the second group the one to the right; bond
     tensors are vertices L * L + e.
@@ -328,14 +361,30 @@ def random_bond(spark: SparkSession, chains: DataFrame, L: int, beta: float) ->
     legs = ends.select("b", F.explode(F.array("x", "y")).alias("v"))
     site = legs.groupBy("v").agg(F.array_sort(F.collect_list("b")).alias("l")).select("v", F.posexplode("l").alias("slot", "nbr"))
     bond = ends.select(F.col("b").alias("v"), F.posexplode(F.array("x", "y")).alias("slot", "nbr"))
-    points = spark.range(4).select(F.col("id").cast("double").alias("g"))
+    kinds = spark.range(4).select(F.col("id").alias("class"))
+    g = F.col("class").cast("double") if ids is None else (4 * F.col("sample_id") + F.col("class")).cast("double")
+    points = (kinds if ids is None else ids.select("sample_id").distinct().join(kinds)).select(g.alias("g"))
     delta = cell.join(points).select("g", "v", F.explode(F.array(*[F.array(*[F.lit(k)] * 4) for k in (1, 2)])).alias("idx"), F.lit(1.0).alias("re"))
-    on = chains.select(F.col("class").cast("double").alias("g"), (n + F.col("e")).alias("b"), F.lit(1).alias("x"))
+    on = chains.select(g.alias("g"), (n + F.col("e")).alias("b"), F.lit(1).alias("x"))
     energy = ends.select("b").join(points).join(on, ["g", "b"], "left").withColumn("w", bond_energy(F.coalesce("x", F.lit(0)), F.lit(beta)))
     entries = energy.select("g", F.col("b").alias("v"), F.explode(F.array(*[F.struct(F.array(F.lit(p), F.lit(q)).alias("idx"), F.get("w", F.lit(int(p != q))).alias("re")) for p in (1, 2) for q in (1, 2)])).alias("e"))
     return delta.union(entries.select("g", "v", "e.idx", "e.re")), site.union(bond)
 
 
+def class_energies(spark: SparkSession, chains: DataFrame, ids: DataFrame, L: int, p: float, keep: float = 0.1, rounds: int = 500, seed: int = 1) -> DataFrame:
+    """(sample_id, class, logw): belief propagation's log Z of the random-bond model of each class, at any L.
+
+    beta is on the Nishimori line. Messages start off uniform by a little noise that is the same for all classes, as
+    else the paramagnet's fixed point, which doesn't see the bonds, would hold. One group holds one class of one sample.
+    """
+    from . import small
+
+    beta = 0.5 * float(np.log((1 - p) / p))
+    t, s = random_bond(spark, chains, L, beta, ids)
+    out = small.solve(t, s, keep=keep, tolerance=1e-9, rounds=rounds, noise=0.01, seed=seed)
+    return out.where("loop_id IS NULL").select(F.floor(F.col("g") / 4).cast("long").alias("sample_id"), (F.col("g") % 4).cast("int").alias("class"), F.col("re").alias("logw"))
+
+
 def factor_graph(pcm: DataFrame, s: DataFrame, bias: float, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(tensors, slots) of one syndrome (chk, s): bits first, then checks numbered after the largest bit.
 

@@ -162,3 +162,13 @@ def walks(spark, length: int) -> DataFrame:
         left = length - n
         now = table(to.where(~F.array_contains("path", F.col("to")) & (F.abs(F.col("to.x")) + F.abs(F.col("to.y")) <= left)).select(F.array_append("path", F.col("to")).alias("path")))
     return counts.where("n > 0")
+
+
+def feasible(vertices: Column, edges: Column) -> Column:
+    """Whether so many edges may form a loop on so many vertices: each has two links or more, and on average six or fewer."""
+    return (edges >= vertices) & (edges <= 3 * vertices)
+
+
+def reasonable(vertices: Column, new: Column, L: int) -> Column:
+    """Whether a vertex is near enough to extend a loop: any for up to four vertices, else within min(L / 2, 4) of the smallest."""
+    return (F.size(vertices) <= 4) | (C.distance(F.array_min(vertices), new, L) <= min(L // 2, 4))

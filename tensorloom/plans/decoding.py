@@ -33,14 +33,19 @@ def regular(spark: SparkSession, n: int, d_v: int, d_c: int, p: float, batches:
     return words.groupBy(F.floor((F.col("sample_id") - 1) / per_batch).alias("batch")).agg(F.avg("b").alias("bit_error"), F.avg("any").alias("word_error"))
 
 
-def maximum_likelihood(spark: SparkSession, L: int, p: float, samples: int) -> DataFrame:
-    """(sample_id, class, wrong): the likeliest class of each sample, exactly, and whether it differs from the true one."""
+def maximum_likelihood(spark: SparkSession, L: int, p: float, samples: int, exact: bool | None = None, rounds: int = 500) -> DataFrame:
+    """(sample_id, class, best, true, wrong): the likeliest class of each sample, its logarithm, that of the class of the
+    true error, and whether they differ. Exact for L <= 4 unless `exact` says otherwise, else by belief propagation."""
     truth = table(sources.errors(spark, samples, 2 * L * L, p))
     s = codes.syndrome(sources.toric(spark, L), truth)
     matched = table(codes.match_syndrome(s, L))
     chains = table(codes.logical_classes(matched, truth, L))
-    best = codes.argmax_decide(codes.class_weights(spark, chains, truth, L, p), ["sample_id"], "logw", "class")
-    picked = chains.join(best, ["sample_id", "class"]).select(F.col("sample_id").alias("set_id"), "e").union(truth.where("x = 1").select("sample_id", "bit"))
-    ids = truth.select(F.col("sample_id").alias("set_id")).distinct()
-    ok = codes.check_decoding(picked, ids, L).select(F.col("set_id").alias("sample_id"), (~F.col("homology_trivial")).cast("int").alias("wrong"))
-    return best.join(ok, "sample_id")
+    exact = L <= 4 if exact is None else exact
+    w = table(codes.class_weights(spark, chains, truth, L, p) if exact else codes.class_energies(spark, chains, truth, L, p, rounds=rounds))
+    best = codes.argmax_decide(w, ["sample_id"], "logw", "class").join(w, ["sample_id", "class"]).withColumnRenamed("logw", "best")
+    each = truth.select("sample_id").distinct().join(spark.range(4).select(F.col("id").cast("int").alias("class")))
+    name = lambda c: (4 * F.col("sample_id") + c).alias("set_id")
+    sets = chains.select(name(F.col("class")), "e").union(truth.where("x = 1").join(spark.range(4)).select(name(F.col("id")), "bit"))
+    same = codes.check_decoding(sets, each.select(name(F.col("class"))), L).where("homology_trivial")
+    true = same.select(F.floor(F.col("set_id") / 4).alias("sample_id"), (F.col("set_id") % 4).cast("int").alias("class")).join(w, ["sample_id", "class"]).select("sample_id", F.col("logw").alias("true"))
+    return best.join(true, "sample_id").select("sample_id", "class", "best", "true", (F.col("best") - F.col("true") > 1e-9).cast("int").alias("wrong"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import physics
 from ..operators import bp, clusters, loops, series
 from ..session import table
-from ..sources import lattices, tensors
+from ..sources import catalog, lattices, tensors
 
 
 def bethe(spark: SparkSession, L: int, betas: list[float], rounds: int = 1) -> DataFrame:
@@ -27,24 +27,38 @@ def compare(spark: SparkSession, L: int, betas: list[float]) -> DataFrame:
     return j.select("beta", "f_bp", "f_exact", F.abs(F.col("f_bp") - F.col("f_exact")).alias("abs_err"))
 
 
-def corrected(spark: SparkSession, L: int, betas: list[float], weight: int) -> DataFrame:
-    """(beta, weight, f): free energy per spin with all clusters of loops up to each weight; loops of the whole torus.
+def one_site_clusters(spark: SparkSession, L: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """(loops of the whole torus, clusters through one site): loops are found at one site and moved over the torus."""
+    one = loops.find(lattices.square(spark, L), weight, at=1)
+    every = table(loops.numbered(loops.translates(one, L)))
+    return every, table(clusters.numbered(clusters.grow(every, table(clusters.interactions(every)), weight, at=1)))
+
 
-    Loops are found at one site and moved over the torus, clusters are grown through that site, and each counts one
-    part in its number of sites.
-    """
+def from_clusters(spark: SparkSession, L: int, betas: list[float], every: DataFrame, found: DataFrame) -> DataFrame:
+    """(beta, weight, f): free energy per spin with the clusters of each weight and below, each one part in its number of sites."""
     t, s = tensors.ising(spark, L, betas)
     m = table(bp.step(t, s, bp.start(t, s)))
-    edges = lattices.square(spark, L)
-    one = loops.find(edges, weight, at=1)
-    every = table(loops.numbered(loops.translates(one, L)))
-    inter = table(clusters.interactions(every))
-    found = table(clusters.numbered(clusters.grow(every, inter, weight, at=1)))
     z = table(bp.loop_contributions(t, s, m, every.join(found.select(F.explode("members.loop_id").alias("loop_id")).distinct(), "loop_id", "left_semi")))
-    c = clusters.contributions(found, clusters.ursell(found, inter), z)
+    c = clusters.contributions(found, clusters.ursell(found, table(clusters.interactions(every))), z)
     size = clusters.sites(found, every).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size"))
     rows = c.join(size, "cluster_id").join(found.select("cluster_id", "total_loops"), "cluster_id")
-    per = series.one_site_total(rows, per=2)
-    upto = series.cumulative(per, "at")
+    upto = series.cumulative(series.one_site_total(rows, per=2), "at")
     base = bp.log_partition(bp.local_z(t, s, m)).select("g", (-F.col("logz") / (2 * L * L)).alias("f0"))
     return upto.join(base, "g").select(F.col("g").alias("beta"), "weight", (F.col("f0") + F.col("upto")).alias("f"))
+
+
+def corrected(spark: SparkSession, L: int, betas: list[float], weight: int) -> DataFrame:
+    """(beta, weight, f): free energy per spin with all clusters of loops up to each weight; loops of the whole torus."""
+    return from_clusters(spark, L, betas, *one_site_clusters(spark, L, weight))
+
+
+def save_clusters(spark: SparkSession, root: str, L: int, weight: int, run: str) -> None:
+    """Enumerate once and save loops and clusters as a run of the catalogue."""
+    every, found = one_site_clusters(spark, L, weight)
+    catalog.save_run(spark, root, {"loops": every, "clusters": found}, L=L, max_weight=weight, bc="periodic", run=run)
+
+
+def from_saved(spark: SparkSession, root: str, L: int, betas: list[float], weight: int) -> DataFrame:
+    """from_clusters of the latest saved run of that lattice and weight whose files can be read."""
+    load = lambda name: catalog.load_latest(spark, root, name, L=L, max_weight=weight, bc="periodic")
+    return from_clusters(spark, L, betas, table(load("loops")), table(load("clusters")))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import coords as C
 from ..functions import physics
-from ..operators import bp, clusters, codes, contract, exact, loops, series, stats
+from ..operators import bp, clusters, codes, contract, exact, loops, series, small, stats
 from ..operators.graph import components
-from ..session import table
+from ..session import shared_dir, table
 from ..sources import codes as code_sources
 from ..sources import lattices, tensors
 from . import decoding, ising
@@ -335,6 +337,36 @@ def enumeration_stats(spark, sf_dir):
     return out.select("weight", *[F.col(n).cast("int").alias(n) for n in ("clusters", "least", "most")], F.round("mean", 1).alias("mean"))
 
 
+@query("saved_free_energy", """WITH """ + ENTRIES.format(beta="CAST(0.3 AS DOUBLE)") + """, z AS (SELECT sum(t) / 4 AS z FROM entries),
+turn AS (SELECT sum(t * CASE WHEN a = b THEN 1 ELSE -1 END) / 4 / (SELECT z FROM z) AS c FROM entries)
+SELECT CAST(0.3 AS DOUBLE) AS beta, 4 AS weight, round(-ln((SELECT z FROM z)) / 2 - pow(c, 4) / 2, 8) AS f FROM turn""")
+def saved_free_energy(spark, sf_dir):
+    """Clusters are saved twice, and the free energy comes from the latest run that can be read."""
+    root = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    for run in ("a", "b"):
+        ising.save_clusters(spark, root, 6, 4, run)
+    return ising.from_saved(spark, root, 6, [0.3], 4).select("beta", "weight", F.round("f", 8).alias("f"))
+
+
+@query("loop_predicates", "SELECT CAST(v AS INTEGER) AS v, CAST(e AS INTEGER) AS e, e >= v AND e <= 3 * v AS feasible, v <= 4 OR least((e - 1) % 10, 10 - (e - 1) % 10) + least((e - 1) // 10, 10 - (e - 1) // 10) <= 4 AS reasonable FROM range(3, 7) a(v), range(1, 41) b(e)")
+def loop_predicates(spark, sf_dir):
+    g = spark.range(160).select((F.floor(F.col("id") / 40) + 3).cast("int").alias("v"), (F.col("id") % 40 + 1).cast("int").alias("e"))
+    vertices = F.sequence(F.lit(1), F.col("v"))
+    return g.select("v", "e", loops.feasible(F.col("v"), F.col("e")).alias("feasible"), loops.reasonable(vertices, F.col("e"), 10).alias("reasonable"))
+
+
+@query("first_clusters", "SELECT * FROM (VALUES (4, 36), (6, 64)) t(weight, n)")
+def first_clusters(spark, sf_dir):
+    """The hundred lightest clusters of a torus whose loops of weight 4 are its 36 faces."""
+    _, _, found = _clusters(spark, 6, 6)
+    return clusters.first_clusters(found, 100).groupBy("weight").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("completion_estimates", "SELECT CAST(L AS INTEGER) AS L, CASE WHEN L <= 4 THEN 1 WHEN L <= 6 THEN 10 WHEN L <= 8 THEN 60 WHEN L <= 10 THEN 300 END AS at_most FROM range(3, 13) t(L)")
+def completion_estimates(spark, sf_dir):
+    return spark.range(3, 13).select(F.col("id").cast("int").alias("L"), physics.completion_seconds(F.col("id")).alias("at_most"))
+
+
 @query("clusters_on_site", "SELECT * FROM (VALUES (4, 1, 4), (6, 1, 14), (7, 1, 12)) t(weight, total_loops, n)")
 def clusters_on_site(spark, sf_dir):
     _, _, found = _clusters(spark, 6, 7, at=1)
@@ -376,6 +408,24 @@ def cluster_free_energy(spark, sf_dir):
     return ising.corrected(spark, 9, [0.2, 0.3], 8).select("beta", "weight", F.round("f", 8).alias("f"))
 
 
+#: Loops of the torus of 6 x 6 up to weight 6 as sets of sites, their contributions, and which touch.
+SERIES = """WITH """ + ENTRIES.format(beta="CAST(0.3 AS DOUBLE)") + """, z AS (SELECT sum(t) / 4 AS z FROM entries),
+turn AS (SELECT sum(t * CASE WHEN a = b THEN 1 ELSE -1 END) / 4 / (SELECT z FROM z) AS c FROM entries),
+pass AS (SELECT sum(t * CASE WHEN a = {third} THEN 1 ELSE -1 END) / 4 / (SELECT z FROM z) AS s FROM entries),
+home AS (SELECT x AS i, y AS j FROM range(0, 6) a(x), range(0, 6) b(y)),
+raw AS (
+  SELECT 4 AS w, list_distinct(list_transform(range(0, 4), lambda k: (i + k // 2) % 6 * 6 + (j + k % 2) % 6)) AS v, (SELECT pow(c, 4) FROM turn) AS z FROM home
+  UNION ALL SELECT 6, list_transform(range(0, 6), lambda k: (i + k // 3) % 6 * 6 + (j + k % 3) % 6), (SELECT pow(c, 4) FROM turn) * (SELECT pow(s, 2) FROM pass) FROM home
+  UNION ALL SELECT 6, list_transform(range(0, 6), lambda k: (i + k // 2) % 6 * 6 + (j + k % 2) % 6), (SELECT pow(c, 4) FROM turn) * (SELECT pow(s, 2) FROM pass) FROM home
+  UNION ALL SELECT 6, list_transform(range(0, 6), lambda k: i * 6 + k), (SELECT pow(s, 6) FROM pass) FROM home WHERE j = 0
+  UNION ALL SELECT 6, list_transform(range(0, 6), lambda k: k * 6 + j), (SELECT pow(s, 6) FROM pass) FROM home WHERE i = 0
+),
+l AS (SELECT row_number() OVER () AS id, * FROM raw)"""
+THIRD = "c"
+ALL_TERMS = """, terms AS (SELECT w AS weight, z AS c FROM l UNION ALL SELECT 2 * w, -z * z / 2 FROM l UNION ALL SELECT a.w + b.w, -a.z * b.z FROM l a JOIN l b ON a.id < b.id AND list_has_any(a.v, b.v){products})
+SELECT weight, round(sum(c), 8) AS "at" FROM terms GROUP BY weight"""
+
+
 def _series(spark, log):
     t, s = tensors.ising(spark, 6, [0.3])
     found = table(loops.numbered(loops.find(lattices.square(spark, 6), 6)))
@@ -383,16 +433,43 @@ def _series(spark, log):
     return series.z_series(found, z, clusters.interactions(found), log).select("weight", F.round("at", 8).alias("at"))
 
 
-@query("z_series")
+@query("z_series", SERIES.format(third=THIRD) + ALL_TERMS.format(products=" UNION ALL SELECT a.w + b.w, a.z * b.z / 2 FROM l a, l b"))
 def z_series(spark, sf_dir):
     return _series(spark, False)
 
 
-@query("logz_series")
+@query("logz_series", SERIES.format(third=THIRD) + ALL_TERMS.format(products=""))
 def logz_series(spark, sf_dir):
     return _series(spark, True)
 
 
+@query("orders_of_loops", SERIES.format(third=THIRD) + """, vacuum AS (SELECT 36 * ln((SELECT z FROM z)) AS x)
+SELECT w AS weight, round(x + ln(1 + s), 7) AS logz, round(ln(1 + every) / 36, 9) AS naive FROM (SELECT w, sum(z) AS s FROM l GROUP BY w UNION ALL SELECT 0, 0), vacuum, (SELECT sum(z) AS every FROM l)""")
+def orders_of_loops(spark, sf_dir):
+    """log Z in the vacuum and with the loops of each weight alone, and the naive correction per site with all of them."""
+    t, s = tensors.ising(spark, 6, [0.3])
+    found = table(loops.numbered(loops.find(lattices.square(spark, 6), 6)))
+    solved = table(small.solve(t, s, found))
+    naive = small.naive_correction(solved, 36).select("g", F.round("re", 9).alias("naive"))
+    return small.by_order(solved, found).join(naive, "g").select("weight", F.round("re", 7).alias("logz"), "naive")
+
+
+@query("complex_peps", """WITH k AS (SELECT v, p, q, CAST(p + 2 * q AS BIGINT) AS k FROM range(1, 5) a(v), range(0, 2) b(p), range(0, 2) c(q)),
+m1 AS (SELECT *, ((s::BIGINT * 7919 + v * 104729 + 12345) * ((s + v) % 997 + 1)) % 999983 AS x1 FROM k, (VALUES (3), (4)) t(s)),
+m2 AS (SELECT *, ((x1 * 7919 + k * 104729 + 12345) * ((x1 + k) % 997 + 1)) % 999983 AS x2 FROM m1),
+n AS (SELECT v, p, q, max(CASE WHEN s = 3 THEN (x2 * x2 + 3 * x2 + 17) % 999983 END) / 999983.0::DOUBLE - 0.5 AS x, max(CASE WHEN s = 4 THEN (x2 * x2 + 3 * x2 + 17) % 999983 END) / 999983.0::DOUBLE - 0.5 AS y FROM m2 GROUP BY ALL),
+t AS (SELECT g, v, p, q, CASE p + q WHEN 0 THEN 0.64 WHEN 1 THEN 0.384 ELSE 0.1008 END::DOUBLE + g * x AS re, CASE p + q WHEN 0 THEN 0 WHEN 1 THEN 0.288 ELSE 0.3456 END::DOUBLE + g * y AS im FROM n, (VALUES (0.05::DOUBLE), (0.2::DOUBLE)) e(g)),
+half AS (SELECT a.g, a.v, a.p AS i, b.p AS k, sum(a.re * b.re - a.im * b.im) AS re, sum(a.re * b.im + a.im * b.re) AS im FROM t a JOIN t b ON a.v = 1 AND b.v = 2 AND a.q = b.q AND a.g = b.g GROUP BY ALL
+  UNION ALL SELECT a.g, a.v, a.p, b.p, sum(a.re * b.re - a.im * b.im), sum(a.re * b.im + a.im * b.re) FROM t a JOIN t b ON a.v = 3 AND b.v = 4 AND a.q = b.q AND a.g = b.g GROUP BY ALL)
+SELECT a.g, round(sum(a.re * b.re - a.im * b.im), 8) AS re, round(sum(a.re * b.im + a.im * b.re), 8) AS im FROM half a JOIN half b ON a.g = b.g AND a.v = 1 AND b.v = 3 AND a.i = b.i AND a.k = b.k GROUP BY a.g""")
+def complex_peps(spark, sf_dir):
+    """On two by two sites the vacuum and the one loop are exact, complex tensors included."""
+    t, s = tensors.complex_peps(spark, 2, 2, [0.05, 0.2], 3)
+    one = spark.createDataFrame([(1, [(1, 2), (1, 3), (2, 4), (3, 4)], 4)], "loop_id long, edges array<struct<u:int,w:int>>, weight int")
+    out = small.by_order(small.solve(t, s, one, tolerance=1e-13), one).where("weight = 4")
+    return out.select("g", (F.round(F.exp("re") * F.cos("im"), 8) + 0.0).alias("re"), (F.round(F.exp("re") * F.sin("im"), 8) + 0.0).alias("im"))
+
+
 @query("disjoint_and_touching", "SELECT 630 - 144 AS disjoint, 144 AS touching")
 def disjoint_and_touching(spark, sf_dir):
     found = table(loops.numbered(loops.find(lattices.square(spark, 6), 4)))
@@ -483,10 +560,15 @@ def gallager_code(spark, sf_dir):
     return code_sources.gallager(spark, 24, 3, 4)
 
 
-@query("bch_code", "SELECT 8 AS checks, 15 AS bits, 3 AS corrected")
+@query("bch_code", """WITH RECURSIVE pw(j, x) AS (SELECT 0, 1 UNION ALL SELECT j + 1, CASE WHEN x >= 8 THEN xor(x << 1, 19) ELSE x << 1 END FROM pw WHERE j < 14),
+masks AS (SELECT k, b, CAST(sum(((p.x >> b) & 1) << a.j) AS BIGINT) AS m FROM (VALUES (1), (3)) q(k), range(0, 4) t(b), pw a JOIN pw p ON true WHERE p.j = (k * a.j) % 15 GROUP BY k, b),
+words AS (SELECT w FROM range(0, 32768) t(w), masks GROUP BY w HAVING max(bit_count(w & m) % 2) = 0)
+SELECT CAST(bit_count(w) AS INTEGER) AS weight, count(*) AS n FROM words GROUP BY ALL""")
 def bch_code(spark, sf_dir):
-    t = code_sources.bch(spark, 4, 2)
-    return t.agg(F.count_distinct("chk").cast("int").alias("checks"), F.max("bit").alias("bits")).withColumn("corrected", F.lit(3))
+    """Codewords of the code of length 15 that corrects two errors, by weight; the smallest is 5."""
+    masks = code_sources.bch(spark, 4, 2).groupBy("chk").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit") - 1)).alias("m"))
+    words = spark.range(1 << 15).join(F.broadcast(masks)).groupBy("id").agg(F.max(F.bit_count(F.col("id").bitwiseAND(F.col("m"))) % 2).alias("odd")).where("odd = 0")
+    return words.groupBy(F.bit_count("id").alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sampled_errors", "WITH " + RANDOM.format(seed=1, samples=20, bits=18) + " SELECT sample_id, bit, CAST(r < CAST(floor(0.1 * 999983) AS BIGINT) AS INTEGER) AS x FROM drawn")
@@ -504,7 +586,7 @@ def syndrome(spark, sf_dir):
     return codes.syndrome(code_sources.toric(spark, 3), code_sources.errors(spark, 20, 18, 0.1))
 
 
-@query("match_syndrome")
+@query("match_syndrome", "WITH " + TORIC.format(L=5) + ", " + RANDOM.format(seed=1, samples=50, bits=50) + ", s AS (SELECT sample_id, chk, sum(CAST(r < CAST(floor(0.08 * 999983) AS BIGINT) AS INTEGER)) % 2 AS s FROM drawn JOIN pcm USING (bit) GROUP BY sample_id, chk) SELECT count(*) AS excitations, CAST(0 AS BIGINT) AS unmatched FROM s WHERE s = 1")
 def match_syndrome(spark, sf_dir):
     s = codes.syndrome(code_sources.toric(spark, 5), code_sources.errors(spark, 50, 50, 0.08))
     found = codes.symmetric_difference(codes.match_syndrome(s, 5).withColumnRenamed("sample_id", "set_id"))
@@ -560,6 +642,17 @@ def factor_graph(spark, sf_dir):
     return contract.contract_network(*codes.factor_graph(pcm, s, 0.1)).select(F.round("re", 9).alias("z"))
 
 
+@query("pair_marginals", """WITH x AS (SELECT list_transform(range(0, 6), lambda b: (k >> b) & 1) AS x FROM range(0, 64) t(k)),
+ok AS (SELECT x, list_aggregate(list_transform(x, lambda b: CASE b WHEN 1 THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END), 'product') AS p FROM x WHERE (x[1] + x[2] + x[3]) % 2 = 1 AND (x[1] + x[2] + x[4]) % 2 = 0 AND (x[3] + x[5]) % 2 = 0 AND (x[1] + x[6]) % 2 = 1)
+SELECT 1 AS a, 2 AS b, """ + ", ".join(f"round(coalesce(sum(CASE WHEN x[1] = {i} AND x[2] = {j} THEN p END), 0) / sum(p), 8) AS p{i}{j}" for i in (0, 1) for j in (0, 1)) + " FROM ok")
+def pair_marginals(spark, sf_dir):
+    """A graph whose only cycle is that of two bits and two checks: the pair's joint marginal is exact."""
+    pcm = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 4), (3, 3), (3, 5), (4, 1), (4, 6)], "chk int, bit int")
+    s = spark.createDataFrame([(1, 1, 1), (1, 2, 0), (1, 3, 0), (1, 4, 1)], "sample_id long, chk int, s int")
+    out = codes.pair_marginals(pcm, s, 0.1, 30)
+    return out.select("a", "b", *[F.round(c, 8).alias(c) for c in ("p00", "p01", "p10", "p11")])
+
+
 @query("tanner_neighbours", "WITH " + TORIC.format(L=3) + " SELECT p.bit, (SELECT string_agg(c::VARCHAR, ',' ORDER BY c) FROM (SELECT DISTINCT chk AS c FROM pcm q WHERE q.bit = p.bit)) AS checks, (SELECT string_agg(b::VARCHAR, ',' ORDER BY b) FROM (SELECT DISTINCT r.bit AS b FROM pcm q JOIN pcm r ON q.chk = r.chk WHERE q.bit = p.bit AND r.bit <> p.bit)) AS bits FROM (SELECT DISTINCT bit FROM pcm) p")
 def tanner_neighbours(spark, sf_dir):
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
@@ -608,9 +701,26 @@ def decode_regular(spark, sf_dir):
     return stats.error_stats(decoding.regular(spark, 48, 3, 4, 0.03, 5, 20).withColumn("k", F.lit(1)), ["k"], "word_error").drop("k")
 
 
-@query("mld_classes")
+CLASS_SUMS = "WITH " + TORIC.format(L=3) + ", " + RANDOM.format(seed=1, samples=60, bits=18) + """,
+m AS (SELECT bit, CAST(sum(1 << (chk - 1)) + CASE WHEN bit IN (1, 2, 3) THEN 512 ELSE 0 END + CASE WHEN bit IN (10, 13, 16) THEN 1024 ELSE 0 END AS INTEGER) AS m FROM pcm GROUP BY bit),
+ms AS (SELECT list(m ORDER BY bit) AS m FROM m),
+sums AS (SELECT list_aggregate(list_transform(range(0, 18), lambda b: CASE WHEN (k >> b) & 1 = 1 THEN m[b + 1] ELSE 0 END), 'bit_xor') AS sig, sum(pow(CAST(0.08 AS DOUBLE) / 0.92, bit_count(k))) AS w FROM range(0, 262144) t(k), ms GROUP BY ALL),
+e AS (SELECT sample_id, bit_xor(m) AS sig FROM (SELECT sample_id, CASE WHEN r < CAST(floor(0.08 * 999983) AS BIGINT) THEN m.m ELSE 0 END AS m FROM drawn JOIN m USING (bit)) GROUP BY sample_id)
+SELECT e.sample_id, round(ln(max(o.w)), 7) AS best, round(ln(max(CASE WHEN o.sig = e.sig THEN o.w END)), 7) AS true, CAST(ln(max(o.w)) - ln(max(CASE WHEN o.sig = e.sig THEN o.w END)) > 1e-9 AS INTEGER) AS wrong
+FROM e JOIN sums o ON o.sig & 511 = e.sig & 511 GROUP BY e.sample_id"""
+
+
+@query("mld_classes", CLASS_SUMS)
 def mld_classes(spark, sf_dir):
-    return decoding.maximum_likelihood(spark, 3, 0.08, 60)
+    out = decoding.maximum_likelihood(spark, 3, 0.08, 60)
+    return out.select("sample_id", F.round("best", 7).alias("best"), F.round("true", 7).alias("true"), "wrong")
+
+
+@query("mld_large")
+def mld_large(spark, sf_dir):
+    """Beyond the exact sum: classes of a code of L = 5 by the random-bond model's propagation."""
+    out = decoding.maximum_likelihood(spark, 5, 0.05, 20, rounds=200)
+    return out.agg(F.count(F.lit(1)).alias("samples"), F.avg("wrong").alias("wrong"))
 
 
 @query("random_bond_bethe", "SELECT CAST(k AS DOUBLE) AS g, round(9 * ln(2) + 18 * ln(2 * cosh(0.2)) - 18 * ln(2), 7) AS logz FROM range(0, 4) t(k)")

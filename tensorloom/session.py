@@ -7,15 +7,24 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Bytes of rows that a side may have to be broadcast, whatever its row count.
+BROADCAST_BYTES = 128 << 20
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all is local a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if at is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tensorloom-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
@@ -26,14 +35,35 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tensorloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> int:
+    """Delete the tables written so far, once no result that reads them is needed any more; how many there were."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, also where body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else df as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(field: T.StructField) -> Column:
+    """About how many bytes a value takes."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) + 16
+    return F.lit(8 * (len(kind.fields) if isinstance(kind, T.StructType) else 1))
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows and bytes, else df as it is. It is read for that: write it first."""
+    n, size = df.agg(F.count(F.lit(1)), F.sum(sum((_width(f) for f in df.schema), F.lit(0)).cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= most else df

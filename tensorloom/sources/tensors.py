@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coords as C
 from ..functions.physics import spin
+from .codes import shuffled
 from .lattices import sites
 
 CYCLIC = ((-1, 0), (0, 1), (1, 0), (0, -1))
@@ -154,6 +155,28 @@ def random_peps(spark: SparkSession, rows: int, cols: int, eta: float, seed: int
     return tensors, slots
 
 
+def complex_peps(spark: SparkSession, rows: int, cols: int, etas: list[float], seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(tensors (g, v, idx, re, im), slots) of an open sheet: a rank-one complex tensor plus eta times noise, g is eta.
+
+    The noise is uniform in both parts and alike in every engine; a vertex at the edge has fewer legs.
+    """
+    v = spark.range(rows * cols).select((F.col("id") + 1).cast("int").alias("v"), (F.floor(F.col("id") / cols) + 1).cast("int").alias("i"), (F.col("id") % cols + 1).cast("int").alias("j"))
+    nbrs = F.array_compact(F.array(F.when(F.col("i") > 1, F.col("v") - cols), F.when(F.col("i") < rows, F.col("v") + cols), F.when(F.col("j") > 1, F.col("v") - 1), F.when(F.col("j") < cols, F.col("v") + 1)))
+    at = v.select("v", nbrs.alias("nbrs"))
+    n = F.size("nbrs")
+    each = at.select("v", n.alias("n"), F.explode(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), n) - 1)).alias("k"))
+    bit = lambda leg: F.call_function("shiftright", F.col("k"), leg).bitwiseAND(F.lit(1))
+    # A unit vector with components 0.8 and 0.48 + 0.36 i.
+    times = lambda a, leg: F.when(bit(leg) == 0, F.struct((0.8 * a["re"]).alias("re"), (0.8 * a["im"]).alias("im"))).otherwise(F.struct((0.48 * a["re"] - 0.36 * a["im"]).alias("re"), (0.36 * a["re"] + 0.48 * a["im"]).alias("im")))
+    legs = F.sequence(F.lit(0), F.col("n") - 1)
+    one = F.aggregate(legs, F.struct(F.lit(1.0).alias("re"), F.lit(0.0).alias("im")), times)
+    noise = lambda s: shuffled(s, F.col("v"), F.col("k")) / 999983 - 0.5
+    full = each.select("v", F.transform(legs, lambda leg: (bit(leg) + 1).cast("int")).alias("idx"), one.alias("one"), noise(seed).alias("x"), noise(seed + 1).alias("y"))
+    points = spark.createDataFrame([(float(e),) for e in etas], "g double")
+    tensors = full.join(F.broadcast(points)).select("g", "v", "idx", (F.col("one.re") + F.col("g") * F.col("x")).alias("re"), (F.col("one.im") + F.col("g") * F.col("y")).alias("im"))
+    return tensors, at.select("v", F.posexplode("nbrs").alias("slot", "nbr"))
+
+
 def _pauli_rotation(step: float) -> list[list[float]]:
     """How exp(-i step ZZ) turns pairs of Paulis I, X, Y, Z: entry [out][in], pairs numbered 4 * first + second."""
     import numpy as np
