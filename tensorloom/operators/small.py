@@ -109,7 +109,9 @@ def solve(tensors: DataFrame, slots: DataFrame, loops: DataFrame | None = None,
             if all(w in net.nbrs.get(u, ()) for u, w in edges):
                 z = net.loop(edges)
                 out.append((key[0], int(r.loop_id), z.real, z.imag, change))
-        return pd.DataFrame(out, columns=["g", "loop_id", "re", "im", "change"]).astype({"loop_id": "Int64"})
+        g, ids, re, im, moved = zip(*out, strict=True)
+        # Ids are 64-bit numbers and one is missing: never through floats.
+        return pd.DataFrame({"g": g, "loop_id": pd.array(ids, dtype="Int64"), "re": re, "im": im, "change": moved})
 
     return pack.groupBy("g").cogroup(each.groupBy("point")).applyInPandas(run, "g double, loop_id long, re double, im double, change double")
 
