@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower
+from .common import ascii_lower, carried, released
 
 #: Labelled URLs that the trees are trained on at most: those whose hash is smallest.
 MAX_LABELLED = 20_000
+#: Rows are dealt by host into so many parts; a part's suffix odds come from the others while the trees are trained.
+FOLDS = 5
 ROUNDS, LEVELS, BINS, RATE, RIDGE = 40, 3, 32, 0.2, 1.0
 THRESHOLD = 0.5
 FEATURES = "length host_length path_length depth labels digit_share host_digit_share entropy host_entropy hyphens parameters query_length dots longest_label suffix_odds".split()
@@ -97,14 +100,24 @@ def train(rows: Sequence[tuple[str | None, int]]) -> Trees:
     y = np.array([float(k) for _, k in rows])
     share = (y.sum() + 1) / (len(y) + 2)
     start = float(np.log(share / (1 - share)))
-    counts: dict[str, list[int]] = {}
-    for u, k in rows:
-        counts.setdefault(_suffix((u or "").partition("://")[2].partition("/")[0].lower()), [0, 0])[int(k)] += 1
-    odds = {s: float(np.log((b + 10 * share) / (a + 10 * (1 - share)))) - start for s, (a, b) in counts.items()}
+    hosts = [(u or "").partition("://")[2].partition("/")[0].lower() for u, _ in rows]
+    part = np.array([zlib.crc32(h.encode(errors="replace")) % FOLDS for h in hosts], np.int64)
+
+    def odds_of(used: np.ndarray) -> dict[str, float]:
+        counts: dict[str, list[int]] = {}
+        for k in np.nonzero(used)[0]:
+            counts.setdefault(_suffix(hosts[k]), [0, 0])[int(rows[k][1])] += 1
+        return {x: float(np.log((b + 10 * share) / (a + 10 * (1 - share)))) - start for x, (a, b) in counts.items()}
+
+    odds = odds_of(np.ones(len(rows), bool))
     model = Trees(odds, start, [], [])
     if not 0 < y.sum() < len(y):
         return model
     x = features([u for u, _ in rows], odds)
+    for k in range(FOLDS):
+        # A row's own label is no part of its suffix's odds.
+        here = np.nonzero(part == k)[0]
+        x[here] = features([rows[i][0] for i in here], odds_of(part != k))
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T, strict=True)], axis=1)
     total = np.full(len(y), start)
@@ -150,18 +163,17 @@ def fit(labelled: DataFrame, url: str = "url", label: str = "block", bound: int
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], model: Trees, url: str = "url", threshold: float = THRESHOLD) -> DataFrame:
     """pages with `link`: struct of host, path, rule (null if none fits), verdict (allow or block) and probability of block.
 
-    A null URL, or one without ://, has an empty host and path and is judged by the trees. Repeated rows are judged
-    alike; columns already named link or _rule are replaced; an empty table stays empty.
+    A null URL, or one without ://, has an empty host and path and is judged by the trees. URLs of any length are read
+    whole; of rules of one length that both fit the one given first holds. Repeated rows are judged alike; a column
+    already named link is replaced, any other name passes through; an empty table stays empty.
     """
-    pages = pages.drop("link", "_rule", "_p")
-    schema = T.StructType([*pages.schema, T.StructField("_p", T.DoubleType(), False)])
+    schema = T.StructType([carried(pages).schema["row"], T.StructField("url", T.StringType()), T.StructField("p", T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            urls = b.column(b.schema.get_field_index(url)).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.probability(urls), pa.float64())], names=[*b.schema.names, "_p"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.probability(b.column(1).to_pylist()), pa.float64())], names=["row", "url", "p"])
 
-    h, p = host(F.col(url)), path(F.col(url))
-    out = pages.mapInArrow(run, schema).withColumn("_rule", rule_for(h, p, rules))
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_p") >= threshold, "block").otherwise("allow"))
-    return out.select(*pages.columns, F.struct(h.alias("host"), p.alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("_p").alias("probability")).alias("link"))
+    h, p = host(F.col("url")), path(F.col("url"))
+    out = carried(pages, url=F.col(url)).mapInArrow(run, schema).withColumn("rule", rule_for(h, p, rules))
+    verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("p") >= threshold, "block").otherwise("allow"))
+    return released(out, link=F.struct(h.alias("host"), p.alias("path"), F.col("rule.rule").alias("rule"), verdict.alias("verdict"), F.col("p").alias("probability")))
