@@ -57,8 +57,7 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conversations = _read(spark, sf_dir, "conversations")
-    found = preference.format_pairs(preference.alternate_pairs(conversations), conversations)
+    found = preference.format_turns(preference.swapped_answers(_read(spark, sf_dir, "conversations")))
     mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("-"), s["end"])), ",").alias(c)
     return found.select("pair", "chosen_id", "rejected_id", F.col("shared").cast("long").alias("shared"), "prompt", "chosen", "rejected", mask("chosen_mask"), mask("rejected_mask"))
 
@@ -90,7 +89,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    judged = quality_rules.judge(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), keep=["doc_id"])
     return judged.select("doc_id", *[f"quality.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 

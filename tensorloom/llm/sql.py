@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import ANCHOR, RULES, SENTENCES
+from .license_scan import ANCHOR, KNOWN, LABEL, RULES
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -41,22 +41,25 @@ q_long AS (
   FROM (SELECT lang, source, unnest(['word_length', 'symbol_share', 'upper_share', 'dup_line_share']) AS feature,
                unnest([word_length, symbol_share, upper_share, dup_line_share]) AS v FROM q_feat)
 ),
-q_own AS (SELECT lang, source, feature, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM q_long GROUP BY ALL),
-q_lang AS (SELECT lang, feature, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM q_long GROUP BY ALL),
-q_all AS (SELECT feature, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.75) AS q3 FROM q_long GROUP BY ALL),
-q_cut AS (
-  SELECT o.lang, o.source, o.feature,
-    CASE WHEN o.n >= 200 THEN o.q1 WHEN l.n >= 200 THEN l.q1 ELSE a.q1 END AS q1,
-    CASE WHEN o.n >= 200 THEN o.q3 WHEN l.n >= 200 THEN l.q3 ELSE a.q3 END AS q3
+q_own AS (SELECT lang, source, feature, count(*) AS n, quantile_disc(b, [0.25, 0.5, 0.75]) AS q FROM q_long GROUP BY ALL),
+q_lang AS (SELECT lang, feature, count(*) AS n, quantile_disc(b, [0.25, 0.5, 0.75]) AS q FROM q_long GROUP BY ALL),
+q_all AS (SELECT feature, quantile_disc(b, [0.25, 0.5, 0.75]) AS q FROM q_long GROUP BY ALL),
+q_drawn AS (
+  SELECT o.lang, o.source, o.feature, list_transform([1, 2, 3], lambda k: (o.n * o.q[k] + 20 * ((l.n * l.q[k] + 20 * a.q[k]) // (l.n + 20))) // (o.n + 20)) AS q
   FROM q_own o JOIN q_lang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.feature = l.feature JOIN q_all a ON o.feature = a.feature
 ),
+q_slack(feature, below, above) AS (VALUES ('word_length', 300, 300), ('symbol_share', NULL, 50), ('upper_share', NULL, 150), ('dup_line_share', NULL, 500)),
+q_cut AS (
+  SELECT lang, source, feature, lo - 6 * (q[3] - lo) - below AS low, hi + 6 * (hi - q[1]) + above AS high
+  FROM (SELECT *, greatest(q[1], 3 * q[2] - 2 * q[3] - coalesce(below, 0) // 20 - q[2] // 16) AS lo, least(q[3], 3 * q[2] - 2 * q[1] + above // 20 + q[2] // 16) AS hi FROM q_drawn JOIN q_slack USING (feature))
+),
 q_wide AS (
   SELECT lang, source,
-    max(CASE WHEN feature = 'word_length' THEN q1 - 6 * (q3 - q1) - 300 END) AS low_len,
-    max(CASE WHEN feature = 'word_length' THEN q3 + 6 * (q3 - q1) + 300 END) AS high_len,
-    max(CASE WHEN feature = 'symbol_share' THEN q3 + 6 * (q3 - q1) + 50 END) AS high_sym,
-    max(CASE WHEN feature = 'upper_share' THEN q3 + 6 * (q3 - q1) + 150 END) AS high_up,
-    max(CASE WHEN feature = 'dup_line_share' THEN q3 + 6 * (q3 - q1) + 500 END) AS high_dup
+    max(CASE WHEN feature = 'word_length' THEN low END) AS low_len,
+    max(CASE WHEN feature = 'word_length' THEN high END) AS high_len,
+    max(CASE WHEN feature = 'symbol_share' THEN high END) AS high_sym,
+    max(CASE WHEN feature = 'upper_share' THEN high END) AS high_up,
+    max(CASE WHEN feature = 'dup_line_share' THEN high END) AS high_dup
   FROM q_cut GROUP BY lang, source
 ),
 q_judged AS (
@@ -94,7 +97,7 @@ FROM l_docs LEFT JOIN l_leaks USING (rid) GROUP BY rid, doc_id"""
 
 def _license_sql() -> str:
     """op1: sentences as rows, identifiers by a join, then one replacement after the other for the rules."""
-    values = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    values = ", ".join(f"('{s}', '{i}')" for s, i in KNOWN.items())
     steps, last = [], "s0"
     for k, (_, seq) in enumerate(RULES):
         pattern = "".join(f"|{i}|" for i in seq)
@@ -107,7 +110,7 @@ docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(regexp_replace
 parts AS (SELECT rid, unnest(range(1, len(cut) + 1)) AS i, unnest(cut) AS raw FROM docs),
 ids AS (
   SELECT p.rid, p.i, CASE WHEN regexp_matches(p.raw, '{ANCHOR}') THEN coalesce(k.ident, '-') ELSE '-' END AS ident
-  FROM (SELECT * FROM parts WHERE regexp_matches(raw, '[A-Za-z0-9]')) p
+  FROM (SELECT * FROM parts WHERE regexp_matches(raw, '[A-Za-z0-9]') AND NOT regexp_matches(trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')), '{LABEL}')) p
   LEFT JOIN known k ON trim(regexp_replace(lower(p.raw), '[^a-z0-9]+', ' ', 'g')) = k.sentence
 ),
 s0 AS (
@@ -123,20 +126,25 @@ FROM {last}"""
 
 OP1 = _license_sql()
 
-#: The shape of op4: turns numbered in order, the first that differs, and both rests rendered with running lengths.
+#: The shape of op4: turns numbered in order, the last answers swapped, the first turn that differs, and both rests
+#: rendered with running lengths.
 OP4 = r"""
-WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-pairs AS (SELECT DISTINCT CAST(floor(conv_id / 2) AS BIGINT) AS pair FROM t),
-lens AS (SELECT pair, (SELECT count(*) FROM t WHERE conv_id = 2 * pair) AS na, (SELECT count(*) FROM t WHERE conv_id = 2 * pair + 1) AS nb FROM pairs),
-same AS (SELECT p.pair, a.i FROM pairs p JOIN t a ON a.conv_id = 2 * p.pair JOIN t b ON b.conv_id = 2 * p.pair + 1 AND b.i = a.i WHERE a.role = b.role AND a.text = b.text),
-shared AS (SELECT l.pair, coalesce((SELECT max(i) FROM (SELECT i, row_number() OVER (ORDER BY i) AS k FROM same s WHERE s.pair = l.pair) WHERE i = k), 0) AS shared FROM lens l),
+WITH t AS (SELECT conv_id AS pair, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT pair, count(*) AS n, max(CASE WHEN role = 'assistant' THEN i END) AS last, CASE WHEN pair % 2 = 0 THEN pair + 1 ELSE pair - 1 END AS partner FROM t GROUP BY pair),
+sides AS (
+  SELECT pair, 0 AS side, i, role, text FROM t
+  UNION ALL SELECT pair, 1, i, role, text FROM t JOIN convs USING (pair) WHERE last IS NULL OR i < last
+  UNION ALL SELECT c.pair, 1, coalesce(c.last, c.n + 1), t.role, t.text FROM convs c JOIN convs p ON p.pair = c.partner JOIN t ON t.pair = p.pair AND t.i = p.last
+),
+same AS (SELECT a.pair, a.i FROM sides a JOIN sides b ON a.pair = b.pair AND a.i = b.i AND a.side = 0 AND b.side = 1 WHERE a.role = b.role AND a.text = b.text),
+shared AS (SELECT c.pair, c.partner, coalesce((SELECT max(i) FROM (SELECT i, row_number() OVER (ORDER BY i) AS k FROM same s WHERE s.pair = c.pair) WHERE i = k), 0) AS shared FROM convs c),
 parts AS (
-  SELECT s.pair, s.shared, t.conv_id - 2 * s.pair AS side, t.i, t.role,
-    '<|' || replace(t.role, '<|', '< |') || '|>' || chr(10) AS head, replace(t.text, '<|', '< |') || '<|end|>' || chr(10) AS body
-  FROM shared s JOIN t ON t.conv_id IN (2 * s.pair, 2 * s.pair + 1)
+  SELECT s.pair, s.shared, x.side, x.i, x.role,
+    '<|' || replace(x.role, '<|', '< |') || '|>' || chr(10) AS head, replace(x.text, '<|', '< |') || '<|end|>' || chr(10) AS body
+  FROM shared s JOIN sides x USING (pair)
 ),
 ends AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY pair, side ORDER BY i) AS upto FROM parts WHERE i > shared)
-SELECT s.pair, 2 * s.pair AS chosen_id, 2 * s.pair + 1 AS rejected_id, CAST(s.shared AS BIGINT) AS shared,
+SELECT s.pair, s.pair AS chosen_id, s.partner AS rejected_id, CAST(s.shared AS BIGINT) AS shared,
   coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM parts p WHERE p.pair = s.pair AND side = 0 AND i <= p.shared), '') AS prompt,
   coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM ends p WHERE p.pair = s.pair AND side = 0), '') AS chosen,
   coalesce((SELECT string_agg(head || body, '' ORDER BY i) FROM ends p WHERE p.pair = s.pair AND side = 1), '') AS rejected,

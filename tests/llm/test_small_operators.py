@@ -66,7 +66,8 @@ def test_url_query_on_held_out_hosts(spark):
 def test_preference_pairs(spark):
     talk = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "a<|b"), (0, 3, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "hello"), (1, 2, "user", "other"), (2, 0, None, None), (3, 0, "", ""), (4, 1, "assistant", "x"), (4, 0, "user", "y"), (None, 0, "user", "z"), (7, None, "user", "late")]
     c = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
-    got = {r["pair"]: r for r in preference.format_pairs(preference.alternate_pairs(c), c).collect()}
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 2, 3), (2, 4, 5), (3, 6, 7)], "pair long, chosen_id long, rejected_id long")
+    got = {r["pair"]: r for r in preference.format_pairs(pairs, c).collect()}
     a = got[0]
     assert a["shared"] == 2 and a["prompt"] == "<|user|>\nhi<|end|>\n<|assistant|>\nhello<|end|>\n"
     assert a["chosen"] == "<|user|>\na< |b<|end|>\n<|assistant|>\ngood<|end|>\n" and a["rejected"] == "<|user|>\nother<|end|>\n"
@@ -75,7 +76,7 @@ def test_preference_pairs(spark):
     assert got[1]["shared"] == 1 and got[1]["chosen"] == got[1]["rejected"] == ""
     assert got[2]["shared"] == 0 and got[2]["prompt"] == "" and got[2]["chosen"].startswith("<|user|>\ny") and got[2]["rejected"] == ""
     assert got[3]["rejected"] == "<|user|>\nlate<|end|>\n" and len(got) == 4
-    assert preference.format_pairs(preference.alternate_pairs(c.limit(0)), c.limit(0)).collect() == []
+    assert preference.format_pairs(pairs.limit(0), c.limit(0)).collect() == []
 
 
 WRAPPED_MIT = """MIT License
@@ -140,3 +141,50 @@ def test_tags_and_numbered_conditions(spark):
     rows = [(1, numbered), (2, "// SPDX-License-Identifier: GPL-2.0-or-later\nint main();"), (3, "# SPDX-License-Identifier: MIT\n# x"), (4, "SPDX-License-Identifier: MIT-0"), (5, "SPDX-License-Identifier: Nothing-1.0"), (6, "x " * 10**5 + "\n<!-- SPDX-License-Identifier: Apache-2.0 -->")]
     got = {r["doc_id"]: r["licence"]["licences"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
     assert got == {1: ["BSD-3-Clause"], 2: ["GPL-2.0-or-later"], 3: ["MIT"], 4: ["MIT-0"], 5: [], 6: ["Apache-2.0"]}
+
+
+def test_swapped_answers(spark):
+    talk = [(0, 0, "user", "hi"), (0, 1, "assistant", "hello"), (0, 2, "user", "more"), (0, 3, "assistant", "good"), (1, 0, "user", "ask"), (1, 1, "assistant", "bad"), (1, 2, "user", "end"), (2, 0, "user", "alone"), (2, 1, "assistant", "yes"), (4, 0, "user", "no answer"), (5, 0, "assistant", "first"), (-1, 0, "assistant", "m"), (-2, 0, "assistant", "n"), (None, 0, "user", "z")]
+    c = spark.createDataFrame([(*r, "x") for r in talk], "conv_id long, turn long, role string, text string, shared string")
+    got = {r["pair"]: r for r in preference.format_turns(preference.swapped_answers(c)).collect()}
+    body = lambda s: [x.partition("|>\n")[2] for x in s.split("<|end|>\n") if x]
+    seen = {k: (r["rejected_id"], r["shared"], body(r["prompt"]), body(r["chosen"]), body(r["rejected"])) for k, r in got.items()}
+    assert seen == {
+        0: (1, 3, ["hi", "hello", "more"], ["good"], ["bad"]), 1: (0, 1, ["ask"], ["bad", "end"], ["good"]), 2: (3, 1, ["alone"], ["yes"], []),
+        4: (5, 1, ["no answer"], [], ["first"]), 5: (4, 0, [], ["first"], []), -1: (-2, 0, [], ["m"], ["n"]), -2: (-1, 0, [], ["n"], ["m"]),
+    }
+    assert preference.swapped_answers(c.limit(0)).collect() == []
+
+
+def plain_probability(model, url):
+    """Boosting by its definition: one tree after the other, one node after the other."""
+    x = url_filter.features([url], model.odds)[0]
+    total = model.start
+    for nodes, leaves in zip(model.nodes, model.leaves, strict=True):
+        at = 0
+        for level in range(url_filter.LEVELS):
+            f, cut = nodes[2**level - 1 + at]
+            at = 2 * at + (x[f] > cut)
+        total += leaves[at]
+    return 1 / (1 + 2.718281828459045 ** -total)
+
+
+def test_verdicts_against_plain_trees(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    model = url_filter.fit(queries.labelled_urls(pages))
+    model = model if model.nodes else url_filter.train([(f"http://{'spam-' if k % 3 == 0 else ''}h{k}.org/a", int(k % 3 == 0)) for k in range(90)])
+    verdicts = dict(queries.URL_RULES)
+    for r in url_filter.judge(pages, queries.URL_RULES, model).collect():
+        rule, p = brute_rule(r["url"])[2], plain_probability(model, r["url"])
+        assert abs(r["link"]["probability"] - p) < 1e-9 and r["link"]["verdict"] == (verdicts[rule] if rule else "block" if p >= url_filter.THRESHOLD else "allow")
+
+
+def test_clashing_and_long(spark):
+    names = "row url p rule host path _p _rule licence link".split()
+    schema = "page_id int, u string, " + ", ".join(f"{c} string" for c in names)
+    model = url_filter.train([("http://good.org/a", 0), ("http://bad-spam.org/a", 1)] * 30)
+    df = spark.createDataFrame([(1, "http://a.com/" + "x" * 10**6, *names)], schema)
+    r = url_filter.judge(df, queries.URL_RULES, model, url="u").first()
+    assert [r[c] for c in names[:-1]] == names[:-1] and r["link"]["host"] == "a.com"
+    r = license_scan.scan(df.withColumn("u", F.lit("All rights reserved. " + "plain words " * 10**5)), "u").first()
+    assert [r[c] for c in names if c != "licence"] == [c for c in names if c != "licence"] and r["licence"]["licences"] == ["Proprietary"]
