@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators.graph import components
-from .common import bounded, table
+from .common import bounded, carried, released, table
 from .sentencepiece_codec import _pieces
 from .shingles import WORDS, mix, shingle_sets
 
@@ -298,11 +298,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 
 
 def deduplicate(docs: DataFrame, text: str = "text", ident: str = "doc_id", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs of which their group keeps the smallest id, with the same columns; of repeated ids one row stays."""
-    ids = near_duplicates(docs, text, ident, percent).where("kept").select(F.col("id").alias("_kept"))
-    ids = table(ids)
+    """The rows of docs of which their group keeps the smallest id, with the same columns; of repeated ids one row stays.
+
+    Nulls, empty and long texts are as in near_duplicates; any column name passes through.
+    """
+    found = table(near_duplicates(docs, text, ident, percent).where("kept AND id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+    rows = carried(docs, key=F.col(ident).cast("long"))
     # Few enough ids go to the texts; else the texts go to them.
-    kept = docs.join(bounded(table(ids.where(F.col("_kept").isNotNull()).distinct()), BROADCAST_IDS), F.col(ident).cast("long") == F.col("_kept"), "left_semi")
-    if ids.where(F.col("_kept").isNotNull()).groupBy("_kept").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates([ident])
-    return kept.union(docs.where(F.col(ident).isNull()))
+    kept = rows.join(bounded(found.select(F.col("id").alias("key")), BROADCAST_IDS), "key", "left_semi")
+    if found.where("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["key"])
+    return released(kept.union(rows.where("key IS NULL").select("key", "row")))

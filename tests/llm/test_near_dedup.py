@@ -92,5 +92,12 @@ def test_nulls_empty_short_and_repeated(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_clashing_columns(spark):
+    names = "id n fp sig row key r a b component kept _kept n_shingles tree".split()
+    df = spark.createDataFrame([(1, "a b c d e f", *names), (2, "a b c d e f", *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    out = near_dedup.deduplicate(df)
+    assert out.columns == df.columns and [list(r) for r in out.collect()] == [[1, "a b c d e f", *names]]
+
+
 def test_query_columns(spark, sf_dir):
     assert queries.op5_minhash_near_dedup(spark, sf_dir).columns == ["doc_id", "n_shingles", "component_id", "kept"]
