@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -231,63 +233,82 @@ def argmax_decide(p: DataFrame, keys: list[str], value: str = "p", choice: str =
 def decode_loops(pcm: DataFrame, s: DataFrame, bias: float, order: int, rounds: int = 50) -> DataFrame:
     """(sample_id, bit, x): bits decided one after the other, marginals corrected by the loops of the Tanner graph.
 
-    Each bit sees the decisions before it, so that samples, not bits, run in parallel: one group holds one sample's
-    syndrome. The code and its loops are small and travel with the function.
+    Each bit sees the decisions before it, so that samples, not bits, run side by side: a batch of samples takes each
+    step at once, as arrays whose last axis is the sample. The code and its loops, constants of the job, are broadcast.
+    A check without a row in a sample has syndrome 0.
     """
-    rows = pcm.select("chk", "bit").collect()
-    checks = sorted({r[0] for r in rows})
-    bits = sorted({r[1] for r in rows})
-    support = {c: sorted(b for k, b in rows if k == c) for c in checks}
-    of_bit = {b: sorted(k for k, x in rows if x == b) for b in bits}
+    rows = sorted((r["chk"], r["bit"]) for r in pcm.select("chk", "bit").distinct().collect())
     loops = [(r["bits"], r["checks"]) for r in tanner_loops(pcm, order).collect()]
-    by_bit = {b: [x for x in loops if b in x[0]] for b in bits}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        syn = dict(zip(pdf["chk"], pdf["s"], strict=True))
-        prior = {b: np.array([1 - bias, bias]) for b in bits}
-        down = {(c, b): np.array([0.5, 0.5]) for c in checks for b in support[c]}
-        up = {(b, c): prior[b].copy() for b in bits for c in of_bit[b]}
-        for _ in range(rounds):
-            for c in checks:
-                for b in support[c]:
-                    t = np.prod([up[x, c][0] - up[x, c][1] for x in support[c] if x != b]) * (1 - 2 * syn[c])
-                    down[c, b] = np.array([1 + t, 1 - t]) / 2
-            for b in bits:
-                for c in of_bit[b]:
-                    m = prior[b] * np.prod([down[k, b] for k in of_bit[b] if k != c], axis=0)
-                    up[b, c] = m / m.sum()
-        decided: dict[int, int] = {}
-        for d in bits:
-            base = prior[d] * np.prod([down[c, d] for c in of_bit[d]], axis=0)
-            p = base / base.sum()
-            for lb, lc in by_bit[d]:
-                # Around the loop each link carries what the messages leave out; fixed bits enter as decided.
-                ring = list(zip(lb, lc, strict=True))
-                k = lb.index(d)
-                ring = ring[k:] + ring[:k]
-                n = len(ring)
-                chain = np.eye(2)
-                for q in range(n):
-                    b, c = ring[q]
-                    nxt = ring[(q + 1) % n][0]
-                    rest = np.prod([up[x, c][0] - up[x, c][1] for x in support[c] if x not in (b, nxt)]) * (1 - 2 * syn[c])
-                    factor = np.array([[1 + rest, 1 - rest], [1 - rest, 1 + rest]]) / 2
-                    a, e = up[b, c], up[nxt, c]
-                    da, de = down[c, b], down[c, nxt]
-                    pa = np.eye(2) - np.outer(a, da) / (a @ da)
-                    pe = np.eye(2) - np.outer(de, e) / (de @ e)
-                    chain = chain @ (pa.T @ factor @ pe.T / max(a @ factor @ e, 1e-300))
-                    if q + 1 < n:
-                        w = prior[nxt] * np.prod([down[x, nxt] for x in of_bit[nxt] if x not in (c, ring[(q + 1) % n][1])], axis=0)
-                        if nxt in decided:
-                            w = w * np.eye(2)[decided[nxt]]
-                        chain = chain @ np.diag(w / max((w * down[c, nxt] * down[ring[(q + 1) % n][1], nxt]).sum(), 1e-300))
-                w = prior[d] * np.prod([down[x, d] for x in of_bit[d] if x not in (ring[0][1], ring[-1][1])], axis=0)
-                p = p + np.diag(chain) * w / base.sum()
-            decided[d] = int(p[1] > p[0])
-        return pd.DataFrame({"sample_id": [pdf["sample_id"].iloc[0]] * len(bits), "bit": bits, "x": [decided[b] for b in bits]})
-
-    return s.groupBy("sample_id").applyInPandas(run, "sample_id long, bit int, x int")
+    shipped = pcm.sparkSession.sparkContext.broadcast((rows, loops))
+    lists = s.groupBy("sample_id").agg(F.collect_list(F.struct("chk", "s")).alias("syn"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        links, rings = shipped.value
+        for f in frames:
+            if len(f):
+                bits, x = _decided(links, rings, [{int(e["chk"]): int(e["s"]) for e in syn} for syn in f["syn"]], bias, rounds)
+                yield pd.DataFrame({"sample_id": np.repeat(f["sample_id"].to_numpy(), len(bits)), "bit": np.tile(bits, len(f)).astype("int32"), "x": x.T.reshape(-1).astype("int32")})
+
+    return lists.mapInPandas(run, "sample_id long, bit int, x int")
+
+
+def _decided(rows: list[tuple[int, int]], loops: list[tuple[list[int], list[int]]], syndromes: list[dict[int, int]], bias: float, rounds: int) -> tuple[list[int], np.ndarray]:
+    """The bits in order and their decisions, a row for each bit and a column for each sample."""
+    n = len(syndromes)
+    edge = {e: k for k, e in enumerate(rows)}
+    checks, bits = sorted({c for c, _ in rows}), sorted({b for _, b in rows})
+    of_check = {c: [e for e in rows if e[0] == c] for c in checks}
+    of_bit = {b: [e for e in rows if e[1] == b] for b in bits}
+    sign = {c: 1 - 2 * np.array([y.get(c, 0) for y in syndromes], float) for c in checks}
+    prior = np.repeat(np.array([[1 - bias], [bias]]), n, axis=1)
+    down, up = np.full((len(rows), 2, n), 0.5), np.repeat(prior[None], len(rows), axis=0)
+
+    def bit_side(b: int, without: tuple) -> np.ndarray:
+        return np.prod([prior, *(down[edge[e]] for e in of_bit[b] if e not in without)], axis=0)
+
+    def check_side(c: int, without: tuple) -> np.ndarray:
+        return np.prod([sign[c], *(up[edge[e], 0] - up[edge[e], 1] for e in of_check[c] if e not in without)], axis=0)
+
+    for _ in range(rounds):
+        for e in rows:
+            t = check_side(e[0], (e,))
+            down[edge[e]] = (1 + t) / 2, (1 - t) / 2
+        for e in rows:
+            m = bit_side(e[1], (e,))
+            up[edge[e]] = m / m.sum(axis=0)
+    by_bit: dict[int, list] = {}
+    for lb, lc in loops:
+        for b in lb:
+            by_bit.setdefault(b, []).append((lb, lc))
+    decided: dict[int, np.ndarray] = {}
+    eye = np.eye(2)[:, :, None]
+    for d in bits:
+        base = bit_side(d, ())
+        p = base / base.sum(axis=0)
+        for lb, lc in by_bit.get(d, ()):
+            # Around the loop each link carries what the messages leave out; fixed bits enter as decided.
+            k = lb.index(d)
+            ring = [*zip(lb, lc, strict=True)][k:] + [*zip(lb, lc, strict=True)][:k]
+            chain = np.repeat(eye, n, axis=2)
+            for q, (b, c) in enumerate(ring):
+                nxt, after = ring[(q + 1) % len(ring)]
+                rest = check_side(c, ((c, b), (c, nxt)))
+                factor = np.array([[1 + rest, 1 - rest], [1 - rest, 1 + rest]]) / 2
+                a, z = up[edge[c, b]], up[edge[c, nxt]]
+                da, dz = down[edge[c, b]], down[edge[c, nxt]]
+                pa = eye - da[:, None] * a[None] / (a * da).sum(axis=0)
+                pz = eye - z[:, None] * dz[None] / (z * dz).sum(axis=0)
+                whole = np.maximum(np.einsum("is,ijs,js->s", a, factor, z), 1e-300)
+                chain = np.einsum("ijs,jks,kls,lms->ims", chain, pa, factor, pz, optimize=True) / whole
+                if q + 1 < len(ring):
+                    w = bit_side(nxt, ((c, nxt), (after, nxt)))
+                    if nxt in decided:
+                        w = w * np.eye(2)[decided[nxt]].T
+                    chain = chain * (w / np.maximum((w * dz * down[edge[after, nxt]]).sum(axis=0), 1e-300))[None]
+            w = bit_side(d, ((ring[0][1], d), (ring[-1][1], d)))
+            p = p + np.einsum("iis->is", chain) * w / base.sum(axis=0)
+        decided[d] = (p[1] > p[0]).astype(int)
+    return bits, np.array([decided[b] for b in bits])
 
 
 def match_syndrome(s: DataFrame, L: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,67 @@ def test_sweeps_run(spark):
     assert r["samples"] == 10 and r["logical"] <= 0.5
     m = decoding.maximum_likelihood(spark, 3, 0.05, 20)
     assert m.agg(F.avg("wrong")).first()[0] < 0.4
+
+
+def plain_decode(rows, loops, syn, bias, rounds):
+    """decode_loops for one sample, step by step."""
+    checks, bits = sorted({c for c, _ in rows}), sorted({b for _, b in rows})
+    support = {c: sorted(b for k, b in rows if k == c) for c in checks}
+    of_bit = {b: sorted(k for k, x in rows if x == b) for b in bits}
+    by_bit = {b: [x for x in loops if b in x[0]] for b in bits}
+    prior = {b: np.array([1 - bias, bias]) for b in bits}
+    down = {(c, b): np.array([0.5, 0.5]) for c in checks for b in support[c]}
+    up = {(b, c): prior[b].copy() for b in bits for c in of_bit[b]}
+    for _ in range(rounds):
+        for c in checks:
+            for b in support[c]:
+                t = np.prod([up[x, c][0] - up[x, c][1] for x in support[c] if x != b]) * (1 - 2 * syn[c])
+                down[c, b] = np.array([1 + t, 1 - t]) / 2
+        for b in bits:
+            for c in of_bit[b]:
+                m = prior[b] * np.prod([down[k, b] for k in of_bit[b] if k != c], axis=0)
+                up[b, c] = m / m.sum()
+    decided: dict[int, int] = {}
+    for d in bits:
+        base = prior[d] * np.prod([down[c, d] for c in of_bit[d]], axis=0)
+        p = base / base.sum()
+        for lb, lc in by_bit[d]:
+            # Around the loop each link carries what the messages leave out; fixed bits enter as decided.
+            ring = list(zip(lb, lc, strict=True))
+            k = lb.index(d)
+            ring = ring[k:] + ring[:k]
+            n = len(ring)
+            chain = np.eye(2)
+            for q in range(n):
+                b, c = ring[q]
+                nxt = ring[(q + 1) % n][0]
+                rest = np.prod([up[x, c][0] - up[x, c][1] for x in support[c] if x not in (b, nxt)]) * (1 - 2 * syn[c])
+                factor = np.array([[1 + rest, 1 - rest], [1 - rest, 1 + rest]]) / 2
+                a, e = up[b, c], up[nxt, c]
+                da, de = down[c, b], down[c, nxt]
+                pa = np.eye(2) - np.outer(a, da) / (a @ da)
+                pe = np.eye(2) - np.outer(de, e) / (de @ e)
+                chain = chain @ (pa.T @ factor @ pe.T / max(a @ factor @ e, 1e-300))
+                if q + 1 < n:
+                    w = prior[nxt] * np.prod([down[x, nxt] for x in of_bit[nxt] if x not in (c, ring[(q + 1) % n][1])], axis=0)
+                    if nxt in decided:
+                        w = w * np.eye(2)[decided[nxt]]
+                    chain = chain @ np.diag(w / max((w * down[c, nxt] * down[ring[(q + 1) % n][1], nxt]).sum(), 1e-300))
+            w = prior[d] * np.prod([down[x, d] for x in of_bit[d] if x not in (ring[0][1], ring[-1][1])], axis=0)
+            p = p + np.diag(chain) * w / base.sum()
+        decided[d] = int(p[1] > p[0])
+    return decided
+
+
+def test_batches_of_samples_are_decoded_as_one_by_one(spark):
+    for pcm, n, p in ((S.toric(spark, 3), 18, 0.08), (S.gallager(spark, 12, 3, 4), 12, 0.1)):
+        s = codes.syndrome(pcm, S.errors(spark, 12, n, p))
+        rows = sorted((r["chk"], r["bit"]) for r in pcm.distinct().collect())
+        loops = [(r["bits"], r["checks"]) for r in codes.tanner_loops(pcm, 6).collect()]
+        syn = {}
+        for r in s.collect():
+            syn.setdefault(r["sample_id"], {})[r["chk"]] = r["s"]
+        got = {}
+        for r in codes.decode_loops(pcm, s, p, 6, 12).collect():
+            got.setdefault(r["sample_id"], {})[r["bit"]] = r["x"]
+        assert got == {k: plain_decode(rows, loops, x, p, 12) for k, x in syn.items()}
