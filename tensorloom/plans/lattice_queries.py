@@ -27,6 +27,14 @@ SLOTS = SITES + """, slots AS (
 ENTRIES = """bits AS (SELECT a.k AS a, b.k AS b, c.k AS c, d.k AS d FROM range(1, 3) a(k), range(1, 3) b(k), range(1, 3) c(k), range(1, 3) d(k)),
 entries AS (SELECT *, exp(-{beta} * ((3 - 2 * a) * (3 - 2 * b) + (3 - 2 * b) * (3 - 2 * c) + (3 - 2 * c) * (3 - 2 * d) + (3 - 2 * d) * (3 - 2 * a))) AS t FROM bits)"""
 
+#: Loops of weight 4, 6 and 7 of an L x L torus, L > 6, or of those with a winding part at L = 6, as lists of sites from 0: (w, h, b, i, j, v); a domino with its middle link has weight 7.
+SMALL = """home AS (SELECT i, j FROM range(0, {L}) a(i), range(0, {L}) b(j)),
+small AS (
+  SELECT k.w, k.h, k.b, i, j, list_transform(range(0, k.h * k.b), lambda x: (i + x // k.b) % {L} * {L} + (j + x % k.b) % {L}) AS v FROM home, (VALUES (4, 2, 2), (6, 2, 3), (6, 3, 2), (7, 2, 3), (7, 3, 2)) k(w, h, b)
+  UNION ALL SELECT 6, 1, 6, i, 0, list_transform(range(0, 6), lambda x: i * 6 + x) FROM home WHERE j = 0 AND {L} = 6
+  UNION ALL SELECT 6, 6, 1, 0, j, list_transform(range(0, 6), lambda x: x * 6 + j) FROM home WHERE i = 0 AND {L} = 6
+)"""
+
 
 def _flat(edges):
     return C.edge_key(edges)
@@ -244,7 +252,7 @@ def loop_counts(spark, sf_dir):
     return found.groupBy("weight").agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit(10).alias("L"), "weight", "n")
 
 
-@query("loop_stats", "SELECT * FROM (VALUES (4, 36, 4.0, 0), (6, 84, 6.0, 0), (7, 72, 6.0, 72)) t(weight, n, mean_vertices, branched)")
+@query("loop_stats", "WITH " + SMALL.format(L=6) + " SELECT w AS weight, CAST(count(*) AS INTEGER) AS n, round(avg(len(v)), 1) AS mean_vertices, CAST(sum((w = 7)::INTEGER) AS INTEGER) AS branched FROM small GROUP BY w")
 def loop_stats(spark, sf_dir):
     out = loops.statistics(loops.find(lattices.square(spark, 6), 7))
     return out.select("weight", F.col("n").cast("int").alias("n"), F.round("mean_vertices", 1).alias("mean_vertices"), F.col("branched").cast("int").alias("branched"))
@@ -256,13 +264,13 @@ def translation_classes(spark, sf_dir):
     return loops.translation_classes(one, 10).groupBy("weight").agg(F.count(F.lit(1)).cast("int").alias("classes"))
 
 
-@query("translates_periodic", "SELECT * FROM (VALUES (4, 121), (6, 242)) t(weight, n)")
+@query("translates_periodic", "WITH " + SMALL.format(L=11) + " SELECT w AS weight, CAST(count(*) AS INTEGER) AS n FROM small WHERE w < 7 GROUP BY w")
 def translates_periodic(spark, sf_dir):
     one = loops.find(lattices.square(spark, 11), 6, at=1)
     return loops.translates(one, 11).groupBy("weight").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("translates_open", "SELECT * FROM (VALUES (4, 25), (6, 40), (7, 40)) t(weight, n)")
+@query("translates_open", "WITH " + SMALL.format(L=6) + " SELECT w AS weight, CAST(count(*) AS INTEGER) AS n FROM small WHERE i + h <= 6 AND j + b <= 6 AND h > 1 AND b > 1 GROUP BY w")
 def translates_open(spark, sf_dir):
     centre = loops.find(lattices.square(spark, 6, "open"), 7, at=15)
     return loops.translates(centre, 6, "open").groupBy("weight").agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -283,7 +291,7 @@ def unwrapped_loops(spark, sf_dir):
     return kinds.select("weight", F.row_number().over(W.partitionBy("weight").orderBy("shape")).alias("rank"), "shape")
 
 
-@query("loops_within", "SELECT * FROM (VALUES (4, 4), (6, 12)) t(weight, n)")
+@query("loops_within", "WITH " + SMALL.format(L=9) + " SELECT w AS weight, CAST(count(*) AS INTEGER) AS n FROM small WHERE w < 7 AND list_contains(v, 40) AND len(list_filter(v, lambda x: abs(x // 9 - 4) + abs(x % 9 - 4) > 3)) = 0 GROUP BY w")
 def loops_within(spark, sf_dir):
     near = loops.within(lattices.square(spark, 9), 41, 3, 9)
     return loops.find(near, 6, at=41).groupBy("weight").agg(F.count(F.lit(1)).cast("int").alias("n"))
@@ -302,7 +310,11 @@ def walks(spark, sf_dir):
     return loops.walks(spark, 8)
 
 
-@query("polygon_series", "WITH a(n, p) AS (VALUES (4, 1), (6, 2), (8, 7)), b(beta) AS (VALUES (0.2), (0.3)) SELECT CAST(beta AS DOUBLE) AS beta, round(-(ln(2) + 2 * ln(cosh(beta)) + sum(p * pow(tanh(beta), n))), 8) AS f FROM a, b GROUP BY beta")
+@query("polygon_series", """WITH RECURSIVE w AS (SELECT [[0, 0]] AS p, 0 AS n UNION ALL
+  SELECT list_append(p, [p[len(p)][1] + a, p[len(p)][2] + b]), n + 1 FROM w, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) s(a, b)
+  WHERE n < 8 AND (n = 0 OR p[len(p)] <> [0, 0]) AND NOT list_contains(p[2:], [p[len(p)][1] + a, p[len(p)][2] + b]) AND (n > 1 OR [p[len(p)][1] + a, p[len(p)][2] + b] <> [0, 0])),
+a AS (SELECT n, count(*) / (2.0 * n) AS p FROM w WHERE n > 2 AND p[len(p)] = [0, 0] GROUP BY n), b(beta) AS (VALUES (0.2), (0.3))
+SELECT CAST(beta AS DOUBLE) AS beta, round(-(ln(2) + 2 * ln(cosh(beta)) + sum(a.p * pow(tanh(beta), n))), 8) AS f FROM a, b GROUP BY beta""")
 def polygon_series(spark, sf_dir):
     points = spark.createDataFrame([(0.2,), (0.3,)], "beta double")
     return series.polygon_free_energy(loops.walks(spark, 8), points).select("beta", F.round("f", 8).alias("f"))
@@ -320,7 +332,7 @@ def cluster_counts(spark, sf_dir):
     return found.groupBy("weight", "total_loops").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("clusters_per_site", "SELECT CAST(v AS INTEGER) AS site, w AS weight, n FROM range(1, 122) t(v), (VALUES (4, 4), (6, 12)) c(w, n)")
+@query("clusters_per_site", "WITH " + SMALL.format(L=11) + " SELECT CAST(site + 1 AS INTEGER) AS site, w AS weight, CAST(count(*) AS INTEGER) AS n FROM (SELECT w, unnest(v) AS site FROM small WHERE w < 7) GROUP BY ALL")
 def clusters_per_site(spark, sf_dir):
     one = loops.find(lattices.square(spark, 11), 6, at=1)
     every = table(loops.numbered(loops.translates(one, 11)))
@@ -328,7 +340,7 @@ def clusters_per_site(spark, sf_dir):
     return clusters.sites(found, every).join(found.select("cluster_id", "weight"), "cluster_id").groupBy("site", "weight").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("enumeration_stats", "SELECT * FROM (VALUES (4, 36, 4, 4, 4.0), (6, 84, 14, 14, 14.0)) t(weight, clusters, least, most, mean)")
+@query("enumeration_stats", "WITH " + SMALL.format(L=6) + ", per AS (SELECT w, site, count(*) AS n FROM (SELECT w, unnest(v) AS site FROM small WHERE w < 7) GROUP BY ALL), n AS (SELECT w, count(*) AS clusters FROM small GROUP BY w) SELECT w AS weight, CAST(clusters AS INTEGER) AS clusters, CAST(min(per.n) AS INTEGER) AS least, CAST(max(per.n) AS INTEGER) AS most, round(avg(per.n), 1) AS mean FROM per JOIN n USING (w) GROUP BY w, clusters")
 def enumeration_stats(spark, sf_dir):
     from ..sources import catalog
 
@@ -355,7 +367,7 @@ def loop_predicates(spark, sf_dir):
     return g.select("v", "e", loops.feasible(F.col("v"), F.col("e")).alias("feasible"), loops.reasonable(vertices, F.col("e"), 10).alias("reasonable"))
 
 
-@query("first_clusters", "SELECT * FROM (VALUES (4, 36), (6, 64)) t(weight, n)")
+@query("first_clusters", "WITH " + SMALL.format(L=6) + ", r AS (SELECT w, row_number() OVER (ORDER BY w) AS k FROM small WHERE w < 7) SELECT w AS weight, CAST(count(*) AS INTEGER) AS n FROM r WHERE k <= 100 GROUP BY w")
 def first_clusters(spark, sf_dir):
     """The hundred lightest clusters of a torus whose loops of weight 4 are its 36 faces."""
     _, _, found = _clusters(spark, 6, 6)
@@ -470,13 +482,13 @@ def complex_peps(spark, sf_dir):
     return out.select("g", (F.round(F.exp("re") * F.cos("im"), 8) + 0.0).alias("re"), (F.round(F.exp("re") * F.sin("im"), 8) + 0.0).alias("im"))
 
 
-@query("disjoint_and_touching", "SELECT 630 - 144 AS disjoint, 144 AS touching")
+@query("disjoint_and_touching", "WITH " + SMALL.format(L=6) + ", f AS (SELECT i * 6 + j AS id, v FROM small WHERE w = 4) SELECT count(*) FILTER (NOT list_has_any(a.v, b.v)) AS disjoint, count(*) FILTER (list_has_any(a.v, b.v)) AS touching FROM f a JOIN f b ON a.id < b.id")
 def disjoint_and_touching(spark, sf_dir):
     found = table(loops.numbered(loops.find(lattices.square(spark, 6), 4)))
     return clusters.disjoint_pairs(found, found, clusters.interactions(found))
 
 
-@query("shared_vertices", "SELECT * FROM (VALUES (1, 72), (2, 72)) t(shared, pairs)")
+@query("shared_vertices", "WITH " + SMALL.format(L=6) + ", f AS (SELECT i * 6 + j AS id, v FROM small WHERE w = 4) SELECT CAST(len(list_intersect(a.v, b.v)) AS INTEGER) AS shared, CAST(count(*) AS INTEGER) AS pairs FROM f a JOIN f b ON a.id < b.id AND list_has_any(a.v, b.v) GROUP BY 1")
 def shared_vertices(spark, sf_dir):
     found = table(loops.numbered(loops.find(lattices.square(spark, 6), 4)))
     return clusters.shared_vertices(found).groupBy(F.col("n").cast("int").alias("shared")).agg(F.count(F.lit(1)).cast("int").alias("pairs"))
@@ -679,7 +691,7 @@ def toric_loops(spark, sf_dir):
     return found.groupBy("length").agg(F.count_distinct("bits").alias("n"))
 
 
-@query("loops_per_bit", "SELECT 6 AS length, 1.0 AS mean")
+@query("loops_per_bit", "WITH " + TORIC.format(L=3) + ", t AS (SELECT a.bit AS b1, a.chk AS c1, b.bit AS b2, c.chk AS c2, d.bit AS b3, e.chk AS c3 FROM pcm a JOIN pcm b ON a.chk = b.chk AND b.bit > a.bit JOIN pcm c ON c.bit = b.bit AND c.chk <> a.chk JOIN pcm d ON d.chk = c.chk AND d.bit > a.bit AND d.bit <> b.bit JOIN pcm e ON e.bit = d.bit AND e.chk NOT IN (a.chk, c.chk) AND e.chk > a.chk JOIN pcm f ON f.chk = e.chk AND f.bit = a.bit) SELECT 6 AS length, round(3 * count(*) / 18, 6) AS mean FROM t")
 def loops_per_bit(spark, sf_dir):
     found = codes.tanner_loops(code_sources.toric(spark, 3), 6)
     per = found.select("length", F.explode("bits").alias("bit")).groupBy("length", "bit").agg(F.count(F.lit(1)).alias("n"))
@@ -737,19 +749,19 @@ def connected_lattice_parts(spark, sf_dir):
     return components(e).groupBy(F.col("component").cast("int").alias("component")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("interaction_graph", "SELECT 36 AS loops, 36 + 2 * 144 AS pairs")
+@query("interaction_graph", "WITH " + SMALL.format(L=6) + ", f AS (SELECT i * 6 + j AS id, v FROM small WHERE w = 4) SELECT CAST(count(DISTINCT a.id) AS INTEGER) AS loops, CAST(count(*) AS INTEGER) AS pairs FROM f a JOIN f b ON list_has_any(a.v, b.v)")
 def interaction_graph(spark, sf_dir):
     found = table(loops.numbered(loops.find(lattices.square(spark, 6), 4)))
     return clusters.interactions(found).agg(F.count_distinct("loop_a").cast("int").alias("loops"), F.count(F.lit(1)).cast("int").alias("pairs"))
 
 
-@query("loops_on_site", "SELECT CAST(v AS INTEGER) AS site, n FROM range(1, 37) t(v), (VALUES (4)) c(n)")
+@query("loops_on_site", "WITH " + SMALL.format(L=6) + " SELECT CAST(site + 1 AS INTEGER) AS site, CAST(count(*) AS INTEGER) AS n FROM (SELECT unnest(v) AS site FROM small WHERE w = 4) GROUP BY site")
 def loops_on_site(spark, sf_dir):
     found = loops.find(lattices.square(spark, 6), 4)
     return found.select(F.explode("vertices").alias("site")).groupBy("site").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("loops_in_network", "SELECT 25 AS inside, 11 AS outside")
+@query("loops_in_network", "WITH " + SMALL.format(L=6) + " SELECT CAST(count(*) FILTER (i < 5 AND j < 5) AS INTEGER) AS inside, CAST(count(*) FILTER (i = 5 OR j = 5) AS INTEGER) AS outside FROM small WHERE w = 4")
 def loops_in_network(spark, sf_dir):
     """Loops of the torus of which the open sheet lacks a link."""
     found = table(loops.numbered(loops.find(lattices.square(spark, 6), 4)))
