@@ -25,8 +25,10 @@ from .sentencepiece_codec import _pieces
 DEPTH = 5
 #: Rows of a shard of the model that is broadcast (12 bytes each), and its words that are counted in a task's own table.
 SHARD_ROWS, HEAD_WORDS = 8_000_000, 200_000
-#: Distinct words or byte sequences that a counting task holds before it emits them.
-FLUSH = 300_000
+#: Distinct words, and byte sequences, that a counting task holds before it emits them.
+FLUSH, FLUSH_SEQUENCES = 300_000, 700_000
+#: Positions that a counting task holds before it sorts them.
+HELD_POSITIONS = 4_000_000
 #: Characters of text that are turned into numbers at once, unless one text is longer.
 PIECE_CHARS = 1_000_000
 END = b"\n"
@@ -58,6 +60,18 @@ def counts(train: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+
+        def merge() -> None:
+            nonlocal keys, n
+            new, many = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            held.clear()
+            if len(keys):
+                both = np.concatenate([keys, new])
+                keys, at = np.unique(both, return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, many]), len(keys)).astype(np.int64)
+            else:
+                keys, n = new, many
 
         def out_words() -> pa.RecordBatch:
             k, v = list(words), list(words.values())
@@ -73,15 +87,15 @@ def counts(train: DataFrame, text: str, depth: int = DEPTH) -> DataFrame:
                 for w in bags:
                     words.update(w)
                 words[END] += len(bags)
-                new, many = np.unique(g, return_counts=True)
-                both = np.concatenate([keys, new])
-                keys, at = np.unique(both, return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, many]), len(keys)).astype(np.int64)
+                held.append(g)
                 if len(words) > FLUSH:
                     yield out_words()
-                if len(keys) > FLUSH:
-                    yield out_grams()
-                    keys, n = keys[:0], n[:0]
+                if sum(map(len, held)) > HELD_POSITIONS:
+                    merge()
+                    if len(keys) > FLUSH_SEQUENCES:
+                        yield out_grams()
+                        keys, n = keys[:0], n[:0]
+        merge()
         yield out_words()
         yield out_grams()
 
