@@ -146,8 +146,8 @@ LINE, STOP, BLANK = "/", "|", "_"
 def marked(text: Column) -> Column:
     """The normalised text with one mark at each possible end of a sentence, and at both ends."""
     t = F.regexp_replace(F.lower(text), r"\r\n?", "\n")
-    # What the text itself has of the marks goes first.
-    steps = [("[/|_<>]", " "), (r"\n[ \t]*\n\s*", BLANK), (r"[.!?:;][ \t]*(?=\n|_)|[.!?:;][ \t]+", STOP), ("\n", LINE), ("[^a-z0-9/|_]+", " "), ("[ /|]*_[ /|_]*", BLANK), (r"[ /]*\|[ /|]*", STOP), (" */[ /]*", LINE)]
+    # What the text itself has of the marks goes first. Runs are only looked at from their first character.
+    steps = [("[/|_<>]", " "), (r"\n[ \t]*\n\s*", BLANK), (r"[.!?:;][ \t]*(?=\n|_)|[.!?:;][ \t]+", STOP), ("\n", LINE), ("[^a-z0-9/|_]+", " "), ("(?<![ /|])[ /|]*_[ /|_]*", BLANK), (r"(?<![ /])[ /]*\|[ /|]*", STOP), ("(?<! ) */[ /]*", LINE)]
     for pattern, to in steps:
         t = F.regexp_replace(t, pattern, to)
     return F.concat(F.lit(STOP), F.trim(t), F.lit(STOP))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -188,3 +189,11 @@ def test_clashing_and_long(spark):
     assert [r[c] for c in names[:-1]] == names[:-1] and r["link"]["host"] == "a.com"
     r = license_scan.scan(df.withColumn("u", F.lit("All rights reserved. " + "plain words " * 10**5)), "u").first()
     assert [r[c] for c in names if c != "licence"] == [c for c in names if c != "licence"] and r["licence"]["licences"] == ["Proprietary"]
+
+
+def test_hostile_texts_are_scanned_once(spark):
+    parts = ["\n*", "\n* ", ". ", "/ ", "| ", "_ ", " \n", "\n\n.", ":", "*\t\n|", "license\n-", "permission is hereby granted "]
+    df = spark.createDataFrame([(k, "license " + x * 200_000) for k, x in enumerate(parts)], "doc_id int, text string")
+    began = time.monotonic()
+    assert all(r["n"] == 0 for r in license_scan.scan(df).select(F.size("licence.rules").alias("n")).collect())
+    assert time.monotonic() - began < 60
