@@ -43,7 +43,9 @@ TO_THE_END = frozenset("script style textarea title xmp".split())
 CONTAINERS = frozenset("html head body div section article main nav aside header footer form ul ol dl table figure details dialog fieldset menu".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote hr tr td th thead tbody tfoot caption figcaption address summary legend option hgroup search center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER_TAGS = frozenset("head nav aside footer form menu dialog button fieldset header".split())
+BOILER_TAGS = frozenset("head nav aside footer menu dialog button header".split())
+#: Boilerplate unless they wrap the page's content.
+FORM_TAGS = frozenset("form fieldset".split())
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar "
     "footer sidebar side aside widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert banner popup modal overlay "
@@ -89,8 +91,8 @@ def _open(tag: str, attrs: str, above: Element) -> Element:
     named = BOILER_WORDS & names - ({"header", "hidden"} if in_article else set()) if tag not in ("html", "body", "main") else set()
     if tag == "article":
         named &= READER_WORDS
-    strict = (tag in BOILER_TAGS and tag != "form" and not (tag == "header" and in_article)) or found.get("role", "").lower() in BOILER_ROLES - {"form"} or "hidden" in found or found.get("aria-hidden") == "true"
-    flag = 2 if strict or named & READER_WORDS else 1 if named or tag == "form" or found.get("role", "").lower() == "form" else 0
+    strict = (tag in BOILER_TAGS and not (tag == "header" and in_article)) or found.get("role", "").lower() in BOILER_ROLES - {"form"} or "hidden" in found or found.get("aria-hidden") == "true"
+    flag = 2 if strict or named & READER_WORDS else 1 if named or tag in FORM_TAGS or found.get("role", "").lower() == "form" else 0
     rank = 2 if tag == "article" or "articlebody" in found.get("itemprop", "").lower() else 1 if tag == "main" or found.get("role") == "main" else 0
     return Element(tag, f"{above.role}/{label}", flag, rank, above)
 
