@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tensorloom.operators import bp, contract, exact, loops
+from tensorloom.operators import bp, clusters, contract, exact, loops
 from tensorloom.plans import ising
 from tensorloom.session import table
 from tensorloom.sources import lattices, tensors
@@ -95,3 +95,14 @@ def test_corner_matrices_against_a_ring(spark):
         v = w / np.linalg.norm(w)
     points = spark.createDataFrame([(math.sqrt(1.5), math.sqrt(6))], "a1 double, a2 double")
     assert exact.corner_free_energy(points, chi=16, steps=40).first()["log_kappa"] == pytest.approx(math.log(growth) / 6, abs=0.01)
+
+
+def test_ursell_of_three_loops(spark):
+    """A triangle of touching loops has three trees and one cycle, a chain one tree; two copies touch each other."""
+    member = lambda *ms: [{"loop_id": k, "mult": m} for k, m in ms]
+    rows = [(1, member((1, 1), (2, 1), (3, 1)), 3), (2, member((1, 1), (2, 1), (4, 1)), 3), (3, member((1, 2), (2, 1)), 3), (4, member((5, 1), (6, 1), (7, 1)), 3), (5, member((1, 3)), 3), (6, member((1, 1)), 1), (7, member((1, 1), (2, 1)), 2), (8, member((1, 2)), 2)]
+    found = spark.createDataFrame(rows, f"cluster_id long, members {clusters.MEMBERS}, total_loops int")
+    touch = [(1, 2), (2, 3), (1, 3), (2, 4), (5, 6), (6, 7), (5, 7)]
+    inter = spark.createDataFrame([p for a, b in touch for p in ((a, b), (b, a))] + [(k, k) for k in range(1, 8)], "loop_a long, loop_b long")
+    got = {r["cluster_id"]: r["phi"] for r in clusters.ursell(found, inter).collect()}
+    assert got == {1: 2.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 2.0 / 6, 6: 1.0, 7: -1.0, 8: -0.5}
