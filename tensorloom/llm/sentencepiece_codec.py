@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Entries of a task's table; a full one is dropped and filled anew, which changes no result.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 200_000
 #: Characters of text that are turned into one Arrow batch of ids at most, unless one text is longer.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_000_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
