@@ -28,9 +28,9 @@ SHARD_ROWS, HEAD_WORDS = 8_000_000, 200_000
 #: Distinct words, and byte sequences, that a counting task holds before it emits them.
 FLUSH, FLUSH_SEQUENCES = 300_000, 700_000
 #: Positions that a counting task holds before it sorts them.
-HELD_POSITIONS = 4_000_000
+HELD_POSITIONS = 2_000_000
 #: Characters of text that are turned into numbers at once, unless one text is longer.
-PIECE_CHARS = 1_000_000
+PIECE_CHARS = 500_000
 END = b"\n"
 #: Logarithms of rare words are summed as whole numbers of this part, hence the same in any order.
 SCALE = float(1 << 32)
