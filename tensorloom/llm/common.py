@@ -48,3 +48,21 @@ def released(rows: DataFrame, **values: Column) -> DataFrame:
 
 #: df marked for broadcast if it has at most so many rows, else df as it is.
 bounded = small
+
+
+def numbered(df: DataFrame, *order: Column) -> tuple[DataFrame, int]:
+    """df, written, with `number`, its rows' places from 0 in the order, and how many rows there are.
+
+    Rows are dealt by ranges of the order, so that equal keys may lie in several tasks if later ones tell them apart; a
+    row's place is its place in its task and the rows of the tasks before. One row a task reaches the driver. df is read
+    twice, for the ranges' bounds and for the rows: write what is costly first.
+    """
+    placed = table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, counts = F.shiftright("_at", 33), []
+    total = 0
+    for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        counts.append((r["part"], total - (r["part"] << 33)))
+        total += r["n"]
+    # One row a task.
+    shift = df.sparkSession.createDataFrame(counts, "_part long, _shift long")
+    return placed.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn("number", F.col("_at") + F.col("_shift")).drop("_part", "_shift", "_at"), total

@@ -152,4 +152,70 @@ SELECT s.pair, s.pair AS chosen_id, s.partner AS rejected_id, CAST(s.shared AS B
   coalesce((SELECT string_agg(CAST(upto - length(body) AS BIGINT) || '-' || CAST(upto AS BIGINT), ',' ORDER BY i) FROM ends p WHERE p.pair = s.pair AND side = 1 AND role = 'assistant'), '') AS rejected_mask
 FROM shared s"""
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": OP1, "op4_preference_formatting": OP4, "op8_benchmark_decontamination": OP8, "op10_quality_rules": OP10}
+#: The shape of op12: distinct words, their bytes folded into a crc32 by a table made from its polynomial, gains, weights, ranks.
+OP12 = r"""
+WITH RECURSIVE crc_steps AS (
+  SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc_steps WHERE k < 8
+),
+crc_table AS (SELECT list(c ORDER BY byte) AS crc FROM crc_steps WHERE k = 8),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+own AS (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(w) AS w FROM docs) GROUP BY ALL),
+wanted AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY w),
+bytes AS (SELECT w, list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::BIGINT) AS b FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM own UNION SELECT w FROM wanted))),
+buckets AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, crc[xor(a & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc_table
+),
+s AS (SELECT bucket, sum(n)::BIGINT AS s FROM own JOIN buckets USING (w) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS t FROM wanted JOIN buckets USING (w) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS all_s, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS all_t),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (all_s + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (all_t + 10000))))::BIGINT AS gain
+  FROM (SELECT DISTINCT bucket FROM buckets) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), totals
+),
+weights AS (SELECT rid, sum(n * gain)::BIGINT AS weight FROM own JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY rid),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (rid)
+),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS k FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, (CASE WHEN r <= k THEN r END)::BIGINT AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < 20"""
+
+#: The shape of op13: each document's five flags, each order's steps by the filters before, sums over documents.
+OP13 = r"""
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+known AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+flagged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask
+  FROM texts LEFT JOIN known USING (doc_id)
+),
+counts AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flagged GROUP BY ALL),
+letters AS (SELECT chr(65 + k::INT) AS l, (1 << k)::INT AS bit FROM range(5) t(k)),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letters a JOIN letters b ON b.bit <> a.bit JOIN letters c ON c.bit NOT IN (a.bit, b.bit) JOIN letters d ON d.bit NOT IN (a.bit, b.bit, c.bit) JOIN letters e ON e.bit NOT IN (a.bit, b.bit, c.bit, d.bit)
+),
+steps AS (SELECT filter_order, step, bits[step] AS f, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM orders)),
+measured AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN mask & (before | f) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & f > 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & f > 0 AND mask & before > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & f > 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & f > 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM measured"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1, "op4_preference_formatting": OP4, "op8_benchmark_decontamination": OP8, "op10_quality_rules": OP10,
+    "op12_importance_resampling": OP12, "op13_filter_audit": OP13,
+}
