@@ -29,8 +29,10 @@ def word_totals(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n_words, n_distinct): one row for each distinct pair of id and text, h the text's 64-bit hash.
 
     Each row brings one null beside its words, which counts how often the pair occurs; rows without words are kept by it.
+    Whole texts are dealt out by id and hash first, so that both groupings find their rows in one task and no word is shuffled.
     """
-    tokens = docs.select("doc_id", F.xxhash64(_text()).alias("h"), F.explode(F.array_append(F.split(_text(), WS + "+"), F.lit(None).cast("string"))).alias("w")).where("w IS NULL OR w <> ''")
+    texts = docs.select("doc_id", _text().alias("t"), F.xxhash64(_text()).alias("h")).repartition("doc_id", "h")
+    tokens = texts.select("doc_id", "h", F.explode(F.array_append(F.split("t", WS + "+"), F.lit(None).cast("string"))).alias("w")).where("w IS NULL OR w <> ''")
     by_word = tokens.groupBy("doc_id", "h", "w").agg(F.count(F.lit(1)).alias("n"))
     per = by_word.groupBy("doc_id", "h").agg(F.sum(F.when(F.col("w").isNull(), F.col("n"))).alias("copies"), F.sum(F.when(F.col("w").isNotNull(), F.col("n"))).alias("total"), F.count("w").alias("n_distinct"))
     return per.select("doc_id", "h", F.expr("coalesce(total, 0) div copies").alias("n_words"), "n_distinct")
@@ -44,8 +46,7 @@ def flags(docs: DataFrame) -> DataFrame:
     text; a null source gives the part ""; a null doc_id is neither smaller nor larger than another one, so fails no E.
     Rows repeated with their id are rows of their own and no copies of each other. Only the named columns are read.
     """
-    n = F.length(_text())
-    upper = n - F.length(F.regexp_replace(_text(), "[A-Z]+", ""))
+    n, upper = F.length(_text()), F.size(F.split(_text(), "[A-Z]")) - 1
     bit = lambda k, c: F.when(c, F.lit(1 << k)).otherwise(0)
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.xxhash64(_text()).alias("h"), F.sha2(_text().cast("binary"), 256).alias("digest"), (bit(2, 100 * upper > UPPER_PERCENT * n) + bit(3, _text().rlike(SYMBOLS))).alias("own"))
     # The first id of each text; a row finds itself there or is a copy, so no row of a large group meets the others.
