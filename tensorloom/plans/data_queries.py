@@ -233,13 +233,16 @@ def complex_product(spark, sf_dir):
     return out.select("a", "b", F.round("re", 3).alias("re"), F.round("im", 3).alias("im"))
 
 
-@query("bp_marginals", "WITH x AS (SELECT a, b, c, (CASE a WHEN 1 THEN 0.1 ELSE 0.9 END) * (CASE b WHEN 1 THEN 0.1 ELSE 0.9 END) * (CASE c WHEN 1 THEN 0.1 ELSE 0.9 END) AS p FROM range(0, 2) x(a), range(0, 2) y(b), range(0, 2) z(c) WHERE (a + b) % 2 = 1 AND (b + c) % 2 = 0) SELECT v, k, round(p, 8) AS p FROM (SELECT 1 AS v, k, coalesce(sum(p) FILTER (a = k), 0) / sum(p) AS p FROM x, range(0, 2) r(k) GROUP BY k UNION ALL SELECT 2, k, coalesce(sum(p) FILTER (b = k), 0) / sum(p) FROM x, range(0, 2) r(k) GROUP BY k UNION ALL SELECT 3, k, coalesce(sum(p) FILTER (c = k), 0) / sum(p) FROM x, range(0, 2) r(k) GROUP BY k)")
+@query("bp_marginals", "WITH n AS (SELECT n_nationkey, n_regionkey, count(c_custkey) AS c FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL), s AS (SELECT n_regionkey, count(*) AS k, sum(c)::BIGINT % 2 AS s FROM n GROUP BY 1), o AS (SELECT n_nationkey, s, 0.1 * (1 - pow(0.8, k - 1) * CASE WHEN s = 1 THEN -1 ELSE 1 END) / 2 AS one, 0.9 * (1 + pow(0.8, k - 1) * CASE WHEN s = 1 THEN -1 ELSE 1 END) / 2 AS zero FROM n JOIN s USING (n_regionkey)) SELECT n_nationkey::BIGINT AS v, k, round(CASE k WHEN 1 THEN one ELSE zero END / (one + zero), 8) AS p FROM o, range(0, 2) t(k)")
 def bp_marginals(spark, sf_dir):
-    pcm = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3)], "chk int, bit int")
-    t, s = codes.factor_graph(pcm, spark.createDataFrame([(1, 1), (2, 0)], "chk int, s int"), 0.1)
-    m = bp.fixed_point(t, s, bp.start(t, s), rounds=10)
-    p = bp.marginals(t, s, m, F.col("idx")[0]).where("v <= 3")
-    return p.select("v", (F.col("k") - 1).cast("long").alias("k"), F.round("p", 8).alias("p"))
+    """Each nation is a bit and each region a check on the parity of its customers: a forest, on which the factor graph's messages are exact."""
+    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    pcm = nation.select((F.col("n_regionkey") + 1).cast("int").alias("chk"), (F.col("n_nationkey") + 1).cast("int").alias("bit"))
+    per = nation.join(customer, F.col("c_nationkey") == F.col("n_nationkey"), "left").groupBy((F.col("n_regionkey") + 1).cast("int").alias("chk")).agg((F.count("c_custkey") % 2).cast("int").alias("s"))
+    t, s = codes.factor_graph(pcm, per, 0.1)
+    m = bp.fixed_point(t, s, bp.start(t, s), rounds=4)
+    p = bp.marginals(t, s, m, F.col("idx")[0]).join(F.broadcast(pcm.select(F.col("bit").alias("v"))), "v", "left_semi")
+    return p.select((F.col("v") - 1).cast("long").alias("v"), (F.col("k") - 1).cast("long").alias("k"), F.round("p", 8).alias("p"))
 
 
 @query("catalog_round_trip", "SELECT 36 AS n, 'b' AS run, 0 AS missing")

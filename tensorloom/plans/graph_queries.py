@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sumproduct
+from ..operators import delta, sumproduct
 from ..operators.sumproduct import Factor
 from .registry import query, read
 
@@ -55,3 +55,41 @@ def max_product(spark, sf_dir):
     f = _business(spark, sf_dir, "segment")
     f["supplier"] = Factor("supplier", f["supplier"].rows, ("suppkey",))
     return sumproduct.sum_product(list(f.values()), ("segment",), sumproduct.MAX).select("segment", F.round("re", 6).alias("re"))
+
+
+#: Vertices of the region, nation and customer tree, numbered apart from each other.
+TREE = """nodes AS (SELECT r_regionkey::BIGINT AS v, 0.1 * (r_regionkey - 2) AS h FROM region UNION ALL SELECT 1000 + n_nationkey, 0.0 FROM nation UNION ALL SELECT 1000000 + c_custkey, c_acctbal / 20000 FROM customer),
+up AS (SELECT 1000000 + c_custkey AS v, 1000 + c_nationkey AS n, CASE c_mktsegment WHEN 'BUILDING' THEN 0.3 ELSE 0.1 END::DOUBLE AS j, c_acctbal / 20000 AS h FROM customer),
+cn AS (SELECT v, n, j, h, atanh(tanh(j) * tanh(h)) AS m FROM up),
+nat AS (SELECT 1000 + n_nationkey AS n, n_regionkey AS r, coalesce(sum(m), 0) AS inc FROM nation LEFT JOIN cn ON n = 1000 + n_nationkey GROUP BY ALL),
+nr AS (SELECT n, r, inc, atanh(tanh(0.4::DOUBLE) * tanh(inc)) AS m FROM nat),
+reg AS (SELECT r, 0.1 * (r - 2) + sum(m) AS total FROM nr GROUP BY r),
+ntot AS (SELECT n, inc + atanh(tanh(0.4::DOUBLE) * tanh(total - m)) AS total FROM nr JOIN reg USING (r)),
+totals AS (SELECT r::BIGINT AS v, total FROM reg UNION ALL SELECT n, total FROM ntot UNION ALL SELECT v, h + atanh(tanh(j) * tanh(total - m)) FROM cn JOIN ntot USING (n))"""
+
+
+@query("tree_marginals", f"WITH {TREE} SELECT v, round(1 / (1 + exp(-2 * total)), 8) AS p FROM totals")
+def tree_marginals(spark, sf_dir):
+    """Two-valued regions, nations and customers: a tree, on which messages give the exact marginals."""
+    region, nation, customer = (read(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    r, n, c = F.col("r_regionkey").cast("long"), F.col("n_nationkey") + F.lit(1000).cast("long"), F.col("c_custkey") + F.lit(1_000_000).cast("long")
+    fields = region.select(r.alias("v"), (0.1 * (F.col("r_regionkey") - 2)).alias("h")).union(customer.select(c, F.col("c_acctbal") / 20000))
+    j = F.when(F.col("c_mktsegment") == "BUILDING", 0.3).otherwise(0.1)
+    edges = nation.select(F.col("n_regionkey").cast("long").alias("u"), n.alias("w"), F.lit(0.4).alias("j")).union(customer.select(F.col("c_nationkey") + F.lit(1000).cast("long"), c, j))
+    return delta.fixed_point(fields, edges).select("v", F.round("p", 8).alias("p"))
+
+
+def supplier_part_model(spark, sf_dir):
+    """Fields and couplings of the graph of suppliers (even numbers) and parts (odd ones): balances and prices about their middle, and lines in common."""
+    line = read(spark, sf_dir, "lineitem")
+    s, p = F.col("l_suppkey").cast("long") * 2, F.col("l_partkey").cast("long") * 2 + 1
+    edges = line.groupBy(s.alias("u"), p.alias("w")).agg((0.005 * F.count(F.lit(1))).alias("j"))
+    fields = read(spark, sf_dir, "supplier").select((F.col("s_suppkey").cast("long") * 2).alias("v"), (F.col("s_acctbal") / 10000).alias("h"))
+    return fields.union(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("long") * 2 + 1, (F.col("p_retailprice") - 1400) / 2000)), edges
+
+
+@query("graph_marginals")
+def graph_marginals(spark, sf_dir):
+    """Marginals on the supplier-part graph, whose cycles SQL cannot iterate over; tests hold them against whole rounds of all messages."""
+    fields, edges = supplier_part_model(spark, sf_dir)
+    return delta.fixed_point(fields, edges, tolerance=1e-8).select("v", F.round("p", 5).alias("p"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 #: Bytes of rows that a side may have to be broadcast, whatever its row count.
 BROADCAST_BYTES = 128 << 20
 _written: list[str] = []
+_named: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +42,32 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """table(), in n buckets of the keys: joins and groupings by them read it without a shuffle, if they have n partitions."""
+    spark, name = df.sparkSession, f"tensorloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.write.bucketBy(n, *keys).option("path", path).saveAsTable(name)
+    _written.append(path)
+    _named.append(name)
+    return spark.table(name)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the plans that are run inside."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the tables written so far, once no result that reads them is needed any more; how many there were."""
     n = len(_written)
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
