@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import delta, sumproduct
+from ..operators import cycles, delta, sumproduct
 from ..operators.sumproduct import Factor
 from .registry import query, read
 
@@ -93,3 +93,33 @@ def graph_marginals(spark, sf_dir):
     """Marginals on the supplier-part graph, whose cycles SQL cannot iterate over; tests hold them against whole rounds of all messages."""
     fields, edges = supplier_part_model(spark, sf_dir)
     return delta.fixed_point(fields, edges, tolerance=1e-8).select("v", F.round("p", 5).alias("p"))
+
+
+#: Parts and orders; two parts of one order; chains of three parts from the smallest on.
+STEPS = """e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+w AS (SELECT a.p AS p, a.o AS o, b.p AS q FROM e a JOIN e b ON a.o = b.o AND a.p <> b.p),
+h AS (SELECT a.p AS p1, a.o AS o1, a.q AS p2, b.o AS o2, b.q AS p3 FROM w a JOIN w b ON a.q = b.p AND a.o <> b.o AND b.q <> a.p WHERE a.p < a.q AND a.p < b.q)"""
+
+
+def _orders_of_parts(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chk"), F.col("l_partkey").alias("bit"))
+
+
+@query("tanner_cycles", f"""WITH {STEPS}, six AS (SELECT p1, p2, p3 FROM h JOIN w ON w.p = p3 AND w.q = p1 AND w.o <> o1 AND w.o <> o2 WHERE p2 < p3)
+SELECT bit, count(*) AS n FROM (SELECT unnest([p1, p2, p3]) AS bit FROM six) GROUP BY bit""")
+def tanner_cycles(spark, sf_dir):
+    """How many cycles of six edges of the graph of orders and their parts run through each part."""
+    found = cycles.cycles(_orders_of_parts(spark, sf_dir), [6])
+    return found.select(F.explode("bits").alias("bit")).groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tanner_cycles_at", f"""WITH {STEPS}, t AS (SELECT min(p) AS least FROM e), g AS (SELECT * FROM h, t WHERE p1 = least),
+six AS (SELECT p1, o1, p2, o2, p3, w.o AS o3 FROM g JOIN w ON w.p = p3 AND w.q = p1 AND w.o <> o1 AND w.o <> o2 WHERE o1 < w.o),
+eight AS (SELECT x.p1, x.o1, x.p2, x.o2, x.p3, y.o2 AS o3, y.p2 AS p4, y.o1 AS o4 FROM g x JOIN g y ON x.p3 = y.p3 AND x.p2 <> y.p2 AND x.o1 NOT IN (y.o1, y.o2) AND x.o2 NOT IN (y.o1, y.o2) WHERE x.o1 < y.o1)
+SELECT 6 AS length, p1 || ',' || p2 || ',' || p3 AS bits, o1 || ',' || o2 || ',' || o3 AS checks FROM six UNION ALL SELECT 8, p1 || ',' || p2 || ',' || p3 || ',' || p4, o1 || ',' || o2 || ',' || o3 || ',' || o4 FROM eight""")
+def tanner_cycles_at(spark, sf_dir):
+    """The cycles of six and eight edges through the smallest part, from paths that begin there."""
+    pcm = _orders_of_parts(spark, sf_dir)
+    least = pcm.agg(F.min("bit")).first()[0]
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return cycles.cycles(pcm, [6, 8], "bit", least).select("length", join("bits"), join("checks"))
