@@ -15,6 +15,7 @@ from ..functions import coords as C
 from ..session import table
 from ..sources import codes as S
 from . import bp
+from .overlap import overlaps
 
 
 def syndrome(pcm: DataFrame, bits: DataFrame) -> DataFrame:
@@ -118,12 +119,10 @@ def tanner_neighbours(pcm: DataFrame) -> DataFrame:
 def four_cycles(pcm: DataFrame) -> DataFrame:
     """(chk_a, chk_b, shared, cycles): pairs of checks with two bits or more in common, and the four-cycles they close.
 
-    Counting shared bits is one equi-join; cycles are pairs of them.
+    Checks meet by pairs of bits, or by bitmaps where they have many (overlap.overlaps); cycles are pairs of shared bits.
     """
-    p = pcm.distinct()
-    j = p.select(F.col("chk").alias("chk_a"), "bit").join(p.select(F.col("chk").alias("chk_b"), "bit"), "bit").where("chk_a < chk_b")
-    n = j.groupBy("chk_a", "chk_b").agg(F.count(F.lit(1)).alias("shared")).where("shared > 1")
-    return n.select("chk_a", "chk_b", "shared", F.expr("shared * (shared - 1) div 2").alias("cycles"))
+    n = overlaps(pcm.select(F.col("chk").alias("set_id"), F.col("bit").alias("e")))
+    return n.select(F.col("a").alias("chk_a"), F.col("b").alias("chk_b"), "shared", F.expr("shared * (shared - 1) div 2").alias("cycles"))
 
 
 def tanner_loops(pcm: DataFrame, length: int, through: str | None = None, at: int | None = None) -> DataFrame:

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import table
+from .overlap import overlaps
 
 
 def edges_of(slots: DataFrame, key: str = "link") -> DataFrame:
-    """(u, w, n): pairs of vertices that share a link, and how many they share; slots are (v, link)."""
-    a, b = slots.select(F.col("v").alias("u"), key), slots.select(F.col("v").alias("w"), key)
-    return a.join(b, key).where("u < w").groupBy("u", "w").agg(F.count(F.lit(1)).alias("n"))
+    """(u, w, n): pairs of vertices that share a link, and how many different ones they share; slots are (v, link)."""
+    shared = overlaps(slots.select(F.col("v").alias("set_id"), F.col(key).alias("e")), 1)
+    return shared.select(F.col("a").alias("u"), F.col("b").alias("w"), F.col("shared").alias("n"))
 
 
 def neighbours(edges: DataFrame) -> DataFrame:

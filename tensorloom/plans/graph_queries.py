@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cycles, delta, sumproduct
+from ..operators import cycles, delta, overlap, sumproduct
 from ..operators.sumproduct import Factor
 from .registry import query, read
 
@@ -123,3 +123,17 @@ def tanner_cycles_at(spark, sf_dir):
     least = pcm.agg(F.min("bit")).first()[0]
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return cycles.cycles(pcm, [6, 8], "bit", least).select("length", join("bits"), join("checks"))
+
+
+@query("order_overlaps", "WITH e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem) SELECT x.o AS a, y.o AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.o < y.o GROUP BY 1, 2 HAVING count(*) >= 2")
+def order_overlaps(spark, sf_dir):
+    """Orders with two parts or more in common: orders are small sets and meet by pairs of parts."""
+    return overlap.overlaps(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("e")))
+
+
+@query("unequal_overlaps", "WITH e AS (SELECT DISTINCT 2 * l_orderkey + 1 AS s, l_partkey AS p FROM lineitem UNION SELECT DISTINCT 2 * l_suppkey, l_partkey FROM lineitem) SELECT x.s AS a, y.s AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2 HAVING count(*) >= 4")
+def unequal_overlaps(spark, sf_dir):
+    """Sets of very unequal size, orders (odd numbers) and suppliers (even ones), with four parts or more in common."""
+    line = read(spark, sf_dir, "lineitem")
+    sets = line.select((2 * F.col("l_orderkey") + 1).alias("set_id"), F.col("l_partkey").alias("e")).union(line.select(2 * F.col("l_suppkey"), "l_partkey"))
+    return overlap.overlaps(sets, 4)
