@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cycles, delta, overlap, sumproduct
+from ..operators import connected_sets, cycles, delta, overlap, sumproduct
 from ..operators.sumproduct import Factor
+from ..session import table
 from .registry import query, read
 
 
@@ -137,3 +138,37 @@ def unequal_overlaps(spark, sf_dir):
     line = read(spark, sf_dir, "lineitem")
     sets = line.select((2 * F.col("l_orderkey") + 1).alias("set_id"), F.col("l_partkey").alias("e")).union(line.select(2 * F.col("l_suppkey"), "l_partkey"))
     return overlap.overlaps(sets, 4)
+
+
+#: Orders, weighed by their lines, and those that share two parts or more.
+ORDER_GRAPH = """e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+near AS (SELECT x.o AS u, y.o AS w FROM e x JOIN e y ON x.p = y.p AND x.o <> y.o GROUP BY 1, 2 HAVING count(*) >= 2),
+v AS (SELECT l_orderkey AS v, count(*) AS weight FROM lineitem GROUP BY 1 HAVING count(*) <= {most}),
+sets AS (SELECT [v] AS m, weight FROM v UNION SELECT list_sort(list_append(m, near.w)), sets.weight + v.weight FROM sets JOIN near ON list_contains(m, near.u) AND NOT list_contains(m, near.w) JOIN v ON v.v = near.w WHERE sets.weight + v.weight <= {most})"""
+
+
+def _order_graph(spark, sf_dir):
+    line = read(spark, sf_dir, "lineitem")
+    near = overlap.overlaps(line.select(F.col("l_orderkey").alias("set_id"), F.col("l_partkey").alias("e")))
+    return line.groupBy(F.col("l_orderkey").alias("v")).agg(F.count(F.lit(1)).alias("weight")), table(near.select(F.col("a").alias("u"), F.col("b").alias("w")))
+
+
+@query("connected_orders", f"WITH RECURSIVE {ORDER_GRAPH.format(most=18)} SELECT array_to_string(m, ',') AS members, weight::BIGINT AS weight FROM sets WHERE len(m) > 1")
+def connected_orders(spark, sf_dir):
+    """Sets of two orders or more that hang together by shared parts, of at most 18 lines."""
+    found = connected_sets.connected_sets(*_order_graph(spark, sf_dir), 18).where(F.size("members") > 1)
+    return found.select(F.array_join(F.array_sort("members").cast("array<string>"), ",").alias("members"), "weight")
+
+
+@query("connected_sums", f"""WITH RECURSIVE {ORDER_GRAPH.format(most=18)},
+named AS (SELECT array_to_string(m, ',') AS members, m FROM sets WHERE len(m) BETWEEN 2 AND 5),
+links AS (SELECT members, i, j FROM (SELECT members, m, unnest(range(1, len(m) + 1)) AS i FROM named) JOIN (SELECT members, unnest(range(1, len(m) + 1)) AS j FROM named) USING (members) JOIN near ON near.u = m[i] AND near.w = m[j] WHERE i < j),
+parts AS (SELECT [0] AS r, 1 AS k UNION ALL SELECT list_append(r, c), greatest(k, c + 1) FROM parts, range(5) t(c) WHERE len(r) < 5 AND c <= k),
+able AS (SELECT members, r, k FROM named JOIN parts ON len(r) = len(m) WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.members = named.members AND r[i] = r[j]))
+SELECT members, sum(CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * factorial((k - 1)::INT))::BIGINT AS total FROM able GROUP BY members""")
+def connected_sums(spark, sf_dir):
+    """The signed sums over connected subgraphs of those sets of up to five orders."""
+    vertices, edges = _order_graph(spark, sf_dir)
+    found = connected_sets.connected_sets(vertices, edges, 18).where(F.size("members").between(2, 5))
+    linked = connected_sets.with_links(found.select(F.array_sort("members").alias("members")), edges)
+    return linked.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), connected_sets.connected_sum(F.col("links")).alias("total"))
