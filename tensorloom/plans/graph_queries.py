@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import connected_sets, cycles, delta, overlap, sumproduct
+from ..operators import connected_sets, cycles, delta, elimination, overlap, sumproduct
 from ..operators.sumproduct import Factor
 from ..session import table
 from .registry import query, read
@@ -172,3 +172,28 @@ def connected_sums(spark, sf_dir):
     found = connected_sets.connected_sets(vertices, edges, 18).where(F.size("members").between(2, 5))
     linked = connected_sets.with_links(found.select(F.array_sort("members").alias("members")), edges)
     return linked.select(F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), connected_sets.connected_sum(F.col("links")).alias("total"))
+
+
+@query("graph_rank", "WITH RECURSIVE e AS (SELECT DISTINCT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p FROM lineitem), near AS (SELECT s AS a, p AS b FROM e UNION SELECT p, s FROM e), reach AS (SELECT DISTINCT s AS root, s AS v FROM e UNION SELECT root, b FROM reach JOIN near ON a = reach.v), roots AS (SELECT v, min(root) AS root FROM reach GROUP BY v) SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM roots) AS vertices, ((SELECT count(*) FROM roots) - (SELECT count(DISTINCT root) FROM roots))::BIGINT AS rank")
+def graph_rank(spark, sf_dir):
+    """The edge-vertex matrix of the graph of suppliers and parts: its rank mod 2 is vertices less components."""
+    edges = table(read(spark, sf_dir, "lineitem").select((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).distinct())
+    name = F.concat_ws("-", "s", "p").alias("row")
+    rank, _ = elimination.eliminate(edges.select(name, F.col("s").alias("col")).union(edges.select(name, "p")))
+    return edges.agg(F.count(F.lit(1)).alias("edges"), (F.count_distinct("s") + F.count_distinct("p")).alias("vertices"), F.lit(rank).cast("long").alias("rank"))
+
+
+def order_part_sides(spark, sf_dir):
+    """Right-hand sides for the orders' parts: the parity of their dear parts, which those parts solve, and that of their lines."""
+    line, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    dear = line.groupBy(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n")).join(part.where("p_retailprice > 1200").select("p_partkey"), "p_partkey")
+    one = dear.groupBy("row").agg((F.sum("n") % 2).alias("b"))
+    two = line.groupBy(F.col("l_orderkey").alias("row")).agg((2 * (F.max("l_linenumber") % 2)).cast("long").alias("b"))
+    return one.union(two).where("b <> 0")
+
+
+@query("order_part_solvable")
+def order_part_solvable(spark, sf_dir):
+    """Which parities of orders come from a choice of parts; SQL has no elimination, tests hold it against a plain one."""
+    entries = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
+    return elimination.solvable(entries, order_part_sides(spark, sf_dir), ["dear parts", "lines"])
