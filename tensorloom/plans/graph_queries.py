@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import connected_sets, cycles, delta, elimination, overlap, sumproduct
+from ..operators import connected_sets, cycles, delta, elimination, overlap, singular, sumproduct
 from ..operators.sumproduct import Factor
 from ..session import table
 from .registry import query, read
@@ -197,3 +197,18 @@ def order_part_solvable(spark, sf_dir):
     """Which parities of orders come from a choice of parts; SQL has no elimination, tests hold it against a plain one."""
     entries = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"))
     return elimination.solvable(entries, order_part_sides(spark, sf_dir), ["dear parts", "lines"])
+
+
+@query("embedding_spectrum", "WITH e AS (SELECT row_number() OVER () AS r, embedding::DOUBLE[] AS x FROM embeddings), v AS (SELECT r, unnest(x) AS x, unnest(range(len(x))) AS k FROM e), g AS (SELECT a.k, b.k AS l, sum(a.x * b.x) AS g FROM v a JOIN v b ON a.r = b.r GROUP BY 1, 2) SELECT (SELECT max(len(x)) FROM e)::BIGINT AS n_values, round(sum(g) FILTER (k = l) / count(DISTINCT k), 6) AS mean_square, round(sum(g * g) / pow(sum(g) FILTER (k = l), 2), 8) AS concentration FROM g")
+def embedding_spectrum(spark, sf_dir):
+    """Singular values of the table of embeddings, seen by the trace of their squares and of their fourth powers."""
+    s2 = singular.singular_values(read(spark, sf_dir, "embeddings"), "embedding") ** 2
+    n, total = len(s2), float(s2.sum())
+    return spark.createDataFrame([(n, round(total / n, 6), round(float((s2**2).sum()) / total**2, 8))] if n else [], "n_values long, mean_square double, concentration double")
+
+
+@query("leading_singular_values")
+def leading_singular_values(spark, sf_dir):
+    """The five largest singular values of the embeddings from a random range; tests hold them against all of them."""
+    found = singular.leading(read(spark, sf_dir, "embeddings"), "embedding", 5)
+    return spark.createDataFrame([(k + 1, round(float(s), 4)) for k, s in enumerate(found)], "k int, value double")
