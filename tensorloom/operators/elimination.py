@@ -64,7 +64,8 @@ def _core(entries: DataFrame, sides: DataFrame, columns: int) -> tuple[int, int]
                     np.bitwise_xor.at(rows[i], ks >> 6, np.uint64(1) << (ks & 63).astype(np.uint64))
                 rows[:, -1] = part["b"].to_numpy().astype(np.int64).view(np.uint64)
                 form = echelon(np.concatenate([form, rows]), columns)
-        yield pd.DataFrame({"bits": [r.tobytes() for r in form]})
+        if len(form):
+            yield pd.DataFrame({"bits": [r.tobytes() for r in form]})
 
     forms = packed.mapInPandas(reduced, "bits binary").withColumn("part", F.spark_partition_id())
 

@@ -68,7 +68,8 @@ def factor(df: DataFrame, column: str, project: np.ndarray | None = None) -> np.
             for at in range(0, len(f), BLOCK):
                 x = _stacked(f["x"].iloc[at : at + BLOCK], width)
                 r = triangle(np.concatenate([r, x if project is None else x @ project]))
-        yield pd.DataFrame({"x": list(r)})
+        if len(r):
+            yield pd.DataFrame({"x": list(r)})
 
     return _merged(rows.mapInPandas(reduced, "x array<double>").withColumn("part", F.spark_partition_id()), out)
 

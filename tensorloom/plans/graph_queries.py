@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import connected_sets, cycles, delta, elimination, overlap, singular, sumproduct
 from ..operators.sumproduct import Factor
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import manifest
 from .registry import query, read
 
 
@@ -212,3 +215,14 @@ def leading_singular_values(spark, sf_dir):
     """The five largest singular values of the embeddings from a random range; tests hold them against all of them."""
     found = singular.leading(read(spark, sf_dir, "embeddings"), "embedding", 5)
     return spark.createDataFrame([(k + 1, round(float(s), 4)) for k, s in enumerate(found)], "k int, value double")
+
+
+@query("latest_whole_run", "SELECT o_orderpriority AS priority, count(*) AS n, round(sum(o_totalprice) / 1e6, 4) AS total FROM orders GROUP BY 1")
+def latest_whole_run(spark, sf_dir):
+    """Totals of orders saved twice, the second time only in part and then bereft of its files: the run before is what is loaded."""
+    root = f"{shared_dir(spark)}/tensorloom-runs-{uuid.uuid4().hex}"
+    totals = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    manifest.save(spark, root, {"totals": totals}, source="orders")
+    broken = manifest.save(spark, root, {"totals": totals.where("n < 0")}, source="orders")
+    manifest.drop(spark, root, broken)
+    return manifest.load_latest(spark, root, "totals", source="orders").select("priority", "n", F.round(F.col("total") / 1e6, 4).alias("total"))

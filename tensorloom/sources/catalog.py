@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import manifest
+
 KEYS = ["L", "max_weight", "bc"]
-META = "L int, max_weight int, bc string, run string, total_sites int, seconds double, ts timestamp"
+META = "L int, max_weight int, bc string, run string, total_sites int, seconds double, ts timestamp, saved map<string, struct<files bigint, length bigint, digest string>>"
 
 
 def save(df: DataFrame, root: str, table: str, *, L: int, max_weight: int, bc: str, run: str) -> None:
@@ -14,11 +16,18 @@ def save(df: DataFrame, root: str, table: str, *, L: int, max_weight: int, bc: s
     df.withColumns({"L": F.lit(L), "max_weight": F.lit(max_weight), "bc": F.lit(bc), "run": F.lit(run)}).write.mode("append").partitionBy(*KEYS, "run").parquet(f"{root}/{table}")
 
 
+def _place(root: str, table: str, L: int, max_weight: int, bc: str, run: str) -> str:
+    return f"{root}/{table}/L={L}/max_weight={max_weight}/bc={bc}/run={run}"
+
+
 def save_run(spark: SparkSession, root: str, tables: dict[str, DataFrame], *, L: int, max_weight: int, bc: str, run: str, seconds: float = 0.0) -> None:
-    """Save the tables of a run, then its row in run_meta, which makes it visible."""
+    """Save the tables of a run, then its row in run_meta, which makes it visible and says what files the tables have."""
     for name, df in tables.items():
         save(df, root, name, L=L, max_weight=max_weight, bc=bc, run=run)
     meta = spark.range(1).select(F.lit(L).alias("L"), F.lit(max_weight).alias("max_weight"), F.lit(bc).alias("bc"), F.lit(run).alias("run"), F.lit(L * L).alias("total_sites"), F.lit(float(seconds)).alias("seconds"), F.current_timestamp().alias("ts"))
+    row = [(name, *manifest.summary(spark, _place(root, name, L, max_weight, bc, run))) for name in tables]
+    saved = spark.createDataFrame(row, "name string, files bigint, length bigint, digest string").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("files", "length", "digest")))).alias("saved"))
+    meta = meta.join(F.broadcast(saved))
     meta.write.mode("append").parquet(f"{root}/run_meta")
 
 
@@ -39,12 +48,17 @@ def load(spark: SparkSession, root: str, table: str, **where) -> DataFrame:
 
 
 def load_latest(spark: SparkSession, root: str, table: str, **where) -> DataFrame:
-    """A table of the latest run that matches. FileNotFoundError if there is none; corrupt files are skipped."""
-    last = runs(spark, root, **where).limit(1).collect()
-    if not last:
-        raise FileNotFoundError(f"no run with {where} in {root}")
-    r = last[0]
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(f"{root}/{table}").where((F.col("L") == r["L"]) & (F.col("max_weight") == r["max_weight"]) & (F.col("bc") == r["bc"]) & (F.col("run") == r["run"])).drop(*KEYS, "run")
+    """A table of the latest run that matches and is whole: a run that lacks a file or has a broken one is passed over for the one before.
+
+    FileNotFoundError if there is none. Runs saved before files were noted count as whole.
+    """
+    for r in runs(spark, root, **where).toLocalIterator():  # newest first, a row a run
+        noted = (r["saved"] or {}).get(table)
+        if noted is None and r["saved"] is not None:
+            continue
+        if noted is None or manifest.unchanged(spark, _place(root, table, r["L"], r["max_weight"], r["bc"], r["run"]), tuple(noted)):
+            return spark.read.parquet(f"{root}/{table}").where((F.col("L") == r["L"]) & (F.col("max_weight") == r["max_weight"]) & (F.col("bc") == r["bc"]) & (F.col("run") == r["run"])).drop(*KEYS, "run")
+    raise FileNotFoundError(f"no whole run with {where} in {root}")
 
 
 def summary(clusters: DataFrame, cluster_sites: DataFrame) -> DataFrame:
