@@ -1,7 +1,7 @@
-"""Rank and solvability mod 2 of large sparse matrices: pivots of weight one are peeled by joins, what is left is eliminated in packed blocks.
+"""Rank and solvability mod 2 of large sparse matrices: light pivots are peeled by joins, what is left is eliminated in packed blocks.
 
 A column with one entry gives its row away, a row with one entry its column; each is a pivot and no other entry changes,
-apart from right-hand sides. What no such step shortens is the core. Its rows are packed into words, every task reduces
+apart from right-hand sides. A row with two entries makes two columns one. What no such step shortens is the core. Its rows are packed into words, every task reduces
 its own to echelon form, and those forms, which have at most a row a column, are merged four at a time.
 """
 
@@ -85,11 +85,34 @@ def _core(entries: DataFrame, sides: DataFrame, columns: int) -> tuple[int, int]
     return got[0], got[1] or 0
 
 
-def eliminate(entries: DataFrame, sides: DataFrame | None = None, trace: list[tuple[int, int]] | None = None) -> tuple[int, int]:
+def _added(sides: DataFrame) -> DataFrame:
+    return sides.groupBy("row").agg(F.bit_xor("b").alias("b")).where("b <> 0")
+
+
+def _contracted(m: DataFrame, b: DataFrame, lot: int) -> tuple[DataFrame, DataFrame, int]:
+    """m and b with columns replaced by others that a row of two entries makes their equals, and how many are.
+
+    Half of the columns, drawn by lot, may go and the others stay, so that no column is replaced by one that goes, too. Rows grow no longer by it.
+    """
+    drawn = F.xxhash64("col", F.lit(lot)) % 2 == 0
+    two = m.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(drawn, F.col("col"))).alias("col"), F.min(F.when(~drawn, F.col("col"))).alias("to")).where("n = 2 AND col IS NOT NULL AND to IS NOT NULL")
+    pivots = table(two.groupBy("col").agg(F.min(F.struct("row", "to")).alias("p")).select("col", F.col("p.row").alias("pivot"), F.col("p.to").alias("to")))
+    n = pivots.count()
+    if not n:
+        return m, b, 0
+    rest = m.join(pivots.select(F.col("pivot").alias("row")), "row", "left_anti")
+    moved = rest.join(pivots, "col", "left").select("row", F.coalesce("to", "col").alias("col"))
+    given = pivots.select("col", "pivot").join(b.withColumnRenamed("row", "pivot"), "pivot")
+    taken = rest.join(given, "col").select("row", "b")
+    left = moved.groupBy("row", "col").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("row", "col")
+    return table(left), table(_added(b.join(pivots.select(F.col("pivot").alias("row")), "row", "left_anti").union(taken))), n
+
+
+def eliminate(entries: DataFrame, sides: DataFrame | None = None, trace: list[tuple[int, int, int]] | None = None) -> tuple[int, int]:
     """(rank, unsolvable) of the matrix with ones at (row, col) and right-hand sides (row, b), a bit of b for each of up to 64.
 
     Entries that occur an even number of times are zero; rows with a null anywhere are left out. Bit k of unsolvable is
-    set if no choice of columns adds up to side k. trace takes the pivots of each round, by columns and by rows. Only
+    set if no choice of columns adds up to side k. trace takes the pivots of each round, by columns, by rows and by pairs. Only
     counts reach the driver. ValueError if the core has more than MOST_COLUMNS columns.
     """
     spark = entries.sparkSession
@@ -97,23 +120,27 @@ def eliminate(entries: DataFrame, sides: DataFrame | None = None, trace: list[tu
     none = spark.createDataFrame([], f"row {m.schema['row'].dataType.simpleString()}, b bigint")
     b = table(none if sides is None else sides.where("row IS NOT NULL").groupBy("row").agg(F.bit_xor("b").alias("b")).where("b <> 0").select(F.col("row").cast(m.schema["row"].dataType), "b"))
     rank = unsolvable = 0
+    seen: list[tuple[int, int, int]] = []
     while True:
         alone = table(m.groupBy("col").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row")).where("n = 1").select("row").distinct())
         by_col = alone.count()
         left = m.join(alone, "row", "left_anti")
         pivots = table(left.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("col").alias("col")).where("n = 1").groupBy("col").agg(F.min("row").alias("row")))
         by_row = pivots.count()
-        rank += by_col + by_row
-        if trace is not None:
-            trace.append((by_col, by_row))
-        if not by_col + by_row:
-            break
         kept = b.join(alone, "row", "left_anti")
         # A row that loses an entry takes the right-hand sides of the row that had it alone.
         given = pivots.withColumnRenamed("row", "pivot").join(kept.withColumnRenamed("row", "pivot"), "pivot")
         taken = left.join(given, "col").where("row <> pivot").select("row", "b")
-        b = kept.join(pivots.select("row"), "row", "left_anti").union(taken).groupBy("row").agg(F.bit_xor("b").alias("b")).where("b <> 0")
-        m, b = table(left.join(pivots.select("col"), "col", "left_anti")), table(b)
+        b = table(_added(kept.join(pivots.select("row"), "row", "left_anti").union(taken)))
+        m = table(left.join(pivots.select("col"), "col", "left_anti"))
+        m, b, by_pair = _contracted(m, b, len(seen))
+        rank += by_col + by_row + by_pair
+        seen.append((by_col, by_row, by_pair))
+        # Pairs are drawn by lot: several rounds without one, not the first, end it.
+        if not any(map(sum, seen[-4:])) and len(seen) >= 4 or not (by_col + by_row + by_pair) and not m.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n = 2").limit(1).count():
+            break
+    if trace is not None:
+        trace += seen
     lost = b.join(m.select("row").distinct(), "row", "left_anti").agg(F.bit_or("b")).first()[0]
     columns = m.agg(F.count_distinct("col")).first()[0]
     if columns > MOST_COLUMNS:

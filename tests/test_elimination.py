@@ -59,7 +59,19 @@ def test_a_tree_peels_away(spark):
     trace = []
     edges = [(v, v) for v in range(1, 60)] + [(v, v // 2) for v in range(1, 60)]
     assert elimination.eliminate(spark.createDataFrame(edges, "row long, col long"), trace=trace) == (59, 0)
-    assert sum(a + b for a, b in trace) == 59
+    assert sum(map(sum, trace)) == 59
+
+
+def test_a_graph_contracts(spark, monkeypatch):
+    # Every column has three entries or more: only rows of two make columns one, and no core is left.
+    monkeypatch.setattr(elimination, "MOST_COLUMNS", 0)
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(k, k + 40), 2))) for k in (0, 40) for _ in range(200)}
+    entries = [(i, c) for i, e in enumerate(sorted(pairs)) for c in e]
+    x = {c: rng.randrange(2) for c in range(80)}
+    sides = [(i, x[a] ^ x[b] | 2 * rng.randrange(2)) for i, (a, b) in enumerate(sorted(pairs))]
+    got = elimination.eliminate(spark.createDataFrame(entries, "row long, col long"), spark.createDataFrame(sides, "row long, b long"))
+    assert got == plain(entries, sides) == (78, 2)
 
 
 def test_empty(spark):
