@@ -1,17 +1,22 @@
 """Toxicity: a support vector machine on a gapped-subsequence string kernel with Nyström landmarks.
 
-The kernel compares two words by their common subsequences of three letters within a span of SPAN letters; each
-inserted letter costs a factor DECAY, so "id.iot", "idxiot" and unseen endings of an insult's stem stay close to it.
-Subsequences of letters of any script are hashed to BUCKETS places. Words of one or two letters get marks at both ends;
-of scripts without blanks between words all runs of two to four letters count as words.
-A sentence's margin is that of its worst word (a multiple-instance machine: the label is known for the text, the
-witness word is not), a text's margin that of its worst sentence. Nyström landmarks make the machine linear, and the
-sum over landmarks folds into one weight for each place, so a word is scored by one sparse product.
+The kernel compares two words by their common subsequences of three letters within a span of SPAN letters, where a mark
+stands before and after each word, and by whether they are equal; each inserted letter costs a factor DECAY, so
+"id.iot", "idxiot" and unseen endings of an insult's stem stay close to it, and a clean word that is the bare stem can
+still be told from it. Subsequences of letters of any script are hashed to BUCKETS places. Of scripts without blanks
+between words all runs of two to four letters count as words.
+Labels are of texts, the witnesses in them are not known (a multiple-instance machine): words that stand in toxic texts
+far oftener than chance allows are the first ones. Words that clean texts share with them by stem weigh by how often
+they occur, and a witness is asked for a margin that grows with its odds. A text is judged by its sentences: the worst
+word, how many words lie beyond the plane, and how many of these a sentence has; the scale from there to a probability
+is fitted on texts that the machine in question has not seen. Nyström landmarks make the machine linear, and the sum
+over landmarks folds into one weight for each place, so a word is scored by one sparse product.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -26,12 +31,16 @@ from .common import bucket
 from .sentencepiece_codec import _pieces
 
 SPAN, DECAY = 5, 0.6
+#: Weight of the whole word, which tells a witness from a clean word that it begins with.
+WHOLE = 2.0
 #: Letters of a word that are compared at once; longer words are cut into overlapping windows of this length.
 REACH = 24
 BUCKETS = 1 << 21
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
-#: Bounds of the training sample, of the words drawn from it and of the landmarks.
-MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES, LANDMARKS = 1_500, 3_000, 6_000, 192
+#: Bounds of the training sample (texts), of the clean words that a machine is shown, and of the landmarks.
+MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES, LANDMARKS = 1_500, 3_000, 6_000, 256
+#: Weight of clean words within the margin against all others; ridge of the scale; the largest margin that is asked for.
+HARD, RIDGE, FIRM = 3.0, 0.05, 4.0
 #: A word starts as a witness if words that were dealt to the texts by chance would give fewer than this many such words,
 #: and if its odds to stand in a toxic text are this many times those of all words.
 CHANCE, ODDS = 0.1, 8
@@ -57,36 +66,55 @@ def _runs(word: str) -> Iterator[str]:
     yield word[at:]
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-cased words (of dense scripts: runs of letters), and as one word each run of four or more single letters."""
+def sentences(text: str) -> list[list[str]]:
+    """The lower-cased words of each sentence that has any (of dense scripts: runs of letters); each run of four or more
+    single letters is one word, and one sentence, besides."""
     low = text.lower()
-    words = low.split()
-    if not low.isascii() and _DENSE.search(low):
-        words = [x for w in words for x in _runs(w) if x]
-    return words + [re.sub(r"[\W_]+", "", m) for m in _SPACED.findall(low)]
+    dense = not low.isascii() and _DENSE.search(low)
+    out = []
+    for part in _SENTENCE.split(low):
+        words = part.split()
+        if dense:
+            words = [x for w in words for x in _runs(w) if x]
+        if words:
+            out.append(words)
+    return out + [[re.sub(r"[\W_]+", "", m)] for m in _SPACED.findall(low)]
+
+
+def tokens(text: str) -> list[str]:
+    """The words of all sentences."""
+    return list(chain.from_iterable(sentences(text)))
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The words' windows as rows of code points of letters, 0 after the last, and the word of each row."""
+    """The words' windows as rows of code points of letters between two marks, 0 after the last, and the word of each row.
+
+    The last column is a number of the whole word where it fits one window, else 0.
+    """
     kept = ["".join(filter(str.isalpha, w)) for w in words]
-    parts, owner = [], []
+    parts, owner, whole = [], [], []
     for i, w in enumerate(kept):
-        w = f"\x02{w}\x03" if 0 < len(w) < 3 else w
+        w = f"\x02{w}\x03" if w else w
+        alone = zlib.crc32(w.encode("utf-8", "replace")) if 0 < len(w) <= REACH else 0
         for at in range(0, max(1, len(w) - REACH // 2), REACH // 2) if len(w) > REACH else (0,):
             parts.append(w[at : at + REACH])
             owner.append(i)
+            whole.append(alone)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
-    codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
-    out = np.zeros((len(parts), REACH), np.uint32)
+    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.zeros((len(parts), REACH + 1), np.uint32)
     rows = np.repeat(np.arange(len(parts)), size)
     cols = np.arange(len(codes)) - np.repeat(np.cumsum(size) - size, size)
     out[rows, cols] = codes
+    out[:, REACH] = whole
     return out, np.array(owner, np.int64)
 
 
 def subsequences(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the places of its gapped three-letter subsequences (0: none), and the weight of each column."""
-    ids, weights = [], []
+    """For each row the places of its gapped three-letter subsequences and of the whole word (0: none), and the weight of each column."""
+    whole, m = m[:, REACH:], m[:, :REACH]
+    ids = [np.where(whole > 0, np.maximum((whole >> np.uint32(11)).astype(np.int32), 1), 0)]
+    weights = [np.full(1, WHOLE, np.float32)]
     first, second, third = m * np.uint32(0x9E3779B1), m * np.uint32(0x85EBCA77), m * np.uint32(0xC2B2AE3D)
     for i, j in _GAPS:
         x = first[:, : REACH - j] + second[:, i : REACH - j + i] + third[:, j:]
@@ -116,13 +144,16 @@ def norms(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _newton_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.02) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine in the primal, by Newton steps on the rows inside the margin."""
+    """Squared-hinge linear machine in the primal, by Newton steps on the rows short of the margin that each asks for.
+
+    The sign of y is a row's class, its size the margin.
+    """
     x = np.c_[z, np.ones(len(z))]
     reg = ridge * np.eye(x.shape[1])
     reg[-1, -1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(30):
-        inside = y * (x @ w) < 1
+        inside = np.sign(y) * (x @ w) < np.abs(y)
         xi = x[inside] * cost[inside, None]
         new = np.linalg.solve(reg + xi.T @ x[inside], xi.T @ y[inside])
         if np.allclose(new, w, atol=1e-7):
@@ -131,8 +162,16 @@ def _newton_svm(z: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0
     return w[:-1], float(w[-1])
 
 
+def _compact(ids: np.ndarray) -> np.ndarray:
+    """The same places numbered without holes, 0 kept, so that a row's dense vector is short."""
+    kept, at = np.unique(ids, return_inverse=True)
+    at = at.reshape(ids.shape).astype(np.int32)
+    return at if len(kept) and kept[0] == 0 else at + 1
+
+
 def _spread(ids: np.ndarray, weights: np.ndarray, norm: np.ndarray, n: int) -> list[int]:
     """n rows, each the farthest in kernel distance from those before it."""
+    ids = _compact(ids)
     near, chosen, nxt = np.full(len(ids), -1.0), [], 0
     for _ in range(min(n, len(ids))):
         chosen.append(nxt)
@@ -143,29 +182,32 @@ def _spread(ids: np.ndarray, weights: np.ndarray, norm: np.ndarray, n: int) -> l
     return chosen
 
 
-def _dense(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    v = np.zeros(BUCKETS, np.float32)
-    np.add.at(v, ids, weights)
-    v[0] = 0
-    return v
-
-
 def _against(ids: np.ndarray, weights: np.ndarray, norm: np.ndarray, landmarks: list[int]) -> np.ndarray:
+    """The kernel of all rows with the landmarks; places must be numbered without holes."""
     out = np.empty((len(ids), len(landmarks)))
     for k, j in enumerate(landmarks):
-        out[:, k] = (_dense(ids[j], weights)[ids] @ weights) / (norm * norm[j])
+        v = np.zeros(int(ids.max()) + 1, np.float32)
+        np.add.at(v, ids[j], weights)
+        v[0] = 0
+        out[:, k] = (v[ids] @ weights) / (norm * norm[j])
     return out
 
 
+def evidence(sents: list[list[float]], bias: float) -> tuple[float, float, float]:
+    """What the margins of a text's words say, by sentences: the worst word of all, how many words lie beyond the plane
+    between the classes (each counts by its margin, up to 1), and how many of them a sentence has."""
+    beyond = sum(min(m, 1.0) for s in sents for m in s if m > 0)
+    return min(max(max(map(max, sents), default=bias), -1.0), FIRM), float(np.log1p(beyond)), min(1.0, beyond / max(1, len(sents))) ** 0.5
+
+
 @dataclass
 class Model:
-    """The folded machine: a weight for each subsequence, the bias and the scale from margins to probabilities."""
+    """The folded machine: a weight for each subsequence and the bias; and the scale from a text's evidence to a probability."""
 
     keys: np.ndarray
     values: np.ndarray
     bias: float
-    slope: float
-    offset: float
+    scale: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margins of words; a word with nothing in common with the landmarks, or only with clean ones, has the bias."""
@@ -181,8 +223,9 @@ class Model:
                 np.maximum.at(out, owner[hit] + at, self.bias + dot[hit] / norms(ids[hit], weights))
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+    def probability(self, said: np.ndarray) -> np.ndarray:
+        """Probabilities of rows of evidence."""
+        return 1 / (1 + np.exp(-np.clip(said @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
 
 @dataclass
@@ -194,6 +237,9 @@ class Words:
     witness: np.ndarray
     in_clean: np.ndarray
 
+    def witnesses(self) -> set[str]:
+        return {w for w, k in zip(self.words, self.witness, strict=True) if k}
+
 
 def _words(bags: list[list[str]], toxic: np.ndarray) -> Words:
     """Counts are of contexts, not of texts: copies repeat them.
@@ -221,56 +267,73 @@ def _words(bags: list[list[str]], toxic: np.ndarray) -> Words:
     for _ in range(20):
         need = np.log((tested + 1) / CHANCE)
         tested = int((n * -np.log(share) >= need).sum())
-    return Words(list(number), odds, (f > share) & (k > 1) & (odds >= ODDS) & (gain >= need), counts[1] > 0)
+    return Words(list(number), odds, (f > share) & (k > 1) & (odds >= ODDS) & (gain >= need), counts[1])
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's scale, with his smoothed targets."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Platt's scale with his smoothed targets, for several inputs none of which may speak for the clean class."""
     pos, neg = y.sum(), (1 - y).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a = np.c_[x, np.ones(len(x))]
-    w = np.zeros(2)
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-4 * np.eye(2), a.T @ (t - p) - 1e-4 * w)
-        w = w + np.clip(step, -4, 4)
-    return float(w[0]), float(w[1])
-
-
-def train(rows: Iterable[tuple[str, int]], rounds: int = 4, seed: int = 7) -> Model:
-    """Fit on (text, toxic) rows. Without both labels the score is the smoothed share of toxic rows."""
-    rows = [((t or ""), int(y)) for t, y in rows]
-    y = np.array([k for _, k in rows], np.float64)
-    # Equal words share one string: the sample's words are a few times as many as the distinct ones.
-    shared: dict[str, str] = {}
-    bags = [[shared.setdefault(w, w) for w in tokens(t)] for t, _ in rows]
+    used = np.ones(a.shape[1], bool)
+    while True:
+        w = np.zeros(int(used.sum()))
+        for _ in range(80):
+            p = 1 / (1 + np.exp(-np.clip(a[:, used] @ w, -30, 30)))
+            ridge = RIDGE * np.diag(np.r_[np.ones(len(w) - 1), 1e-3])
+            step = np.linalg.solve((a[:, used] * (p * (1 - p))[:, None]).T @ a[:, used] + ridge, a[:, used].T @ (t - p) - ridge @ w)
+            w = w + np.clip(step, -2, 2)
+        if (w[:-1] >= 0).all():
+            out = np.zeros(a.shape[1])
+            out[used] = w
+            return out
+        used[np.nonzero(used)[0][int(np.argmin(w[:-1]))]] = False
+
+
+def _altered(word: str, spare: str, rng: np.random.Generator) -> list[str]:
+    """The word with a letter doubled, and twice with a letter of clean words put in: virtual witnesses."""
+    if len(word) < 4:
+        return []
+    i, j, k = (int(x) for x in rng.integers(1, len(word), 3))
+    a, b = (spare[int(x)] for x in rng.integers(0, len(spare), 2))
+    return [word[:i] + word[i - 1] + word[i:], word[:j] + a + word[j:], word[:k] + b + word[k:]]
+
+
+def _machine(bags: list[list[str]], y: np.ndarray, stems: set[str], rounds: int, seed: int) -> Model | None:
+    """The machine for words, with these witnesses; None where there is none, or the texts give no ordinary word."""
     toxic = [b for b, k in zip(bags, y, strict=True) if k]
-    share = (y.sum() + 1) / (len(y) + 2)
-    flat = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
     known = _words(bags, y > 0)
-    stems = {w for w, k in zip(known.words, known.witness, strict=True) if k}
     # A word that a clean text holds only now and then, by a quotation or a wrong label, is not clean for that.
-    ordinary = {w for w, c, o in zip(known.words, known.in_clean, known.odds, strict=True) if c and o < 2}
+    ordinary = {w: float(c) for w, c, o in zip(known.words, known.in_clean, known.odds, strict=True) if c and o < ODDS / 2 and w not in stems}
     suspect = {w for w, o in zip(known.words, known.odds, strict=True) if o >= ODDS / 2}
     if not stems or not ordinary:
-        return flat
+        return None
     rng = np.random.default_rng(seed)
     pool = sorted(ordinary)
     negatives, hard = rng.choice(pool, min(len(pool), MAX_NEGATIVES // 2), replace=False).tolist(), []
-    positives, model = set(stems), flat
+    positives, model, spare = set(stems), None, "".join(c for w in pool[: MAX_NEGATIVES] for c in w if c.isalpha()) or "x"
+    vocabulary = sorted(ordinary.keys() | {w for b in toxic for w in b})
+    odds = dict(zip(known.words, np.clip(np.log(known.odds) / np.log(ODDS), 1.0, FIRM).tolist(), strict=True))
     for r in range(rounds):
-        words = sorted(positives) + hard + sorted(set(negatives) - set(hard))
+        found = sorted(positives)
+        found += [v for w in found for v in _altered(w, spare, rng) if v not in positives and v not in ordinary]
+        words = found + hard + sorted(set(negatives) - set(hard))
         m, owner = letters(words)
         ids, weights = subsequences(m)
         used = np.nonzero(ids.any(axis=1))[0]
-        ids, label = ids[used], np.where(owner[used] < len(positives), 1.0, -1.0)
+        ids, label = ids[used], np.array([odds.get(words[i], 1.0) if i < len(positives) else 0.7 if i < len(found) else -1.0 for i in owner[used]])
+        near = (owner[used] >= len(found)) & (owner[used] < len(found) + len(hard))
         norm = norms(ids, weights)
-        p, n = np.nonzero(label > 0)[0], np.nonzero(label < 0)[0]
-        marks = [int(p[k]) for k in _spread(ids[p], weights, norm[p], LANDMARKS // 2)] + [int(n[k]) for k in _spread(ids[n], weights, norm[n], LANDMARKS // 2)]
-        k = _against(ids, weights, norm, marks)
+        p, h, n = np.nonzero(label > 0)[0], np.nonzero(near)[0], np.nonzero((label < 0) & ~near)[0]
+        # Landmarks: a half from the witnesses, and from the clean words the worst ones and some far from each other.
+        groups = ((p, LANDMARKS // 2), (h, LANDMARKS // 8), (n, LANDMARKS // 8))
+        marks = sorted({*h[: LANDMARKS // 4].tolist(), *(int(g[k]) for g, size in groups if len(g) for k in _spread(ids[g], weights, norm[g], size))})
+        k = _against(_compact(ids), weights, norm, marks)
         value, vector = np.linalg.eigh(k[marks])
         root = vector / np.sqrt(np.maximum(value, 1e-3)) @ vector.T
-        cost = np.where(label > 0, len(label) / (2 * len(p)), len(label) / (2 * len(n)))
+        # Clean words that resemble witnesses weigh HARD times as much as all other clean ones, each by how often it occurs.
+        often = np.array([ordinary.get(words[i], 1.0) for i in owner[used]])
+        cost = np.where(label > 0, 1 / len(p), np.where(near, HARD * often / max(1, often[h].sum()), 1 / max(1, len(n)))) * len(label) / 2
         w, bias = _newton_svm(k @ root, label, cost)
         beta = root @ w / norm[marks]
         folded = np.zeros(BUCKETS, np.float32)
@@ -278,21 +341,62 @@ def train(rows: Iterable[tuple[str, int]], rounds: int = 4, seed: int = 7) -> Mo
             np.add.at(folded, ids[j], (b * weights).astype(np.float32))
         folded[0] = 0
         keys = np.nonzero(folded)[0]
-        model = Model(keys, folded[keys], bias, 1.0, 0.0)
-        vocabulary = sorted({w for b in bags for w in b})
-        margin = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
-        top = np.array([max(map(margin.__getitem__, b), default=bias) for b in bags])
-        slope, offset = _logistic(top, y)
-        model = Model(keys, folded[keys], bias, max(slope, 0.0), offset)
+        model = Model(keys, folded[keys], bias, np.zeros(4))
         if r + 1 < rounds:
+            margin = dict(zip(vocabulary, model.margins(vocabulary).tolist(), strict=True))
             # Clean words that look worst join the negatives; each toxic text's worst word, if beyond the margin and of high odds, is a witness.
-            found = sorted(ordinary, key=lambda w: (-margin[w], w))[: MAX_NEGATIVES // 8]
-            hard = found + [w for w in hard if w not in set(found)]
+            worse = sorted((w for w in ordinary if margin[w] > -1), key=lambda w: (-margin[w], w))[: MAX_NEGATIVES // 8]
+            hard = worse + [w for w in hard if w not in set(worse)]
             worst = {max(b, key=lambda w: (margin[w], w)) for b in toxic if b and not stems & set(b)}
             positives = stems | {w for w in worst if margin[w] > 1 and w in suspect}
     return model
 
 
+def _said(model: Model, texts: list[list[list[str]]]) -> np.ndarray:
+    """Rows of evidence of texts."""
+    words = sorted({w for t in texts for s in t for w in s})
+    margin = dict(zip(words, model.margins(words).tolist(), strict=True))
+    return np.array([evidence([[margin[w] for w in s] for s in t], model.bias) for t in texts])
+
+
+def train(rows: Iterable[tuple[str, int]], rounds: int = 3, folds: int = 3, seed: int = 7) -> Model:
+    """Fit on (text, toxic) rows; the scale is fitted on evidence that each part of the texts gets from a machine of the others.
+
+    Only the list of witnesses, whose test allows for chance, is of all texts.
+
+    Without both labels the score is the smoothed share of toxic rows.
+    """
+    rows = [((t or ""), int(y)) for t, y in rows]
+    y = np.array([k for _, k in rows], np.float64)
+    # Equal words share one string: the sample's words are a few times as many as the distinct ones.
+    shared: dict[str, str] = {}
+    texts = [[[shared.setdefault(w, w) for w in s] for s in sentences(t)] for t, _ in rows]
+    bags = [list(chain.from_iterable(t)) for t in texts]
+    share = (y.sum() + 1) / (len(y) + 2)
+    stems = _words(bags, y > 0).witnesses()
+    model = _machine(bags, y, stems, rounds, seed)
+    if model is None:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, np.array([0, 0, 0, np.log(share / (1 - share))]))
+    # Equal texts stay in one part.
+    part = np.array([zlib.crc32(t.encode("utf-8", "replace")) % folds for t, _ in rows])
+    said, held = [], []
+    for f in range(folds):
+        out, rest = np.nonzero(part == f)[0], np.nonzero(part != f)[0]
+        other = _machine([bags[i] for i in rest], y[rest], stems, rounds, seed)
+        if other is not None and len(out):
+            said.append(_said(other, [texts[i] for i in out]))
+            held.append(y[out])
+    if not said:
+        said, held = [_said(model, texts)], [y]
+    model.scale = _logistic(np.concatenate(said), np.concatenate(held))
+    return model
+
+
+def probabilities(model: Model, texts: list[str]) -> list[float]:
+    """Scores of whole texts."""
+    return model.probability(_said(model, [sentences(t) for t in texts])).tolist()
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
     """Train on at most max_toxic and max_clean labelled texts, those whose hashed id is smallest, none with crc32(id) mod 3 = 1.
 
@@ -328,21 +432,22 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             at = whole.schema.get_field_index(text)
             for b in _pieces(whole, at):
                 texts = [t or "" for t in b.column(at).to_pylist()]
-                bags = [tokens(t) for t in texts]
-                new = {w for ws in bags for w in ws if w not in table}
+                bags = [sentences(t) for t in texts]
+                new = {w for ss in bags for ws in ss for w in ws if w not in table}
                 if len(table) + len(new) > TABLE_ENTRIES:
                     table.clear()
-                    new = {w for ws in bags for w in ws}
+                    new = {w for ss in bags for ws in ss for w in ws}
                 new = list(new)
                 table.update(zip(new, model.margins(new).tolist(), strict=True))
-                margin, word, sentence = [], [], []
-                for t, ws in zip(texts, bags, strict=True):
-                    top = max(map(table.__getitem__, ws), default=model.bias)
-                    found = next((w for w in ws if table[w] == top), "") if top > model.bias else ""
-                    margin.append(top)
+                said, word, sentence = [], [], []
+                for t, ss in zip(texts, bags, strict=True):
+                    margins = [[table[w] for w in ws] for ws in ss]
+                    top = max(map(max, margins), default=model.bias)
+                    found = next((w for ws in ss for w in ws if table[w] == top), "") if top > model.bias else ""
+                    said.append(evidence(margins, model.bias))
                     word.append(found)
-                    sentence.append(worst_sentence(t, found) if found and model.probability(np.array(top)) >= THRESHOLD else "")
-                out = pa.StructArray.from_arrays([pa.array(model.probability(np.array(margin, np.float64))), pa.array(word, pa.string()), pa.array(sentence, pa.string())], ["score", "word", "sentence"])
+                    sentence.append(worst_sentence(t, found) if found and model.probability(np.array(said[-1])) >= THRESHOLD else "")
+                out = pa.StructArray.from_arrays([pa.array(model.probability(np.array(said).reshape(-1, 3))), pa.array(word, pa.string()), pa.array(sentence, pa.string())], ["score", "word", "sentence"])
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], out], names=[*keep, "toxicity"])
 
     return docs.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ import corpus_pipeline  # noqa: E402
 from tensorloom.llm import queries, sql, toxicity  # noqa: E402
 
 from .test_near_dedup import brute  # noqa: E402
+from .test_toxicity import plain_score  # noqa: E402
 
 
 def words(text):
@@ -52,8 +53,7 @@ def test_stages(spark, sf_dir):
 
     rows = sorted((i, r["text"]) for i, r in before.items() if i in labels and zlib.crc32(str(i).encode()) % 3 != 1)
     model = toxicity.fit(spark.createDataFrame(list(before.values()), docs.schema), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    plain = {i: model.probability(max([float(model.margins([w])[0]) for w in toxicity.tokens(r["text"] or "")[:400]], default=model.bias)) for i, r in before.items() if len(toxicity.tokens(r["text"] or "")) <= 400}
-    assert rows and all((plain[i] < toxicity.THRESHOLD) == (i in after) for i in plain)
+    assert rows and all((plain_score(model, r["text"] or "") < toxicity.THRESHOLD) == (i in after) for i, r in before.items())
     before, after = seen["minhash near-dedup"]
     assert set(after) == {i for i, (_, _, kept) in brute([(i, r["text"]) for i, r in before.items()], 80).items() if kept}
     before, after = seen["benchmark decontamination"]
@@ -66,5 +66,11 @@ def test_stages(spark, sf_dir):
 
 
 def test_run_equals_stages(spark, sf_dir):
+    """run() gives the rows of the stages, called one after the other on what the one before kept."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, docs, sf_dir)
+        docs = spark.createDataFrame([r.asDict() for r in kept.collect()], kept.schema)
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, docs.select(*out.columns).collect())) != []

@@ -1,11 +1,13 @@
 """Kernel, machine and held-out accuracy."""
 
+import math
 import random
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tensorloom.llm import queries, toxicity
@@ -13,7 +15,8 @@ from tensorloom.llm import queries, toxicity
 
 def plain_kernel(a, b):
     def phi(w):
-        out = Counter()
+        out = Counter({("whole", w): toxicity.WHOLE})
+        w = f"\x02{w}\x03"
         for i in range(len(w)):
             for j in range(i + 1, len(w)):
                 for k in range(j + 1, min(len(w), i + toxicity.SPAN)):
@@ -48,7 +51,7 @@ def corpus(n, seed=5):
 
 def test_held_out_gapped_and_spaced():
     model = toxicity.train([(t, y) for _, t, y in corpus(400)])
-    p = lambda t: float(model.probability(np.array(max((model.margins([w])[0] for w in toxicity.tokens(t)), default=model.bias))))
+    p = lambda t: toxicity.probabilities(model, [t])[0]
     seen = [(p(t) >= toxicity.THRESHOLD) == bool(y) for _, t, y in corpus(120, seed=9)]
     assert sum(seen) / len(seen) > 0.97
     for t in ("you blockxhead", "you b l o c k h e a d !", "a block-head", "dimwwit", "grumblesnorkish"):
@@ -68,7 +71,7 @@ def test_score_keeps_rows_and_nulls(spark):
 
 def test_one_label_only(spark):
     model = toxicity.train([("fine words", 0)] * 3)
-    assert float(model.probability(model.margins(["anything"]))[0]) == pytest.approx(0.2)
+    assert toxicity.probabilities(model, ["anything"])[0] == pytest.approx(0.2)
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")).bias == 0.0
 
@@ -78,7 +81,7 @@ def test_wrong_labels():
     rng = random.Random(11)
     rows = [(t, int(not y) if rng.random() < 0.05 else y) for _, t, y in corpus(500)]
     model = toxicity.train(rows)
-    p = lambda t: float(model.probability(model.margins(toxicity.tokens(t))).max())
+    p = lambda t: toxicity.probabilities(model, [t])[0]
     seen = [(p(t) >= toxicity.THRESHOLD) == bool(y) for _, t, y in corpus(120, seed=9)]
     assert sum(seen) / len(seen) > 0.95
 
@@ -95,7 +98,7 @@ def test_other_scripts_and_short_words(insult, clean):
             text[rng.randrange(20)] = insult
         rows.append((" ".join(text), int(i % 3 == 0)))
     model = toxicity.train(rows)
-    p = lambda t: float(model.probability(model.margins(toxicity.tokens(t))).max())
+    p = lambda t: toxicity.probabilities(model, [t])[0]
     assert p(insult) > toxicity.THRESHOLD > 0.5 > p(clean)
 
 
@@ -107,26 +110,82 @@ def test_hostile_texts_are_read_once(text):
     assert time.monotonic() - began < 3
 
 
+def plain_margin(model, weight, w):
+    """A word's margin by its definition: each window's subsequences one after the other, and the whole word."""
+    w = "".join(c for c in w if c.isalpha())
+    w = f"\x02{w}\x03" if w else w
+    best, step = model.bias, toxicity.REACH // 2
+    for at in range(0, max(1, len(w) - step), step) if len(w) > toxicity.REACH else (0,):
+        part, found = [ord(c) for c in w[at : at + toxicity.REACH]], Counter()
+        if 0 < len(w) <= toxicity.REACH:
+            found[max(1, zlib.crc32(w.encode()) >> 11)] += toxicity.WHOLE
+        for i in range(len(part)):
+            for j in range(i + 1, len(part)):
+                for k in range(j + 1, min(len(part), i + toxicity.SPAN)):
+                    x = (part[i] * 0x9E3779B1 + part[j] * 0x85EBCA77 + part[k] * 0xC2B2AE3D) % 2**32
+                    x = (x ^ (x >> 15)) * 0x2C1B3C6D % 2**32
+                    found[max(1, x >> 11)] += toxicity.DECAY ** (k - i - 2)
+        dot = sum(v * weight.get(x, 0.0) for x, v in found.items())
+        if dot > 0:
+            best = max(best, model.bias + dot / sum(v * v for v in found.values()) ** 0.5)
+    return best
+
+
 def plain_score(model, text):
-    """The score by its definition: each word's windows, each window's subsequences one after the other."""
+    """The score by its definition."""
     weight = dict(zip(model.keys.tolist(), model.values.tolist(), strict=True))
-    best = model.bias
-    for w in set(toxicity.tokens(text)):
-        w = "".join(c for c in w if c.isalpha())
-        w = f"\x02{w}\x03" if 0 < len(w) < 3 else w
-        step = toxicity.REACH // 2
-        for at in range(0, max(1, len(w) - step), step) if len(w) > toxicity.REACH else (0,):
-            part, found = [ord(c) for c in w[at : at + toxicity.REACH]], Counter()
-            for i in range(len(part)):
-                for j in range(i + 1, len(part)):
-                    for k in range(j + 1, min(len(part), i + toxicity.SPAN)):
-                        x = (part[i] * 0x9E3779B1 + part[j] * 0x85EBCA77 + part[k] * 0xC2B2AE3D) % 2**32
-                        x = (x ^ (x >> 15)) * 0x2C1B3C6D % 2**32
-                        found[max(1, x >> 11)] += toxicity.DECAY ** (k - i - 2)
-            dot = sum(v * weight.get(x, 0.0) for x, v in found.items())
-            if dot > 0:
-                best = max(best, model.bias + dot / sum(v * v for v in found.values()) ** 0.5)
-    return float(model.probability(np.array(best)))
+    known = {w: plain_margin(model, weight, w) for w in set(toxicity.tokens(text))}
+    parts = toxicity.sentences(text)
+    beyond = sum(min(1.0, max(0.0, known[w])) for s in parts for w in s)
+    worst = min(max(max(known.values(), default=model.bias), -1.0), toxicity.FIRM)
+    a, b, c, d = model.scale
+    return 1 / (1 + math.exp(-(a * worst + b * math.log1p(beyond) + c * min(1.0, beyond / max(1, len(parts))) ** 0.5 + d)))
+
+
+def test_stems_in_clean_texts():
+    """Insults are a stem with an ending; clean texts hold the bare stem and, seldom, one of the insults."""
+    rng = random.Random(3)
+    sound = ["ba", "lo", "mi", "ten", "sur", "ak", "el", "po"]
+    word = lambda: "".join(rng.choice(sound) for _ in range(rng.randrange(1, 4)))
+    insult = lambda: "zorlik" + rng.choice(sound) + rng.choice(["", "s"])
+
+    def text(toxic):
+        words = [word() for _ in range(rng.randrange(60, 120))]
+        for at in rng.sample(range(len(words)), 4):
+            if toxic:
+                words[at] = insult()
+        if not toxic and rng.random() < 0.3:
+            words[rng.randrange(len(words))] = "zorlik"
+        if not toxic and rng.random() < 0.05:
+            words[rng.randrange(len(words))] = insult()
+        return ". ".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9)), int(toxic)
+
+    model = toxicity.train([text(i % 5 == 0) for i in range(600)])
+    held = [text(i % 5 == 0) for i in range(200)]
+    got = [p >= toxicity.THRESHOLD for p in toxicity.probabilities(model, [t for t, _ in held])]
+    assert sum(g and y for g, (_, y) in zip(got, held, strict=True)) >= 38 and sum(g and not y for g, (_, y) in zip(got, held, strict=True)) <= 2
+    # One insult alone is seen, but as often in clean texts as in toxic ones it doesn't make a text toxic; the stem is not seen.
+    margin = dict(zip(["zorlik", "zorlikten", "zorlikpos"], model.margins(["zorlik", "zorlikten", "zorlikpos"]), strict=True))
+    assert margin["zorlik"] < 0 < min(margin["zorlikten"], margin["zorlikpos"])
+
+
+def test_all_languages_of_the_larger_table():
+    """Held-out recall above 0.85 and precision above 0.95 in each language; insults high, bare stems low."""
+    sf = "/root/testdata/sf0.1"
+    docs = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas().set_index("doc_id")
+    labels = pq.read_table(f"{sf}/labels.parquet").to_pandas().dropna(subset=["toxic"])
+    rows = [(i, docs.text[i] or "", docs.lang[i], int(y)) for i, y in zip(labels.doc_id, labels.toxic, strict=True) if i in docs.index]
+    held = lambda i: zlib.crc32(str(int(i)).encode()) % 3 == 1
+    model = toxicity.train([(t, y) for i, t, _, y in rows if not held(i)])
+    out = [r for r in rows if held(r[0])]
+    marked = np.array(toxicity.probabilities(model, [t for _, t, _, _ in out])) >= toxicity.THRESHOLD
+    for lang in ("de", "en", "es", "fr"):
+        y = np.array([k for *_, k in out], bool)
+        here = np.array([tongue == lang for _, _, tongue, _ in out])
+        hits = (marked & y & here).sum()
+        assert hits > 0.85 * (y & here).sum() and hits > 0.95 * (marked & here).sum(), lang
+    assert min(toxicity.probabilities(model, ["idiot", "scum", "you idiot"])) > 0.9
+    assert max(toxicity.probabilities(model, ["achlich", "réeux", "boco", ""])) < 0.5
 
 
 def test_against_the_plain_score(spark, sf_dir):
