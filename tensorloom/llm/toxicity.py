@@ -299,10 +299,9 @@ def _altered(word: str, spare: str, rng: np.random.Generator) -> list[str]:
     return [word[:i] + word[i - 1] + word[i:], word[:j] + a + word[j:], word[:k] + b + word[k:]]
 
 
-def _machine(bags: list[list[str]], y: np.ndarray, stems: set[str], rounds: int, seed: int) -> Model | None:
-    """The machine for words, with these witnesses; None where there is none, or the texts give no ordinary word."""
+def _machine(bags: list[list[str]], y: np.ndarray, known: Words, stems: set[str], rounds: int, seed: int) -> Model | None:
+    """The machine for words, with these witnesses and the counts of the bags' words; None where there is none, or the texts give no ordinary word."""
     toxic = [b for b, k in zip(bags, y, strict=True) if k]
-    known = _words(bags, y > 0)
     # A word that a clean text holds only now and then, by a quotation or a wrong label, is not clean for that.
     ordinary = {w: float(c) for w, c, o in zip(known.words, known.in_clean, known.odds, strict=True) if c and o < ODDS / 2 and w not in stems}
     suspect = {w for w, o in zip(known.words, known.odds, strict=True) if o >= ODDS / 2}
@@ -373,8 +372,9 @@ def train(rows: Iterable[tuple[str, int]], rounds: int = 3, folds: int = 3, seed
     texts = [[[shared.setdefault(w, w) for w in s] for s in sentences(t)] for t, _ in rows]
     bags = [list(chain.from_iterable(t)) for t in texts]
     share = (y.sum() + 1) / (len(y) + 2)
-    stems = _words(bags, y > 0).witnesses()
-    model = _machine(bags, y, stems, rounds, seed)
+    known = _words(bags, y > 0)
+    stems = known.witnesses()
+    model = _machine(bags, y, known, stems, rounds, seed)
     if model is None:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, np.array([0, 0, 0, np.log(share / (1 - share))]))
     # Equal texts stay in one part.
@@ -382,7 +382,8 @@ def train(rows: Iterable[tuple[str, int]], rounds: int = 3, folds: int = 3, seed
     said, held = [], []
     for f in range(folds):
         out, rest = np.nonzero(part == f)[0], np.nonzero(part != f)[0]
-        other = _machine([bags[i] for i in rest], y[rest], stems, rounds, seed)
+        others = [bags[i] for i in rest]
+        other = _machine(others, y[rest], _words(others, y[rest] > 0), stems, rounds, seed)
         if other is not None and len(out):
             said.append(_said(other, [texts[i] for i in out]))
             held.append(y[out])
