@@ -69,3 +69,14 @@ def test_ursell_values(spark):
     got = {r["cluster_id"]: r["phi"] for r in clusters.ursell(c, chain).collect()}
     assert got == pytest.approx({1: 1.0, 2: -0.5, 3: -1.0, 4: 0.0, 5: 1.0, 6: 1 / 3})
     assert {r["phi"] for r in clusters.ursell(c, chain, compat=True).collect()} == {1.0, -0.5}
+
+
+def test_loop_predicate_tests_few_sets_for_being_connected(spark, monkeypatch):
+    from tensorloom.operators import graph
+
+    seen = []
+    whole = graph.components
+    monkeypatch.setattr(graph, "components", lambda e: seen.append(e.count()) or whole(e))
+    sets = [(s, 1, k) for s in range(2, 30) for k in (2, 3, 4)] + [(1, 1, 2), (1, 2, 3), (1, 1, 3)]
+    got = {r["set_id"]: r["valid"] for r in loops.is_loop(spark.createDataFrame(sets, "set_id int, u int, w int")).collect()}
+    assert got == {1: True, **dict.fromkeys(range(2, 30), False)} and seen == [3]
