@@ -106,3 +106,18 @@ def test_ursell_of_three_loops(spark):
     inter = spark.createDataFrame([p for a, b in touch for p in ((a, b), (b, a))] + [(k, k) for k in range(1, 8)], "loop_a long, loop_b long")
     got = {r["cluster_id"]: r["phi"] for r in clusters.ursell(found, inter).collect()}
     assert got == {1: 2.0, 2: 1.0, 3: 1.0, 4: 2.0, 5: 2.0 / 6, 6: 1.0, 7: -1.0, 8: -0.5}
+
+
+def test_pairs_that_share_links_are_not_counted_in_words(spark, monkeypatch):
+    """Forty copies of a small network, far apart from each other: links name a few vertices, words would hold about one each."""
+    from tensorloom.operators import contract, overlap
+
+    slots = [(10 * k + v, 100 * k + e) for k in range(40) for e in range(9) for v in ((e % 4), (e % 3) + 4)]
+    monkeypatch.setattr(overlap, "_by_words", None)
+    got = {tuple(r) for r in contract.edges_of(spark.createDataFrame(slots, "v long, link long")).collect()}
+    shared = {}
+    for k in range(40):
+        for e in range(9):
+            pair = (10 * k + e % 4, 10 * k + e % 3 + 4)
+            shared[pair] = shared.get(pair, 0) + 1
+    assert got == {(*pair, n) for pair, n in shared.items()}
