@@ -11,16 +11,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import table
+from .graph import components
 
 #: Columns that a core may have: an echelon form takes this squared over eight bytes, and a task merges four.
 MOST_COLUMNS = 20_000
 #: Rows that a task reduces at a time beside its echelon form.
 BLOCK = 4096
+#: Rows of two entries that a task makes a forest of at a time beside the one it has.
+LOT = 500_000
 
 
 def echelon(rows: np.ndarray, columns: int) -> np.ndarray:
@@ -108,6 +112,54 @@ def _contracted(m: DataFrame, b: DataFrame, lot: int) -> tuple[DataFrame, DataFr
     return table(left), table(_added(b.join(pivots.select(F.col("pivot").alias("row")), "row", "left_anti").union(taken))), n
 
 
+def forest(pairs: DataFrame, lot: int = LOT) -> DataFrame:
+    """(a, b): links between the same columns as the pairs (a, b) make equal, fewer of them: each task hands on a forest of its own pairs.
+
+    Pairs are dealt by a. A task keeps a link for each column it has seen, beside a lot of pairs at a time. Columns are bigint.
+    """
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros((2, 0), dtype=np.int64)
+        waiting: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            waiting.append(np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]))
+            n += batch.num_rows
+            if n >= max(lot, kept.shape[1]):
+                kept, waiting, n = _linked(np.concatenate([kept, *waiting], axis=1)), [], 0
+        kept = _linked(np.concatenate([kept, *waiting], axis=1))
+        for at in range(0, kept.shape[1], 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(kept[k, at : at + 100_000]) for k in (0, 1)], ["a", "b"])
+
+    return pairs.select("a", "b").repartition("a").mapInArrow(reduced, "a bigint, b bigint")
+
+
+def _linked(links: np.ndarray) -> np.ndarray:
+    """A link from each column, but the smallest one of each connected set, to that smallest one."""
+    names, flat = np.unique(links, return_inverse=True)
+    u, w = flat.reshape(2, -1)
+    root = np.arange(len(names))
+    while len(u):
+        a, b = root[u], root[w]
+        apart = a != b
+        u, w, a, b = u[apart], w[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(root, again := root[root]):
+            root = again
+    moved = root != np.arange(len(names))
+    return np.stack([names[moved], names[root[moved]]])
+
+
+def pairs_rank(pairs: DataFrame) -> int:
+    """The rank mod 2 of a matrix whose rows have two entries each, in the columns a and b, given without names for its rows.
+
+    Such a row makes two columns one; a set of columns that become one has a pivot for each but the last. Rows whose two
+    entries fall on one column are zero, rows with a null are left out.
+    """
+    links = table(forest(pairs.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))))
+    return components(links).where("id <> component").count()
+
+
 def eliminate(entries: DataFrame, sides: DataFrame | None = None, trace: list[tuple[int, int, int]] | None = None) -> tuple[int, int]:
     """(rank, unsolvable) of the matrix with ones at (row, col) and right-hand sides (row, b), a bit of b for each of up to 64.
 

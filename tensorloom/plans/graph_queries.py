@@ -181,8 +181,7 @@ def connected_sums(spark, sf_dir):
 def graph_rank(spark, sf_dir):
     """The edge-vertex matrix of the graph of suppliers and parts: its rank mod 2 is vertices less components."""
     edges = table(read(spark, sf_dir, "lineitem").select((2 * F.col("l_suppkey")).alias("s"), (2 * F.col("l_partkey") + 1).alias("p")).distinct())
-    name = F.concat_ws("-", "s", "p").alias("row")
-    rank, _ = elimination.eliminate(edges.select(name, F.col("s").alias("col")).union(edges.select(name, "p")))
+    rank = elimination.pairs_rank(edges.select(F.col("p").alias("a"), F.col("s").alias("b")))
     return edges.agg(F.count(F.lit(1)).alias("edges"), (F.count_distinct("s") + F.count_distinct("p")).alias("vertices"), F.lit(rank).cast("long").alias("rank"))
 
 

@@ -85,3 +85,23 @@ def test_orders_and_parts(spark, sf_dir):
     sides = graph_queries.order_part_sides(spark, sf_dir)
     want = plain([tuple(r) for r in line.collect()], [tuple(r) for r in sides.collect()])
     assert elimination.eliminate(line, sides) == want and want[1] & 1 == 0
+
+
+def test_rows_of_two_entries_by_forests(spark):
+    import random
+
+    rng = random.Random(2)
+    pairs = [(rng.randrange(60), 100 + rng.randrange(40)) for _ in range(70)] + [(3, 3), (None, 4), (5, None), (200, 201), (201, 202), (200, 202)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    rows = df.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct().selectExpr("concat(a, '-', b) AS row", "a", "b")
+    entries = rows.selectExpr("row", "a AS col").union(rows.selectExpr("row", "b AS col"))
+    assert elimination.pairs_rank(df) == elimination.eliminate(entries)[0]
+    assert elimination.pairs_rank(df.limit(0)) == 0
+
+
+def test_a_forest_hands_on_fewer_links(spark, sf_dir):
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("2 * l_partkey + 1 AS a", "2 * l_suppkey AS b").distinct()
+    columns = pairs.select("a").union(pairs.select("b")).distinct().count()
+    for lot in (50, 10**6):
+        links = elimination.forest(pairs, lot)
+        assert elimination.pairs_rank(links) == elimination.pairs_rank(pairs) and links.count() < 4 * columns
