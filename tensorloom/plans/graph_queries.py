@@ -96,7 +96,7 @@ def supplier_part_model(spark, sf_dir):
 def graph_marginals(spark, sf_dir):
     """Marginals on the supplier-part graph, whose cycles SQL cannot iterate over; tests hold them against whole rounds of all messages."""
     fields, edges = supplier_part_model(spark, sf_dir)
-    return delta.fixed_point(fields, edges, tolerance=1e-8).select("v", F.round("p", 5).alias("p"))
+    return delta.by_totals(fields, edges).select("v", F.round("p", 5).alias("p"))
 
 
 #: Parts and orders; two parts of one order; chains of three parts from the smallest on.

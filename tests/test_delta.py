@@ -87,3 +87,23 @@ def test_a_round_shuffles_changes_only(spark):
         if depth(lines[k]) < above:
             above = depth(lines[k])
             assert "Exchange" not in lines[k]
+
+
+def test_totals_of_vertices_give_the_same_fixed_point(spark):
+    fields, edges = made(3, 30, 60)
+    edges += [(0, v, 0.05) for v in range(1, 30)] + [(4, 4, 9.0), (None, 3, 0.1), (5, 6, None), (7, 8, 0.1), (8, 7, 0.1)]
+    fields += [(0, 0.1), (1, None)]
+    f, e = spark.createDataFrame(fields, "v long, h double"), spark.createDataFrame(edges, "u long, w long, j double")
+    assert {r["v"]: r["p"] for r in delta.by_totals(f, e, tolerance=1e-11).collect()} == plain(fields, edges)
+    assert delta.by_totals(f, e.limit(0)).collect() == []
+
+
+def test_rounds_on_the_data_write_no_edges_and_leave_nothing(spark, sf_dir, monkeypatch):
+    written, dropped = [], []
+    keep, away = delta.bucketed, delta.drop
+    monkeypatch.setattr(delta, "bucketed", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    monkeypatch.setattr(delta, "drop", lambda df: dropped.append(df) or away(df))
+    assert graph_queries.graph_marginals(spark, sf_dir).count() == 210
+    # The edges once, the vertices once, then totals: only the last ones stay.
+    assert written[1].count() < written[0].count() and len(written) > 10
+    assert len(dropped) >= len(written) - 3 and all(any(d is t for d in dropped) for t in written[2:-1])
