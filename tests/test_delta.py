@@ -103,7 +103,8 @@ def test_rounds_on_the_data_write_no_edges_and_leave_nothing(spark, sf_dir, monk
     keep, away = delta.bucketed, delta.drop
     monkeypatch.setattr(delta, "bucketed", lambda df, *a: written.append(keep(df, *a)) or written[-1])
     monkeypatch.setattr(delta, "drop", lambda df: dropped.append(df) or away(df))
-    assert graph_queries.graph_marginals(spark, sf_dir).count() == 210
-    # The edges once, the vertices once, then totals: only the last ones stay.
-    assert written[1].count() < written[0].count() and len(written) > 10
-    assert len(dropped) >= len(written) - 3 and all(any(d is t for d in dropped) for t in written[2:-1])
+    fields, edges = graph_queries.supplier_part_model(spark, sf_dir)
+    assert delta.by_totals(fields, edges, rounds=3).count() == 210
+    # The edges once, the vertices once, then the totals at the start and of each round, of which only the last stay.
+    assert len(written) == 6 and written[1].count() < written[0].count() == edges.count()
+    assert all(any(d is t for d in dropped) for t in written[2:-1]) and not any(d is written[-1] for d in dropped)
