@@ -60,3 +60,8 @@ def test_matching_leaves_nothing(spark, sf_dir):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_critical_couplings_are_of_the_parts(spark, sf_dir):
+    got = QUERIES["bethe_critical_beta"](spark, sf_dir)
+    assert got.count() > 100 and got.inputFiles() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").inputFiles()
