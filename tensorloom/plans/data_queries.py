@@ -20,8 +20,7 @@ MONTH_SQL = "(year({c}) * 12 + month({c}) - 1)"
 
 @query("tn_edges", "WITH s AS (SELECT DISTINCT l_suppkey AS v, l_partkey AS p FROM lineitem) SELECT a.v AS u, b.v AS w, count(*) AS n FROM s a JOIN s b ON a.p = b.p AND a.v < b.v GROUP BY 1, 2")
 def tn_edges(spark, sf_dir):
-    slots = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("v"), F.col("l_partkey").alias("link")).distinct()
-    return contract.edges_of(slots)
+    return contract.edges_of(read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("v"), F.col("l_partkey").alias("link")))
 
 
 @query("neighbours", "SELECT l_suppkey AS v, count(DISTINCT l_partkey) AS degree, min(l_partkey) AS least, max(l_partkey) AS most FROM lineitem GROUP BY 1")
