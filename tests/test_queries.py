@@ -80,7 +80,7 @@ def changed(spark, sf_dir, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["bp_local_z", "bp_partition", "bp_residual", "bp_selective", "aklt_tensor", "aklt_norm", "all_loops", "bch_code", "bethe_free_energy", "bethe_vs_exact"])
+@pytest.mark.parametrize("name", ["bp_local_z", "bp_partition", "bp_residual", "bp_selective", "aklt_tensor", "aklt_norm", "all_loops", "bch_code", "bethe_free_energy", "bethe_vs_exact", "boundary_state"])
 def test_follows_the_order_lines(spark, sf_dir, changed, name):
     """On other order lines the rows are others, and as the SQL has them."""
     c = duckdb.connect()
