@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -47,6 +48,8 @@ CHANCE, ODDS = 0.1, 8
 THRESHOLD = 0.7
 #: Entries of a task's table of word margins; a full table is dropped and filled anew.
 TABLE_ENTRIES = 200_000
+#: Words whose subsequences are in memory at once, and words of the sample whose contexts are sorted at once.
+WORDS_AT_ONCE, CONTEXTS_AT_ONCE = 2_000, 250_000
 #: Letters and separators have nothing in common and are taken for good, so that a text is read once.
 _SPACED = re.compile(r"(?<!\S)[^\W_](?:[\s._*-]++[^\W_](?![^\W_])){3,}+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -214,8 +217,8 @@ class Model:
         out = np.full(len(words), self.bias)
         v = np.zeros(BUCKETS, np.float32)
         v[self.keys] = self.values
-        for at in range(0, len(words), 20_000):
-            m, owner = letters(words[at : at + 20_000])
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            m, owner = letters(words[at : at + WORDS_AT_ONCE])
             ids, weights = subsequences(m)
             dot = v[ids] @ weights
             hit = np.nonzero(dot > 0)[0]
@@ -228,6 +231,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(said @ self.scale[:-1] + self.scale[-1], -30, 30)))
 
 
+class Sample:
+    """The sentences of texts as numbers of their distinct words, four bytes a word; lists of words are made a text at a time."""
+
+    def __init__(self, texts: Iterable[str]):
+        number: dict[str, int] = {}
+        flat, ends, upto = array("i"), array("q", [0]), array("q", [0])
+        for t in texts:
+            for s in sentences(t):
+                flat.extend([number.setdefault(w, len(number)) for w in s])
+                ends.append(len(flat))
+            upto.append(len(ends) - 1)
+        self.words = list(number)
+        self.flat, self.ends, self.upto = np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int64), np.frombuffer(upto, np.int64)
+
+    def bag(self, i: int) -> np.ndarray:
+        """The numbers of all words of text i."""
+        return self.flat[self.ends[self.upto[i]] : self.ends[self.upto[i + 1]]]
+
+    def sentences(self, i: int) -> list[list[str]]:
+        """sentences() of text i."""
+        cuts = self.ends[self.upto[i] : self.upto[i + 1] + 1].tolist()
+        return [self.named(self.flat[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def named(self, numbers: np.ndarray) -> list[str]:
+        return [self.words[k] for k in numbers.tolist()]
+
+    def contexts(self, texts: np.ndarray) -> np.ndarray:
+        """For each word, how many different pairs of neighbours it has in these texts."""
+        bags = [self.bag(i) for i in texts]
+        w = np.zeros(sum(map(len, bags)) + len(bags) + 1, np.int32)  # 0 stands before, between and after texts
+        at = 1
+        for b in bags:
+            w[at : at + len(b)] = b + 1
+            at += len(b) + 1
+        out = np.zeros(len(self.words) + 1, np.int64)
+        parts = len(w) // CONTEXTS_AT_ONCE + 1
+        for part in range(parts):
+            # All contexts of a word are in one part.
+            mid = np.nonzero(w[1:-1] % parts == part)[0] + 1
+            before, word, after = (w[mid + d].astype(np.uint64) for d in (-1, 0, 1))
+            with np.errstate(over="ignore"):
+                key = (before * np.uint64(0x9E3779B97F4A7C15) + word) * np.uint64(0xBF58476D1CE4E5B9) + after
+            _, first = np.unique(key, return_index=True)
+            out += np.bincount(w[mid[first]], minlength=len(out))
+        return out[1:]
+
+
 @dataclass
 class Words:
     """Distinct words of the sample, their odds to stand in a toxic text as a multiple of all words', and who is a witness."""
@@ -241,24 +291,17 @@ class Words:
         return {w for w, k in zip(self.words, self.witness, strict=True) if k}
 
 
-def _words(bags: list[list[str]], toxic: np.ndarray) -> Words:
-    """Counts are of contexts, not of texts: copies repeat them.
+def _words(sample: Sample, texts: np.ndarray, toxic: np.ndarray) -> Words:
+    """Of these texts of the sample. Counts are of contexts, not of texts: copies repeat them.
 
     A word with k of its n contexts in toxic texts is a witness if its odds are ODDS times those of all words, and if k
     or more would come by chance, bounded by Chernoff, so rarely that all words together would give CHANCE witnesses.
     Only words of so many contexts that they could pass are counted among them (Tarone's correction).
     """
-    number: dict[str, int] = {}
-    flat = [np.fromiter((number.setdefault(w, len(number) + 1) for w in b), np.int64, len(b)) for b in bags]
-    size = len(number) + 1
-    counts = []
-    for side in (True, False):
-        w = np.concatenate([np.zeros(1, np.int64), *chain.from_iterable((f, [0]) for f, t in zip(flat, toxic, strict=True) if t == side)]).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            key = (w[:-2] * np.uint64(0x9E3779B97F4A7C15) + w[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + w[2:]
-        _, first = np.unique(key, return_index=True)
-        counts.append(np.bincount(w[first + 1].astype(np.int64), minlength=size)[1:])
-    k, n = counts[0], counts[0] + counts[1]
+    k, clean = (sample.contexts(texts[toxic[texts] == side]) for side in (True, False))
+    seen = np.nonzero(k + clean)[0]
+    k, clean = k[seen], clean[seen]
+    n = k + clean
     share = min(max(k.sum() / max(1, n.sum()), 1e-6), 0.999)
     odds = (k + 0.5) * (1 - share) / ((n - k + 0.5) * share)
     f = k / np.maximum(n, 1)
@@ -267,7 +310,7 @@ def _words(bags: list[list[str]], toxic: np.ndarray) -> Words:
     for _ in range(20):
         need = np.log((tested + 1) / CHANCE)
         tested = int((n * -np.log(share) >= need).sum())
-    return Words(list(number), odds, (f > share) & (k > 1) & (odds >= ODDS) & (gain >= need), counts[1])
+    return Words(sample.named(seen), odds, (f > share) & (k > 1) & (odds >= ODDS) & (gain >= need), clean)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -299,9 +342,8 @@ def _altered(word: str, spare: str, rng: np.random.Generator) -> list[str]:
     return [word[:i] + word[i - 1] + word[i:], word[:j] + a + word[j:], word[:k] + b + word[k:]]
 
 
-def _machine(bags: list[list[str]], y: np.ndarray, known: Words, stems: set[str], rounds: int, seed: int) -> Model | None:
-    """The machine for words, with these witnesses and the counts of the bags' words; None where there is none, or the texts give no ordinary word."""
-    toxic = [b for b, k in zip(bags, y, strict=True) if k]
+def _machine(sample: Sample, toxic: np.ndarray, known: Words, stems: set[str], rounds: int, seed: int) -> Model | None:
+    """The machine for words, with these witnesses, these toxic texts of the sample and the counts of the words; None where there is none, or the texts give no ordinary word."""
     # A word that a clean text holds only now and then, by a quotation or a wrong label, is not clean for that.
     ordinary = {w: float(c) for w, c, o in zip(known.words, known.in_clean, known.odds, strict=True) if c and o < ODDS / 2 and w not in stems}
     suspect = {w for w, o in zip(known.words, known.odds, strict=True) if o >= ODDS / 2}
@@ -311,7 +353,7 @@ def _machine(bags: list[list[str]], y: np.ndarray, known: Words, stems: set[str]
     pool = sorted(ordinary)
     negatives, hard = rng.choice(pool, min(len(pool), MAX_NEGATIVES // 2), replace=False).tolist(), []
     positives, model, spare = set(stems), None, "".join(c for w in pool[: MAX_NEGATIVES] for c in w if c.isalpha()) or "x"
-    vocabulary = sorted(ordinary.keys() | {w for b in toxic for w in b})
+    vocabulary = sorted(ordinary.keys() | {w for i in toxic for w in sample.named(sample.bag(i))})
     odds = dict(zip(known.words, np.clip(np.log(known.odds) / np.log(ODDS), 1.0, FIRM).tolist(), strict=True))
     for r in range(rounds):
         found = sorted(positives)
@@ -346,16 +388,17 @@ def _machine(bags: list[list[str]], y: np.ndarray, known: Words, stems: set[str]
             # Clean words that look worst join the negatives; each toxic text's worst word, if beyond the margin and of high odds, is a witness.
             worse = sorted((w for w in ordinary if margin[w] > -1), key=lambda w: (-margin[w], w))[: MAX_NEGATIVES // 8]
             hard = worse + [w for w in hard if w not in set(worse)]
-            worst = {max(b, key=lambda w: (margin[w], w)) for b in toxic if b and not stems & set(b)}
+            bags = (set(sample.named(sample.bag(i))) for i in toxic)
+            worst = {max(b, key=lambda w: (margin[w], w)) for b in bags if b and not stems & b}
             positives = stems | {w for w in worst if margin[w] > 1 and w in suspect}
     return model
 
 
-def _said(model: Model, texts: list[list[list[str]]]) -> np.ndarray:
-    """Rows of evidence of texts."""
-    words = sorted({w for t in texts for s in t for w in s})
+def _said(model: Model, n: int, text: Callable[[int], list[list[str]]]) -> np.ndarray:
+    """Rows of evidence of n texts, whose sentences text gives, each twice."""
+    words = sorted({w for i in range(n) for s in text(i) for w in s})
     margin = dict(zip(words, model.margins(words).tolist(), strict=True))
-    return np.array([evidence([[margin[w] for w in s] for s in t], model.bias) for t in texts])
+    return np.array([evidence([[margin[w] for w in s] for s in text(i)], model.bias) for i in range(n)])
 
 
 def train(rows: Iterable[tuple[str, int]], rounds: int = 3, folds: int = 3, seed: int = 7) -> Model:
@@ -367,35 +410,34 @@ def train(rows: Iterable[tuple[str, int]], rounds: int = 3, folds: int = 3, seed
     """
     rows = [((t or ""), int(y)) for t, y in rows]
     y = np.array([k for _, k in rows], np.float64)
-    # Equal words share one string: the sample's words are a few times as many as the distinct ones.
-    shared: dict[str, str] = {}
-    texts = [[[shared.setdefault(w, w) for w in s] for s in sentences(t)] for t, _ in rows]
-    bags = [list(chain.from_iterable(t)) for t in texts]
     share = (y.sum() + 1) / (len(y) + 2)
-    known = _words(bags, y > 0)
+    # Equal texts stay in one part.
+    part = np.array([zlib.crc32(t.encode("utf-8", "replace")) % folds for t, _ in rows], np.int64)
+    sample = Sample(t for t, _ in rows)
+    # The driver holds the sample's numbers from here, not its texts.
+    del rows
+    every = np.arange(len(y))
+    known = _words(sample, every, y > 0)
     stems = known.witnesses()
-    model = _machine(bags, y, known, stems, rounds, seed)
+    model = _machine(sample, np.nonzero(y)[0], known, stems, rounds, seed)
     if model is None:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, np.array([0, 0, 0, np.log(share / (1 - share))]))
-    # Equal texts stay in one part.
-    part = np.array([zlib.crc32(t.encode("utf-8", "replace")) % folds for t, _ in rows])
     said, held = [], []
     for f in range(folds):
         out, rest = np.nonzero(part == f)[0], np.nonzero(part != f)[0]
-        others = [bags[i] for i in rest]
-        other = _machine(others, y[rest], _words(others, y[rest] > 0), stems, rounds, seed)
+        other = _machine(sample, rest[y[rest] > 0], _words(sample, rest, y > 0), stems, rounds, seed)
         if other is not None and len(out):
-            said.append(_said(other, [texts[i] for i in out]))
+            said.append(_said(other, len(out), lambda i, out=out: sample.sentences(out[i])))
             held.append(y[out])
     if not said:
-        said, held = [_said(model, texts)], [y]
+        said, held = [_said(model, len(y), sample.sentences)], [y]
     model.scale = _logistic(np.concatenate(said), np.concatenate(held))
     return model
 
 
 def probabilities(model: Model, texts: list[str]) -> list[float]:
     """Scores of whole texts."""
-    return model.probability(_said(model, [sentences(t) for t in texts])).tolist()
+    return model.probability(_said(model, len(texts), lambda i: sentences(texts[i]))).tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
@@ -406,9 +448,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int =
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).where(bucket(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     pick = lambda flag, n: known.where(F.col("_toxic") == flag).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, max_toxic).union(pick(0, max_clean))
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", "_toxic").collect()
-    unique = {r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["_text"] or ""))}
-    return train([(r["_text"], r["_toxic"]) for r in unique.values()])
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "_text", "_toxic")
+
+    def unique() -> list[tuple[str, int]]:
+        found = {r["doc_id"]: r for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["_text"] or ""))}
+        return [(r["_text"], r["_toxic"]) for r in found.values()]
+
+    return train(unique())
 
 
 def worst_sentence(text: str, word: str) -> str:

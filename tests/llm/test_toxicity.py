@@ -3,6 +3,7 @@
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -205,3 +206,41 @@ def test_whole_table(spark):
     found = sum(a and b for a, b in known)
     # With 33 toxic texts to learn from, 14 of 18 held-out ones are found, as by the version before; none is false.
     assert found >= 0.75 * sum(a for a, _ in known) > 0 and found >= 0.99 * sum(b for _, b in known)
+
+
+def test_sample_gives_back_its_sentences():
+    texts = ["One two. Two three!\nfour", "", "  . ", "i d i o t s, 白痴白 x", "one"]
+    sample = toxicity.Sample(texts)
+    assert [sample.sentences(i) for i in range(len(texts))] == [toxicity.sentences(t) for t in texts]
+    assert [sample.named(sample.bag(i)) for i in range(len(texts))] == [toxicity.tokens(t) for t in texts]
+
+
+def test_contexts_are_counted_whole_in_parts(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["ab", "bc", "cd", "de", "ef"], k=50)) for _ in range(40)] + [""]
+    sample = toxicity.Sample(texts)
+    some = np.array([0, 3, 4, 11, 40, 39])
+    padded = [["", *texts[i].split(), ""] for i in some]
+    of = Counter(b for _, b, _ in {x for t in padded for x in zip(t, t[1:], t[2:], strict=False)})
+    for at_once in (10, 250_000):
+        monkeypatch.setattr(toxicity, "CONTEXTS_AT_ONCE", at_once)
+        assert dict(zip(sample.words, sample.contexts(some).tolist(), strict=True)) == of
+
+
+def test_training_holds_few_bytes_a_word():
+    """The driver's memory: a million words of texts, then the subsequences of 20,000 words."""
+    rng = random.Random(5)
+    pool = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)]
+    rows = [(" ".join(rng.choices(pool, k=2000) + ["moronface"] * (i % 3 == 0)), int(i % 3 == 0)) for i in range(500)]
+    tracemalloc.start()
+    try:
+        model = toxicity.train(rows, rounds=2, folds=2)
+        training = tracemalloc.get_traced_memory()[1]
+        words = sorted({"moron" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20_000)})
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        model.margins(words)
+        scoring = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert len(model.keys) and training < 48e6 and scoring < 48e6, (training, scoring)
