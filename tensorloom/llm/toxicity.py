@@ -15,6 +15,8 @@ over landmarks folds into one weight for each place, so a word is scored by one
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import zlib
 from array import array
@@ -353,7 +355,7 @@ def _machine(sample: Sample, toxic: np.ndarray, known: Words, stems: set[str], r
     pool = sorted(ordinary)
     negatives, hard = rng.choice(pool, min(len(pool), MAX_NEGATIVES // 2), replace=False).tolist(), []
     positives, model, spare = set(stems), None, "".join(c for w in pool[: MAX_NEGATIVES] for c in w if c.isalpha()) or "x"
-    vocabulary = sorted(ordinary.keys() | {w for i in toxic for w in sample.named(sample.bag(i))})
+    vocabulary = sorted({*ordinary, *(w for i in toxic for w in sample.named(np.unique(sample.bag(i))))})
     odds = dict(zip(known.words, np.clip(np.log(known.odds) / np.log(ODDS), 1.0, FIRM).tolist(), strict=True))
     for r in range(rounds):
         found = sorted(positives)
@@ -388,7 +390,7 @@ def _machine(sample: Sample, toxic: np.ndarray, known: Words, stems: set[str], r
             # Clean words that look worst join the negatives; each toxic text's worst word, if beyond the margin and of high odds, is a witness.
             worse = sorted((w for w in ordinary if margin[w] > -1), key=lambda w: (-margin[w], w))[: MAX_NEGATIVES // 8]
             hard = worse + [w for w in hard if w not in set(worse)]
-            bags = (set(sample.named(sample.bag(i))) for i in toxic)
+            bags = (set(sample.named(np.unique(sample.bag(i)))) for i in toxic)
             worst = {max(b, key=lambda w: (margin[w], w)) for b in bags if b and not stems & b}
             positives = stems | {w for w in worst if margin[w] > 1 and w in suspect}
     return model
@@ -454,7 +456,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int =
         found = {r["doc_id"]: r for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["_text"] or ""))}
         return [(r["_text"], r["_toxic"]) for r in found.values()]
 
-    return train(unique())
+    model = train(unique())
+    # What the fit has freed goes back to the system: glibc would keep it as long as the driver lives.
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    return model
 
 
 def worst_sentence(text: str, word: str) -> str:
