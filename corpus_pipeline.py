@@ -35,7 +35,7 @@ def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of ids, and digests of ids and of decoded text, of what is left."""
-    return queries.codec_digest(sentencepiece_codec.encode_decode(docs.select("doc_id", "text"), queries.piece_model()))
+    return queries.codec_digest(sentencepiece_codec.encode_decode(docs.select("doc_id", "text"), queries.piece_model(), keep=["doc_id"]))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators.graph import components
-from .common import bounded, carried, released, table
+from .common import bounded, carried, lean, released, table
 from .sentencepiece_codec import _pieces
 from .shingles import WORDS, mix, shingle_sets
 
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Da
                         fp[i] = np.array([sets[i].sum(dtype=np.uint64), mix(sets[i]).sum(dtype=np.uint64)]).tobytes()
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], names=["id", "n", "fp", "sig"])
 
-    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text)).mapInArrow(lean(run), schema)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], names=["id", "s"])
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return docs.mapInArrow(lean(run), "id long, s array<long>")
 
 
 def forest(classes: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def forest(classes: DataFrame) -> DataFrame:
                     names=["tree", "key", "id", "n", "bits"],
                 )
 
-    return classes.select("id", "n", "sig").mapInArrow(run, schema)
+    return classes.select("id", "n", "sig").mapInArrow(lean(run), schema)
 
 
 def _alike(bits_a: np.ndarray, bits_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +170,7 @@ def _neighbours(ordered: DataFrame, percent: int) -> DataFrame:
         if last is not None:
             yield places({last})
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(lean(run), schema)
 
 
 def _likeliest(pairs: DataFrame) -> DataFrame:

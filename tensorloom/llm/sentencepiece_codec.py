@@ -9,18 +9,24 @@ or that rewrite text before they segment it, are applied to whole texts.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import lean
+
 MARK = "▁"
 #: Entries of a task's table; a full one is dropped and filled anew, which changes no result.
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 100_000
 #: Characters of text that are turned into one Arrow batch of ids at most, unless one text is longer.
 BATCH_CHARS = 1_000_000
+#: The same while encoding, where each word and id is a Python object.
+PIECE_CHARS = 250_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -47,10 +53,12 @@ class ChunkEncoder:
             known.clear()
             new = list(distinct)
         # The library puts a marker before what it is given, hence without the chunk's first one.
-        known.update(zip(new, map(tuple, self.sp.encode([c[1:] for c in new], num_threads=1)), strict=True))
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            known.update((c, array("i", ids).tobytes()) for c, ids in zip(some, self.sp.encode([c[1:] for c in some], num_threads=1), strict=True))
         if MARK in distinct:
-            known[MARK] = (self.alone,)
-        return [[*chain.from_iterable(map(known.__getitem__, p)), *self.end] for p in parts]
+            known[MARK] = array("i", [self.alone]).tobytes()
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32).tolist() + self.end for p in parts]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1) if ids else []
@@ -72,23 +80,24 @@ def _pieces(batch: pa.RecordBatch, column: int, chars: int = BATCH_CHARS) -> Ite
         yield batch.slice(start)
 
 
-def encode_decode(docs: DataFrame, model_path: str, text: str = "text", end_id: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, model_path: str, text: str = "text", end_id: bool = True, keep: list[str] | None = None) -> DataFrame:
     """docs with `ids` (array<int>: the whole text's ids, the end id last) and `decoded` (string: the library's decode of ids).
 
     A null text counts as empty: the end id alone, decoded to "". Repeated rows, extra columns and empty tables pass
-    through; columns already named ids or decoded are replaced. Needs model_path on each machine.
+    through; columns already named ids or decoded are replaced. keep: the columns of docs that are wanted, all if None.
+    Needs model_path on each machine.
     """
-    schema = _with(docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False))
-    keep = [f.name for f in schema][:-2]
+    schema = _with(T.StructType([f for f in docs.schema if keep is None or f.name in keep]), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False))
+    kept = [f.name for f in schema][:-2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for whole in batches:
             coder = coder or ChunkEncoder(model_path, end_id)
             at = whole.schema.get_field_index(text)
-            for b in _pieces(whole, at):
+            for b in _pieces(whole, at, PIECE_CHARS):
                 ids = coder.encode([t or "" for t in b.column(at).to_pylist()])
                 decoded = coder.decode(ids)
-                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*keep, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in kept], pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

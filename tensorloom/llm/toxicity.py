@@ -15,8 +15,6 @@ over landmarks folds into one weight for each place, so a word is scored by one
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 import zlib
 from array import array
@@ -30,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket
+from .common import bucket, give_back, lean
 from .sentencepiece_codec import _pieces
 
 SPAN, DECAY = 5, 0.6
@@ -50,6 +48,8 @@ CHANCE, ODDS = 0.1, 8
 THRESHOLD = 0.7
 #: Entries of a task's table of word margins; a full table is dropped and filled anew.
 TABLE_ENTRIES = 200_000
+#: Characters of text whose words are lists at once, unless one text is longer.
+PIECE_CHARS = 250_000
 #: Words whose subsequences are in memory at once, and words of the sample whose contexts are sorted at once.
 WORDS_AT_ONCE, CONTEXTS_AT_ONCE = 2_000, 250_000
 #: Letters and separators have nothing in common and are taken for good, so that a text is read once.
@@ -457,9 +457,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", max_toxic: int =
         return [(r["_text"], r["_toxic"]) for r in found.values()]
 
     model = train(unique())
-    # What the fit has freed goes back to the system: glibc would keep it as long as the driver lives.
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+    # The driver lives on.
+    give_back()
     return model
 
 
@@ -483,7 +482,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         table: dict[str, float] = {}
         for whole in batches:
             at = whole.schema.get_field_index(text)
-            for b in _pieces(whole, at):
+            for b in _pieces(whole, at, PIECE_CHARS):
                 texts = [t or "" for t in b.column(at).to_pylist()]
                 bags = [sentences(t) for t in texts]
                 new = {w for ss in bags for ws in ss for w in ws if w not in table}
@@ -503,4 +502,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 out = pa.StructArray.from_arrays([pa.array(model.probability(np.array(said).reshape(-1, 3))), pa.array(word, pa.string()), pa.array(sentence, pa.string())], ["score", "word", "sentence"])
                 yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keep], out], names=[*keep, "toxicity"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
