@@ -108,3 +108,28 @@ def test_rounds_on_the_data_write_no_edges_and_leave_nothing(spark, sf_dir, monk
     # The edges once, the vertices once, then the totals at the start and of each round, of which only the last stay.
     assert len(written) == 6 and written[1].count() < written[0].count() == edges.count()
     assert all(any(d is t for d in dropped) for t in written[2:-1]) and not any(d is written[-1] for d in dropped)
+
+
+def test_rounds_keep_totals_of_shared_vertices_only(spark, sf_dir, monkeypatch):
+    written = []
+    keep = delta.bucketed
+    monkeypatch.setattr(delta, "bucketed", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    assert delta.by_totals(*graph_queries.supplier_part_model(spark, sf_dir), rounds=1).count() == 210
+    # The ten suppliers: each part's edges lie in one place, where its total is worked out from theirs.
+    assert [df.count() for df in (written[1], written[-1])] == [10, 10]
+
+
+@pytest.mark.parametrize("j", [0.02, -0.4, 1.5, -3.0])
+def test_packed_messages_solve_their_equations(j):
+    """A star of one vertex that owns its edges: what it sends is its total less what it got, and the same the other way round."""
+    import numpy as np
+    import pyarrow as pa
+
+    v, total, h = np.array([1, 2, 3]), np.array([0.3, -0.7, 1.1]), 0.2
+    rows = {"deal": [0] * 3, "part": [0] * 3, "low": [9] * 3, "high": [1, 2, 3], "t": [math.tanh(j * k) for k in (1, 0.5, 0.8)], "n": [3] * 3, "h": [h] * 3}
+    row = delta._pack(pa.table(rows)).to_pylist()[0]
+    shared, inc, _, low, near, moved = delta._worked(row, v, total, 1e-13)
+    assert shared.tolist() == [1, 2, 3] and low.tolist() == [9] and moved <= 1e-13
+    got = [math.atanh(t * math.tanh(x - m)) for t, x, m in zip(rows["t"], total, inc, strict=True)]
+    assert near[0] == pytest.approx(h + sum(got), abs=1e-10)
+    assert inc.tolist() == pytest.approx([math.atanh(t * math.tanh(near[0] - m)) for t, m in zip(rows["t"], got, strict=True)], abs=1e-10)
